@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
-from pubwatch.functions.base import fold, text_or
-from pubwatch.functions.dates import parse_datetime, parse_index_date
-from pubwatch.functions.text import briefing_identifier, clean_text, normalize_words
+from pubwatch.functions.base import q, sql_let
+from pubwatch.functions.dates import sql_parse_datetime, sql_parse_index_date
+from pubwatch.functions.text import briefing_identifier, clean_text, normalize_words, sql_clean_text, sql_fold
 from pubwatch.functions.urls import (
     content_type, is_agency_homepage, same_site, url_host, url_hostname, url_join, url_path, url_scheme,
 )
@@ -16,84 +16,64 @@ from pubwatch.operators.dedupe import first_link_per_page
 from pubwatch.operators.filters import link_allowed
 from pubwatch.sources import html as H
 
+CARD, NODES = H.CARD, H.NODES
+WRITTEN_DATE = r"(?i)(?:published|publication|updated|posted)(?:\s+date)?\s*[:\-]?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})"
+INLINE_DATE = r"Published:\s+(\d{1,2}\s+\w+\s+\d{4})"
+BLOG_DATE = r"Blog publish date is\s+(\d{1,2}/\d{1,2}/\d{4})"
+PUBLISHED_PREFIX, PINNED_PREFIX = r"^Published:\s*", r"^Pinned\s+article from\s+"
 
-def _nodes() -> Column:
-    return F.col("dom.nodes")
 
+def _cards(pages: DataFrame, found: str) -> DataFrame:
+    """One row per selected element; the page's node list stays on the row for look-ups below it."""
+    return pages.select("*", F.posexplode(F.expr(found)).alias("position", "card"))
 
-def _texts() -> Column:
-    return F.col("dom.texts")
 
+def _with(df: DataFrame, **texts: str) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in texts.items()})
 
-def _exploded(pages: DataFrame, found: Column) -> DataFrame:
-    """One row per selected element; the page's node list stays on the row for look-ups below it."""
-    return pages.select("*", F.posexplode(found).alias("position", "card"))
 
+def _or(first: str, second: str) -> str:
+    return f"coalesce(nullif({first}, ''), {second})"
 
-def _attr(node: Column, name: str) -> Column:
-    return F.coalesce(node["attrs"][name], F.lit(""))
 
+def _href(anchor: str) -> Column:
+    return url_join(F.col("page_url"), F.expr(H.attr(anchor, "href")))
 
-# --- generic and rule-driven index cards ---------------------------------------------------------
 
+# --- index cards -------------------------------------------------------------------------------------
 
-def _generic_parts(host: Column) -> dict[str, Column]:
-    """Anchor, title node and date text of a generic card."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    anchor = F.coalesce(*[H.first(nodes, s, card) for s in V.INDEX_ANCHORS])
-    cover, cover_title = H.first(nodes, V.INDEX_COVER_ANCHORS, card), H.first(nodes, V.INDEX_COVER_TITLES, card)
-    covered = cover.isNotNull() & cover_title.isNotNull()
-    is_link = card["tag"] == "a"
-    container = H.css(".contentContainer", card)
-    slab = (host == "slab.org.uk") & H.first(nodes, "a.page-listing-link[href]", card).isNotNull()
-    mental = (host == "mwcscot.org.uk") & H.css(".sp-content", card)
-    picked_anchor = (
-        F.when(covered, cover).when(is_link, card).when(container, anchor)
-        .when(slab, H.first(nodes, "a.page-listing-link[href]", card)).when(mental, H.first(nodes, "a.slink[href]", card)).otherwise(anchor)
-    )
-    picked_title = (
-        F.when(covered, cover_title).when(is_link, H.first(nodes, "h2, h3", card)).when(container, H.first(nodes, "h2", card))
-        .when(slab, H.first(nodes, "h2", card)).when(mental, H.first(nodes, "h3", card)).otherwise(anchor)
+
+def _site_case(choices: dict[str, str], default: str) -> str:
+    cases = " ".join(f"when {q(site)} then {text}" for site, text in choices.items())
+    return f"case host {cases} else {default} end" if cases else default
+
+
+def _generic_cards() -> str:
+    extra = {site: H.select(s) for site, s in V.INDEX_EXTRA_CARDS.items()}
+    for site, selector in V.INDEX_LINK_PARENT_CARDS.items():
+        extra[site] = f"filter(transform({H.select(selector)}, a -> get({NODES}, a.parent)), a -> a is not null)"
+    everything = f"concat({H.select(V.INDEX_CARDS)}, {_site_case(extra, f'slice({NODES}, 1, 0)')})"
+    only_rules = ", ".join(q(site) for site in V.INDEX_RULE_ONLY_HOSTS)
+    return f"if(host in ({only_rules}), slice({NODES}, 1, 0), {everything})"
+
+
+def _rule_table(spark) -> DataFrame:
+    """The host rules with their selectors compiled to path patterns; a table of fixed size."""
+    def pattern(selector: str) -> str:
+        return "|".join(H.path_pattern(s)[0] for s in selector.split(","))
+
+    rows = [
+        (site, V.INDEX_RULE_PATHS.get(site), pattern(card), None if anchor == ":self" else pattern(anchor), pattern(title),
+         None if date == ":prefix" else pattern(date))
+        for site, (card, anchor, title, date) in V.INDEX_RULES.items()
+    ]
+    return spark.createDataFrame(
+        rows, "host string, rule_path string, card_rule string, anchor_rule string, title_rule string, date_rule string"
     )
-    time = H.first(nodes, "time", card)
-    semantic = H.first(nodes, "span[property=dc:date][content]", card)
-    labels = F.filter(H.select(nodes, "dl.ds_metadata dt", card), lambda d: fold(H.text_of(texts, d)) == "date")
-    following = F.get(F.filter(nodes, lambda n: (n["parent"] == F.get(labels, 0)["parent"]) & (n["tag"] == "dd") & (n["pre"] > F.get(labels, 0)["pre"])), 0)
-    dated = H.select(nodes, V.INDEX_DATES, card)
-    for site, selector in V.INDEX_EXTRA_DATES.items():
-        dated = F.when(host == site, F.concat(dated, H.select(nodes, selector, card))).otherwise(dated)
-
-    def candidate(n: Column) -> Column:
-        raw = H.text_of(texts, n)
-        unsure = H.css(".updated", n) & ~F.startswith(raw, F.lit("Published:"))
-        return F.when(~unsure, F.regexp_replace(raw, r"^Published:\s*", ""))
-
-    usable = F.filter(F.transform(F.reverse(dated), candidate), lambda t: t.isNotNull() & parse_index_date(t).isNotNull())
-    labelled = F.when(following.isNotNull(), H.text_of(texts, following))
-    listed = F.coalesce(F.nullif(labelled, F.lit("")), F.nullif(F.when(semantic.isNotNull(), _attr(semantic, "content")), F.lit("")), F.get(usable, 0))
-    date_text = F.when(time.isNotNull(), text_or(_attr(time, "datetime"), H.text_of(texts, time))).otherwise(listed)
-    return {"anchor": picked_anchor, "title_node": picked_title, "date_text": date_text}
-
-
-def _rule_parts(host: Column) -> dict[str, Column]:
-    """Anchor, title node and date text of a card that its host's rule selected.
-
-    One CASE over the hosts per part: a page only evaluates its own host's selectors.
-    """
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    anchor = title = date_text = F.lit(None)
-    for site, (_cards, anchor_rule, title_rule, date_rule) in V.INDEX_RULES.items():
-        if date_rule == ":prefix":
-            dated = F.substring_index(H.text_of(texts, card), " - ", 1)
-        else:
-            values = F.transform(H.select(nodes, date_rule, card), lambda n: H.text_of(texts, n))
-            if site == "ukri.org":
-                values = F.transform(values, lambda t: F.regexp_replace(t, r"^Pinned\s+article from\s+", ""))
-            dated = F.get(F.filter(values, lambda t: parse_index_date(t).isNotNull()), 0)
-        anchor = F.when(host == site, card if anchor_rule == ":self" else H.first(nodes, anchor_rule, card)).otherwise(anchor)
-        title = F.when(host == site, H.first(nodes, title_rule, card)).otherwise(title)
-        date_text = F.when(host == site, dated).otherwise(date_text)
-    return {"anchor": anchor, "title_node": title, "date_text": date_text}
+
+
+def _by_rule(pattern: str) -> str:
+    return f"filter({NODES}, n -> {H.below('n', CARD)} and n.path rlike {pattern})"
 
 
 def index_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFrame:
@@ -103,43 +83,58 @@ def index_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFr
     adding a rule.  Every page is tokenised once.
     """
     path = F.regexp_replace(url_path(F.col("page_url")), "/+$", "")
-    dom = H.with_nodes(pages).withColumn("host", url_host(F.col("page_url")))
-    for site, needed in V.INDEX_PATHS.items():
-        dom = dom.where((F.col("host") != site) | (path == needed))
-    nodes, texts, host = _nodes(), _texts(), F.col("host")
-    none = F.filter(nodes, lambda n: F.lit(False))
-
-    generic = H.select(nodes, V.INDEX_CARDS)
-    for site, selector in V.INDEX_EXTRA_CARDS.items():
-        generic = F.when(host == site, F.concat(generic, H.select(nodes, selector))).otherwise(generic)
-    for site, selector in V.INDEX_LINK_PARENT_CARDS.items():
-        parents = F.transform(H.select(nodes, selector), lambda a: F.get(nodes, a["parent"]))
-        generic = F.when(host == site, F.concat(generic, F.filter(parents, lambda p: p.isNotNull()))).otherwise(generic)
-    generic = F.when(host.isin(*V.INDEX_RULE_ONLY_HOSTS), none).otherwise(generic)
-    ruled = none
-    for site, rule in V.INDEX_RULES.items():
-        own = (host == site) & ((path == V.INDEX_RULE_PATHS[site]) if site in V.INDEX_RULE_PATHS else F.lit(True))
-        ruled = F.when(own, H.select(nodes, rule[0])).otherwise(ruled)
-
-    staged = dom.withColumns({"generic": generic, "ruled": ruled})
-    only_generic = F.filter("generic", lambda g: ~F.exists("ruled", lambda r: r["pre"] == g["pre"]))
-    tagged = F.concat(
-        F.transform(only_generic, lambda g: F.struct(F.lit(0).alias("rule"), g.alias("node"))),
-        F.transform("ruled", lambda r: F.struct(F.lit(1).alias("rule"), r.alias("node"))),
-    )
-    cards = staged.withColumn("tagged", tagged).select("page_url", "source_id", "host", "dom", F.explode("tagged").alias("t")).select(
-        "page_url", "source_id", "host", "dom", F.col("t.rule").alias("rule"), F.col("t.node").alias("card")
+    dom = pages.withColumns({"host": url_host(F.col("page_url")), "path": path})
+    dom = dom.where(F.expr(_site_case({site: f"path = {q(needed)}" for site, needed in V.INDEX_PATHS.items()}, "true")))
+    dom = H.with_nodes(dom).join(F.broadcast(_rule_table(pages.sparkSession)), "host", "left")
+    dom = _with(dom, generic=_generic_cards(), ruled=(
+        f"if(card_rule is not null and coalesce(rule_path, path) = path, filter({NODES}, n -> n.path rlike card_rule), slice({NODES}, 1, 0))"
+    ))
+    tagged = ("concat(transform(filter(generic, g -> not exists(ruled, r -> r.pre = g.pre)), g -> named_struct('ruled', false, 'node', g)), "
+              "transform(ruled, r -> named_struct('ruled', true, 'node', r)))")
+    cards = dom.select("*", F.explode(F.expr(tagged)).alias("_t")).withColumns({"card": F.col("_t.node"), "by_rule": F.col("_t.ruled")}).drop("generic", "ruled", "_t")
+
+    # The parts of a generic card.
+    cards = _with(
+        cards,
+        anchor="coalesce(" + ", ".join(H.first(s, CARD) for s in V.INDEX_ANCHORS) + ")",
+        cover=H.first(V.INDEX_COVER_ANCHORS, CARD), cover_title=H.first(V.INDEX_COVER_TITLES, CARD),
+        listed="if(host = 'slab.org.uk', " + H.first("a.page-listing-link[href]", CARD) + ", null)",
+        slink="if(host = 'mwcscot.org.uk' and " + H.css(".sp-content", CARD) + ", " + H.first("a.slink[href]", CARD) + ", null)",
     )
-    by_rule, by_shape = _rule_parts(host), _generic_parts(host)
-    parts = {name: F.when(F.col("rule") == 1, by_rule[name]).otherwise(by_shape[name]) for name in by_rule}
-    found = cards.withColumns(parts).where("anchor is not null and title_node is not null and date_text <> ''")
-    late = F.when((F.col("rule") == 1) & ~H.css(V.INDEX_CARDS, F.col("card")), 1).otherwise(0)
-    return _dated_cards(found.select(
-        "page_url", "source_id", late.alias("rule_order"), F.col("card.pre").alias("position"),
-        clean_text(H.text_of(texts, F.col("title_node"))).alias("title"),
-        url_join(F.col("page_url"), _attr(F.col("anchor"), "href")).alias("link"),
-        parse_index_date(F.col("date_text")).alias("published_at"),
-        H.text_of(texts, F.col("card")).alias("context"), F.lit("").alias("summary"),
+    container, mental = H.css(".contentContainer", CARD), "(host = 'mwcscot.org.uk' and " + H.css(".sp-content", CARD) + ")"
+    covered = "cover is not null and cover_title is not null"
+    cards = _with(
+        cards,
+        link_node=f"""case when by_rule then if(anchor_rule is null, card, get({_by_rule('anchor_rule')}, 0))
+            when {covered} then cover when card.tag = 'a' then card when {container} then anchor
+            when listed is not null then listed when {mental} then slink else anchor end""",
+        title_node=f"""case when by_rule then get({_by_rule('title_rule')}, 0)
+            when {covered} then cover_title when card.tag = 'a' then {H.first('h2, h3', CARD)} when {container} then {H.first('h2', CARD)}
+            when listed is not null then {H.first('h2', CARD)} when {mental} then {H.first('h3', CARD)} else anchor end""",
+    ).where("link_node is not null and title_node is not null").drop("anchor", "cover", "cover_title", "listed", "slink")
+
+    # Date texts in the order they are tried.
+    label = H.select("dl.ds_metadata dt", CARD)
+    labelled = f"filter({label}, d -> {sql_fold(H.text_of('d'))} = 'date')"
+    following = f"get(filter({NODES}, n -> n.parent = get(labels, 0).parent and n.tag = 'dd' and n.pre > get(labels, 0).pre), 0)"
+    cards = _with(cards, time=H.first("time", CARD), semantic=H.first("span[property=dc:date][content]", CARD), labels=labelled)
+    cards = _with(cards, described=following)
+    stated = _or(f"if(described is not null, {H.text_of('described')}, '')", f"if(semantic is not null, {H.attr('semantic', 'content')}, '')")
+    extra = _site_case({site: H.select(s, CARD) for site, s in V.INDEX_EXTRA_DATES.items()}, f"slice({NODES}, 1, 0)")
+    shown = sql_let(H.text_of("n"), "raw", f"if({H.css('.updated', 'n')} and not startswith(raw, 'Published:'), null, regexp_replace(raw, {q(PUBLISHED_PREFIX)}, ''))")
+    listed_dates = f"transform(reverse(concat({H.select(V.INDEX_DATES, CARD)}, {extra})), n -> {shown})"
+    pinned = f"transform({_by_rule('date_rule')}, n -> regexp_replace({H.text_of('n')}, {q(PINNED_PREFIX)}, ''))"
+    cards = _with(cards, stated=stated)
+    cards = _with(cards, date_texts=f"""case
+        when by_rule and date_rule is null then array(substring_index({H.text_of(CARD)}, ' - ', 1))
+        when by_rule then {pinned}
+        when time is not null then array({_or(H.attr('time', 'datetime'), H.text_of('time'))})
+        when stated <> '' then array(stated) else {listed_dates} end""")
+    parsed = f"get(filter(transform(date_texts, v -> {sql_parse_index_date('v')}), v -> v is not null), 0)"
+    late = f"if(by_rule and not {H.css(V.INDEX_CARDS, CARD)}, 1, 0)"
+    return _dated_cards(cards.select(
+        "page_url", "source_id", F.struct(F.expr(late), F.col("card.pre")).alias("position"), F.expr(sql_clean_text(H.text_of("title_node"))).alias("title"),
+        _href("link_node").alias("link"), F.expr(parsed).alias("published_at"), F.expr(H.text_of(CARD)).alias("context"), F.lit("").alias("summary"),
     ), since, until)
 
 
@@ -151,8 +146,7 @@ def _dated_cards(cards: DataFrame, since: Column, until: Column | None) -> DataF
     )
     if until is not None:
         good = good & (F.col("published_at") < until)
-    ranked = cards.where(good).withColumn("position", F.struct("rule_order", "position")).drop("rule_order")
-    return first_link_per_page(ranked).select(
+    return first_link_per_page(cards.where(good)).select(
         "source_id", "page_url", "title", "link", "published_at", "summary", F.col("page_url").alias("source_feed"),
         content_type(F.col("link"), F.col("title"), F.col("context")).alias("content_type"),
     )
@@ -160,68 +154,52 @@ def _dated_cards(cards: DataFrame, since: Column, until: Column | None) -> DataF
 
 def sibling_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFrame:
     """Cards whose date is the element before the intro and whose summary is the one after it."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    dom = H.with_nodes(pages)
-    intro = _exploded(dom, H.select(nodes, ".news-short-article > .news-short-article-intro"))
-    before, after = F.get(nodes, card["prev"]), F.get(nodes, card["next"])
-    anchor = H.first(nodes, "a[href]", card)
-    dated = F.when((card["prev"] >= 0) & H.css(".news-short-article-date", before), H.text_of(texts, before))
-    summary = F.when((card["next"] >= 0) & H.css(".news-short-article-text", after), clean_text(H.text_of(texts, after))).otherwise(F.lit(""))
-    found = intro.withColumns({"anchor": anchor, "date_text": dated, "summary": summary}).where("anchor is not null and date_text is not null")
-    tayside = found.select(
-        "page_url", "source_id", F.lit(0).alias("rule_order"), "position", clean_text(H.text_of(texts, F.col("anchor"))).alias("title"),
-        url_join(F.col("page_url"), _attr(F.col("anchor"), "href")).alias("link"), parse_index_date(F.col("date_text")).alias("published_at"),
-        F.col("summary").alias("context"), "summary",
-    )
-    return _dated_cards(tayside, since, until)
+    intro = _cards(H.with_nodes(pages), H.select(".news-short-article > .news-short-article-intro"))
+    rows = _with(
+        intro, before=f"if(card.prev >= 0, get({NODES}, card.prev), null)", after=f"if(card.next >= 0, get({NODES}, card.next), null)",
+        anchor=H.first("a[href]", CARD),
+    ).where(F.expr(f"anchor is not null and before is not null and {H.css('.news-short-article-date', 'before')}"))
+    rows = _with(rows, summary=f"if(after is not null and {H.css('.news-short-article-text', 'after')}, {sql_clean_text(H.text_of('after'))}, '')")
+    return _dated_cards(rows.select(
+        "page_url", "source_id", "position", F.expr(sql_clean_text(H.text_of("anchor"))).alias("title"), _href("anchor").alias("link"),
+        F.expr(sql_parse_index_date(H.text_of("before"))).alias("published_at"), F.col("summary").alias("context"), "summary",
+    ), since, until)
 
 
 def inline_date_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFrame:
     """Linked headings of one court site whose date stands inside the anchor text."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    links = _exploded(H.with_nodes(pages), H.select(nodes, "a[href^=/news/]"))
-    heading = H.first(nodes, "[class*=line-clamp-2]", card)
-    dated = F.regexp_extract(H.text_of(texts, card), r"\b\d{1,2} [A-Za-z]+ \d{4}\b", 0)
-    found = links.withColumns({"heading": heading, "date_text": dated}).where("heading is not null and date_text <> ''")
-    return _dated_cards(found.select(
-        "page_url", "source_id", F.lit(0).alias("rule_order"), "position", clean_text(H.text_of(texts, F.col("heading"))).alias("title"),
-        url_join(F.col("page_url"), _attr(card, "href")).alias("link"), parse_index_date(F.col("date_text")).alias("published_at"),
-        H.text_of(texts, card).alias("context"), F.lit("").alias("summary"),
+    links = _cards(H.with_nodes(pages), H.select("a[href^=/news/]"))
+    written = q(r"\b\d{1,2} [A-Za-z]+ \d{4}\b")
+    rows = _with(links, heading=H.first("[class*=line-clamp-2]", CARD), words=H.text_of(CARD))
+    rows = _with(rows, date_text=f"regexp_extract(words, {written}, 0)").where("heading is not null and date_text <> ''")
+    return _dated_cards(rows.select(
+        "page_url", "source_id", "position", F.expr(sql_clean_text(H.text_of("heading"))).alias("title"), _href(CARD).alias("link"),
+        F.expr(sql_parse_index_date("date_text")).alias("published_at"), F.col("words").alias("context"), F.lit("").alias("summary"),
     ).where(url_path(F.col("link")) != "/news/latest-judgments"), since, until)
 
 
 # --- whole pages and official pages ------------------------------------------------------------------
 
 
-def _json_dates(raw: Column) -> Column:
-    objects = F.when(F.startswith(F.trim(raw), F.lit("[")), F.from_json(raw, "array<map<string,string>>")).otherwise(
-        F.array(F.from_json(raw, "map<string,string>"))
-    )
-    keys = ("datePublished", "dateCreated", "dateModified")
-    return F.flatten(F.transform(objects, lambda o: F.array(*[parse_datetime(F.coalesce(o[k], F.lit(""))) for k in keys])))
-
-
-def node_date(nodes: Column, texts: Column, within: Column | None) -> Column:
+def sql_node_date(within: str | None) -> str:
     """First date of: time elements, date metadata, structured data, "published: d Month yyyy" text."""
-    def firstly(values: Column) -> Column:
-        return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
-
-    times = F.transform(H.select(nodes, "time", within), lambda n: parse_datetime(text_or(_attr(n, "datetime"), H.text_of(texts, n))))
-    metas = F.transform(
-        H.select(nodes, "meta[property=article:published_time], meta[property=datePublished], meta[name=date], meta[name=pubdate]", within),
-        lambda n: parse_datetime(_attr(n, "content")),
-    )
-    scripts = F.flatten(F.transform(H.select(nodes, "script[type=application/ld+json]", within), lambda n: _json_dates(H.script_text(texts, n))))
-    written = r"(?i)(?:published|publication|updated|posted)(?:\s+date)?\s*[:\-]?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})"
-    words = clean_text(H.page_text(texts) if within is None else H.text_of(texts, within))
-    return F.coalesce(firstly(times), firstly(metas), firstly(scripts), parse_datetime(F.regexp_extract(words, written, 1)))
-
-
-def node_summary(nodes: Column, texts: Column, within: Column | None) -> Column:
+    metas = "meta[property=article:published_time], meta[property=datePublished], meta[name=date], meta[name=pubdate]"
+    objects = sql_let(H.script_text("n"), "j", "if(startswith(trim(j), '['), from_json(j, 'array<map<string,string>>'), array(from_json(j, 'map<string,string>')))")
+    keys = "array(o['datePublished'], o['dateCreated'], o['dateModified'])"
+    texts = f"""concat(
+        transform({H.select('time', within)}, n -> {_or(H.attr('n', 'datetime'), H.text_of('n'))}),
+        transform({H.select(metas, within)}, n -> {H.attr('n', 'content')}),
+        flatten(transform({H.select('script[type=application/ld+json]', within)}, n -> flatten(transform(coalesce({objects}, array()), o -> {keys})))),
+        array(regexp_extract({sql_clean_text(H.page_text() if within is None else H.text_of(within))},
+            {q(WRITTEN_DATE)}, 1)))"""
+    return f"get(filter(transform({texts}, v -> {sql_parse_datetime('v')}), v -> v is not null), 0)"
+
+
+def sql_node_summary(within: str | None) -> str:
     """Description metadata, else the first non-empty of four text selectors."""
-    described = H.first(nodes, "meta[property=og:description], meta[name=description]", within)
-    found = [F.nullif(clean_text(H.text_of(texts, H.first(nodes, s, within))), F.lit("")) for s in (".summary", ".description", ".govuk-body", "p")]
-    return F.when(described.isNotNull(), clean_text(_attr(described, "content"))).otherwise(F.coalesce(*found, F.lit("")))
+    found = ", ".join(f"nullif({sql_let(H.first(s, within), 'e', sql_clean_text(H.text_of('e')))}, '')" for s in (".summary", ".description", ".govuk-body", "p"))
+    described = H.first("meta[property=og:description], meta[name=description]", within)
+    return sql_let(described, "m", f"if(m is not null, {sql_clean_text(H.attr('m', 'content'))}, coalesce({found}, ''))")
 
 
 def page_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
@@ -229,22 +207,15 @@ def page_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
 
     ``pages``: source_id, page_url, body, homepage.
     """
-    nodes, texts = _nodes(), _texts()
-    path = F.lower(url_path(F.col("page_url")))
-    content = F.lit(False)
-    for marker in ("/collection/", "/guidance/", "/government/publications/", "/government/consultations/", "/report"):
-        content = content | F.contains(path, F.lit(marker))
-    metadata = F.size(H.select(
-        nodes, "meta[property=article:published_time], meta[property=datePublished], script[type=application/ld+json]")) > 0
-    heading, og, title = H.first(nodes, "h1"), H.first(nodes, "meta[property=og:title]"), H.first(nodes, "title")
-    name = (
-        F.when(heading.isNotNull(), clean_text(H.text_of(texts, heading))).when(og.isNotNull(), clean_text(_attr(og, "content")))
-        .when(title.isNotNull(), clean_text(H.text_of(texts, title))).otherwise(F.lit(""))
-    )
-    dom = H.with_nodes(pages).where(~is_agency_homepage(F.col("page_url"), F.col("homepage"))).where(content | metadata)
+    markers = "/collection/|/guidance/|/government/publications/|/government/consultations/|/report"
+    content = F.lower(url_path(F.col("page_url"))).rlike(markers)
+    metadata = F.expr(f"exists({NODES}, n -> {H.css('meta[property=article:published_time], meta[property=datePublished], script[type=application/ld+json]', 'n')})")
+    dom = H.with_nodes(pages.where(~is_agency_homepage(F.col("page_url"), F.col("homepage")))).where(content | metadata)
+    dom = _with(dom, heading=H.first("h1"), og=H.first("meta[property=og:title]"), name=H.first("title"))
+    title = f"case when heading is not null then {H.text_of('heading')} when og is not null then {H.attr('og', 'content')} when name is not null then {H.text_of('name')} else '' end"
     rows = dom.select(
-        "source_id", "page_url", name.alias("title"), F.col("page_url").alias("link"), node_date(nodes, texts, None).alias("published_at"),
-        node_summary(nodes, texts, None).alias("summary"), F.col("page_url").alias("source_feed"), H.page_text(texts).alias("context"),
+        "source_id", "page_url", F.expr(sql_clean_text(title)).alias("title"), F.col("page_url").alias("link"), F.expr(sql_node_date(None)).alias("published_at"),
+        F.expr(sql_node_summary(None)).alias("summary"), F.col("page_url").alias("source_feed"), F.expr(H.page_text()).alias("context"),
     ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & F.col("published_at").isNotNull())
     rows = rows.withColumn("content_type", content_type(F.col("link"), F.col("title"), F.col("context"))).drop("context")
     return rows if since is None else rows.where(F.col("published_at") >= since)
@@ -252,19 +223,17 @@ def page_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
 
 def official_cards(pages: DataFrame, since: Column) -> DataFrame:
     """Cards of a source's supplemental page; ``pages``: source_id, page_url, body, homepage, patterns."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    cards = _exploded(H.with_nodes(pages), H.select(nodes, "article, li, .search-result, .card"))
-    anchor = F.coalesce(H.first(nodes, "h1 a[href], h2 a[href], h3 a[href], h4 a[href], a[href]", card))
-    found = cards.withColumn("anchor", anchor).where("anchor is not null").withColumn("link", url_join(F.col("page_url"), _attr(F.col("anchor"), "href")))
-    rows = found.select(
-        "source_id", "page_url", "position", "link", "homepage", "patterns", clean_text(H.text_of(texts, F.col("anchor"))).alias("title"),
-        node_date(nodes, texts, card).alias("published_at"), node_summary(nodes, texts, card).alias("summary"),
-        H.text_of(texts, card).alias("context"),
-    ).where(
+    cards = _cards(H.with_nodes(pages), H.select("article, li, .search-result, .card"))
+    found = _with(cards, anchor=H.first("h1 a[href], h2 a[href], h3 a[href], h4 a[href], a[href]", CARD)).where("anchor is not null")
+    found = found.withColumn("link", _href("anchor")).where(
         (url_host(F.col("link")) != "") & (url_host(F.col("link")) == url_host(F.col("page_url")))
         & link_allowed(F.col("link"), F.col("patterns"), F.col("homepage"))
-        & (F.length("title") >= V.MINIMUM_TITLE_CHARS) & (F.col("published_at") >= since)
-    ).withColumn("_link", F.regexp_replace("link", "/+$", ""))
+    )
+    rows = found.select(
+        "source_id", "page_url", "position", "link", F.expr(sql_clean_text(H.text_of("anchor"))).alias("title"),
+        F.expr(sql_node_date(CARD)).alias("published_at"), F.expr(sql_node_summary(CARD)).alias("summary"), F.expr(H.text_of(CARD)).alias("context"),
+        F.regexp_replace("link", "/+$", "").alias("_link"),
+    ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & (F.col("published_at") >= since))
     return first_link_per_page(rows, link="_link").select(
         "source_id", "page_url", "title", "link", "published_at", "summary", F.col("page_url").alias("source_feed"),
         content_type(F.col("link"), F.col("title"), F.col("context")).alias("content_type"),
@@ -273,17 +242,15 @@ def official_cards(pages: DataFrame, since: Column) -> DataFrame:
 
 def generic_links(pages: DataFrame, since: Column) -> DataFrame:
     """Every link with enough text, dated by the time element of its nearest article, li or div."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    links = _exploded(H.with_nodes(pages), H.select(nodes, "a[href]"))
-    around = F.filter(nodes, lambda n: n["tag"].isin("article", "li", "div") & (n["pre"] < card["pre"]) & (n["post"] >= card["post"]))
-    scope = F.coalesce(F.element_at(F.when(F.size(around) > 0, around), -1), card)
-    href = _attr(card, "href")
-    link = F.when(F.startswith(href, F.lit("/")), url_join(F.col("page_url"), href)).otherwise(href)
-    staged = links.withColumns({"scope": scope, "link": link}).withColumn("time", H.first(nodes, "time", F.col("scope")))
+    links = _cards(H.with_nodes(pages), H.select("a[href]"))
+    around = f"filter({NODES}, n -> n.tag in ('article', 'li', 'div') and n.pre < card.pre and n.post >= card.post)"
+    staged = _with(links, scope=f"coalesce(get(reverse({around}), 0), card)", href=H.attr(CARD, "href"))
+    staged = _with(staged, time=H.first("time", "scope"))
+    link = F.when(F.startswith("href", F.lit("/")), url_join(F.col("page_url"), F.col("href"))).otherwise(F.col("href"))
+    stamp = f"if(time is not null, {_or(H.attr('time', 'datetime'), H.text_of('time'))}, '')"
     return staged.select(
-        "source_id", "page_url", clean_text(H.text_of(texts, card)).alias("title"), "link",
-        parse_datetime(F.when(F.col("time").isNotNull(), text_or(_attr(F.col("time"), "datetime"), H.text_of(texts, F.col("time"))))).alias("published_at"),
-        F.col("page_url").alias("source_feed"),
+        "source_id", "page_url", F.expr(sql_clean_text(H.text_of(CARD))).alias("title"), link.alias("link"),
+        F.expr(sql_parse_datetime(stamp)).alias("published_at"), F.col("page_url").alias("source_feed"),
     ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & F.startswith("link", F.lit("http")) & (F.col("published_at") >= since))
 
 
@@ -291,84 +258,68 @@ def generic_links(pages: DataFrame, since: Column) -> DataFrame:
 
 
 def adapter_cards(pages: DataFrame, since: Column) -> DataFrame:
-    """Three site-specific card shapes, chosen by ``source_id``."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    dom = H.with_nodes(pages)
-
-    def rows(source: str, selector: str, anchor: Column, title: Column, date: Column, summary: Column, needed: Column) -> DataFrame:
-        cards = _exploded(dom.where(F.col("source_id") == source), H.select(nodes, selector)).withColumn("anchor", anchor).where("anchor is not null")
-        return cards.where(needed).select(
-            "source_id", "page_url", clean_text(title).alias("title"), url_join(F.col("page_url"), _attr(F.col("anchor"), "href")).alias("link"),
-            parse_datetime(date).alias("published_at"), clean_text(summary).alias("summary"), F.col("page_url").alias("source_feed"),
-        )
-
-    time = H.first(nodes, "time", card)
-    teaser = rows(
-        "Electoral Commission", "article.c-teaser", H.first(nodes, "a[href]", card), H.text_of(texts, H.first(nodes, ".c-teaser__title", card)),
-        text_or(_attr(time, "datetime"), H.text_of(texts, time)), H.text_of(texts, H.first(nodes, ".c-teaser__desc", card)),
-        H.first(nodes, ".c-teaser__title", card).isNotNull() & time.isNotNull(),
-    )
-    anchor = F.coalesce(H.first(nodes, "h2 a[href], h3 a[href], .views-field-title a[href]", card))
-    paragraphs = F.filter(
-        F.transform(F.filter(H.select(nodes, "p", card), lambda n: ~H.css(".readmore", n)), lambda n: clean_text(H.text_of(texts, n))),
-        lambda t: (t != "") & (t != "Latest Blog"),
-    )
-    blog = rows(
-        "NPSA", ".views-row", anchor, H.text_of(texts, F.col("anchor")),
-        F.regexp_extract(H.text_of(texts, card), r"Blog publish date is\s+(\d{1,2}/\d{1,2}/\d{4})", 1), F.array_join(paragraphs, " "), F.lit(True),
+    """Three site-specific card shapes, chosen by ``source_id`` in one pass over the pages."""
+    shapes = {"Electoral Commission": "article.c-teaser", "NPSA": ".views-row", "Ofcom": "a[href]"}
+    chosen = " ".join(f"when {q(source)} then {H.select(selector)}" for source, selector in shapes.items())
+    cards = _cards(H.with_nodes(pages.where(F.col("source_id").isin(*shapes))), f"case source_id {chosen} end")
+    cards = _with(
+        cards, words=H.text_of(CARD), time=H.first("time", CARD), teaser=H.first(".c-teaser__title", CARD), lead=H.first(".c-teaser__desc", CARD),
+        anchor=f"case source_id when 'Ofcom' then card when 'NPSA' then {H.first('h2 a[href], h3 a[href], .views-field-title a[href]', CARD)} else {H.first('a[href]', CARD)} end",
+    ).where("anchor is not null")
+    paragraphs = f"transform(filter({H.select('p', CARD)}, n -> not {H.css('.readmore', 'n')}), n -> {sql_clean_text(H.text_of('n'))})"
+    cards = _with(
+        cards,
+        title=f"case source_id when 'Ofcom' then substring_index(words, 'Published:', 1) when 'NPSA' then {H.text_of('anchor')} else {H.text_of('teaser')} end",
+        stamp=f"""case source_id when 'Ofcom' then regexp_extract(words, {q(INLINE_DATE)}, 1)
+            when 'NPSA' then regexp_extract(words, {q(BLOG_DATE)}, 1)
+            else if(teaser is not null and time is not null, {_or(H.attr('time', 'datetime'), H.text_of('time'))}, '') end""",
+        summary=f"""case source_id when 'Ofcom' then '' when 'NPSA' then array_join(filter({paragraphs}, t -> t <> '' and t <> 'Latest Blog'), ' ')
+            else if(lead is not null, {H.text_of('lead')}, '') end""",
     )
-    words = clean_text(H.text_of(texts, card))
-    inline = rows(
-        "Ofcom", "a[href]", card, F.substring_index(words, "Published:", 1), F.regexp_extract(words, r"Published:\s+(\d{1,2}\s+\w+\s+\d{4})", 1),
-        F.lit(""), F.contains(words, F.lit("Published:")) & (F.length(clean_text(F.substring_index(words, "Published:", 1))) >= V.MINIMUM_TITLE_CHARS),
+    rows = cards.select(
+        "source_id", "page_url", clean_text(F.col("title")).alias("title"), _href("anchor").alias("link"), F.expr(sql_parse_datetime("stamp")).alias("published_at"),
+        clean_text(F.col("summary")).alias("summary"), F.col("page_url").alias("source_feed"),
     )
-    return teaser.unionByName(blog).unionByName(inline).where(F.col("published_at") >= since)
+    return rows.where((F.col("published_at") >= since) & ((F.col("source_id") != "Ofcom") | (F.length("title") >= V.MINIMUM_TITLE_CHARS)))
 
 
 def briefing_cards(pages: DataFrame) -> DataFrame:
     """Topic-archive cards as briefings; ``pages``: archive_url, page_url, body, chamber, publisher."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    cards = _exploded(H.with_nodes(pages), H.select(nodes, "article.card"))
-
-    def labels(selector: str) -> Column:
-        return F.transform(H.select(nodes, selector, card), lambda n: clean_text(H.text_of(texts, n)))
-
-    after_date = F.filter(H.select(nodes, "p", card), lambda p: (p["prev"] >= 0) & H.css(".card__date", F.get(nodes, p["prev"])))
-    staged = cards.withColumns({
-        "anchor": H.first(nodes, ".card__heading a[href]", card), "time": H.first(nodes, "time[datetime]", card),
-        "tags": labels(".tag-list a[href]"), "types": labels(".tag-list a[href*=/type/]"), "paragraph": F.get(after_date, 0),
-    }).where("anchor is not null and time is not null")
-    rows = staged.withColumns({
-        "title": clean_text(H.text_of(texts, F.col("anchor"))), "webpage_url": url_join(F.col("page_url"), _attr(F.col("anchor"), "href")),
-        "published_at": parse_datetime(_attr(F.col("time"), "datetime")),
-    }).where("published_at is not null and title <> ''")
-    identifier = briefing_identifier(F.col("webpage_url"), F.col("title"))
+    cards = _cards(H.with_nodes(pages), H.select("article.card"))
+
+    def labels(selector: str) -> str:
+        return f"transform({H.select(selector, CARD)}, n -> {sql_clean_text(H.text_of('n'))})"
+
+    after_date = f"get(filter({H.select('p', CARD)}, p -> p.prev >= 0 and {H.css('.card__date', f'get({NODES}, p.prev)')}), 0)"
+    staged = _with(
+        cards, anchor=H.first(".card__heading a[href]", CARD), time=H.first("time[datetime]", CARD), tags=labels(".tag-list a[href]"),
+        types=labels(".tag-list a[href*=/type/]"), paragraph=after_date,
+    ).where("anchor is not null and time is not null")
+    rows = _with(
+        staged, title=sql_clean_text(H.text_of("anchor")), published_at=sql_parse_datetime(H.attr("time", "datetime")),
+        summary=f"if(paragraph is not null, {sql_clean_text(H.text_of('paragraph'))}, '')",
+    ).withColumn("webpage_url", _href("anchor")).where("published_at is not null and title <> ''")
     built = F.concat(F.lit(V.BRIEFING_PDF_ROOT), "identifier", F.lit("/"), "identifier", F.lit(".pdf"))
-    return rows.withColumn("identifier", identifier).select(
-        "page_url", "position", "published_at", "chamber", "publisher", "title",
-        F.when(F.col("paragraph").isNotNull(), clean_text(H.text_of(texts, F.col("paragraph")))).otherwise(F.lit("")).alias("summary"),
-        "identifier", "webpage_url", F.when(F.col("identifier").rlike("^(CBP|SN)-"), built).otherwise(F.lit("")).alias("pdf_url"),
-        F.filter("tags", lambda t: ~F.array_contains(F.col("types"), t)).alias("topics"),
+    return rows.withColumn("identifier", briefing_identifier(F.col("webpage_url"), F.col("title"))).select(
+        "page_url", "position", "published_at", "chamber", "publisher", "title", "summary", "identifier", "webpage_url",
+        F.when(F.col("identifier").rlike("^(CBP|SN)-"), built).otherwise(F.lit("")).alias("pdf_url"),
+        F.expr("filter(tags, t -> not array_contains(types, t))").alias("topics"),
         F.coalesce(F.get("types", 0), F.lit("Research Briefing")).alias("document_type"),
         F.concat(F.lit("Official topic archive: "), "archive_url").alias("fetched_from"),
     )
 
 
-def in_range_dates(pages: DataFrame, start_day: Column, end_day: Column) -> DataFrame:
-    """Does a page show a publication date in the local-day range?  Review and update labels do not count."""
-    nodes, texts = _nodes(), _texts()
+def in_range_dates(pages: DataFrame) -> DataFrame:
+    """Does a page show a publication date in its local-day range?  Review and update labels do not count.
 
-    def relabelled(n: Column) -> Column:
-        siblings = F.filter(nodes, lambda m: (m["parent"] == n["parent"]) & (m["pre"] < n["pre"]) & m["tag"].isin("h3", "h4", "dt", "span"))
-        label = F.element_at(F.when(F.size(siblings) > 0, siblings), -1)
-        return F.coalesce(fold(clean_text(H.text_of(texts, label))).isin("reviewed", "last reviewed", "last updated", "updated"), F.lit(False))
-
-    def shown(n: Column) -> Column:
-        day = parse_datetime(text_or(_attr(n, "datetime"), _attr(n, "content"))).cast("date")
-        return F.coalesce(~relabelled(n) & (day >= start_day) & (day < end_day), F.lit(False))
-
-    dated = H.select(nodes, "time[datetime], meta[property=article:published_time], meta[name=datePublished]")
-    return H.with_nodes(pages).select("page_url", F.exists(dated, shown).alias("in_range"))
+    ``pages``: page_url, body, start_day, end_day.
+    """
+    before = f"filter({NODES}, m -> m.parent = n.parent and m.pre < n.pre and m.tag in ('h3', 'h4', 'dt', 'span'))"
+    label = sql_let(f"get(reverse({before}), 0)", "e", f"if(e is null, '', {sql_fold(sql_clean_text(H.text_of('e')))})")
+    day = f"cast({sql_parse_datetime(_or(H.attr('n', 'datetime'), H.attr('n', 'content')))} as date)"
+    shown = f"coalesce({label} not in ('reviewed', 'last reviewed', 'last updated', 'updated') and {sql_let(day, 'd', 'd >= start_day and d < end_day')}, false)"
+    dated = H.select("time[datetime], meta[property=article:published_time], meta[name=datePublished]")
+    return _with(H.with_nodes(pages), in_range=f"exists({dated}, n -> {shown})").select("page_url", "in_range")
 
 
 # --- links --------------------------------------------------------------------------------------------
@@ -376,13 +327,11 @@ def in_range_dates(pages: DataFrame, start_day: Column, end_day: Column) -> Data
 
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link: position, tag, path, href, absolute url, media type, rel and label."""
-    nodes, texts, card = _nodes(), _texts(), F.col("card")
-    links = _exploded(H.with_nodes(pages), H.select(nodes, "a[href], link[href]"))
+    links = _cards(H.with_nodes(pages), H.select("a[href], link[href]"))
     kept = [c for c in pages.columns if c != "body"]
-    return links.select(
-        *kept, "position", card["tag"].alias("tag"), card["path"].alias("path"), F.trim(_attr(card, "href")).alias("href"),
-        url_join(F.col("page_url"), F.trim(_attr(card, "href"))).alias("url"), F.lower(_attr(card, "type")).alias("media"),
-        F.lower(_attr(card, "rel")).alias("rel"), H.text_of(texts, card).alias("label"),
+    return _with(links, href=f"trim({H.attr(CARD, 'href')})").select(
+        *kept, "position", F.col("card.tag").alias("tag"), F.col("card.path").alias("path"), "href", url_join(F.col("page_url"), F.col("href")).alias("url"),
+        F.expr(f"lower({H.attr(CARD, 'type')})").alias("media"), F.expr(f"lower({H.attr(CARD, 'rel')})").alias("rel"), F.expr(H.text_of(CARD)).alias("label"),
     )
 
 
@@ -441,7 +390,7 @@ def candidate_sites(links: DataFrame, limit: int = 3) -> DataFrame:
         exact | (website & (site.isin(*V.SHARED_PUBLISHERS) | (site == "mygov.scot")))
     )
     good = links.where(
-        (F.col("tag") == "a") & ~H.inside_any(F.col("path"), "footer", "nav", "header") & url_scheme(F.col("url")).isin("http", "https")
+        (F.col("tag") == "a") & ~F.expr(H.inside_any("path", "footer", "nav", "header")) & url_scheme(F.col("url")).isin("http", "https")
         & ~url_host(F.col("url")).isin(*V.SOCIAL_HOSTS) & eligible
         & (~same_site(F.col("url"), F.col("page_url")) | (F.col("shared") & exact & (F.col("url") != F.col("page_url"))))
     )

@@ -15,15 +15,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubwatch.functions.base import let, squeeze
-from pubwatch.functions.text import clean_text
+from pubwatch.functions.base import q, sql_any
+from pubwatch.functions.text import sql_clean_text
 
 NODE_SCHEMA = (
     "struct<nodes:array<struct<pre:int,post:int,tag:string,path:string,prev:int,next:int,parent:int,attrs:map<string,string>>>,"
-    "texts:array<struct<pos:int,text:string>>>"
+    "texts:array<struct<pos:int,text:string,raw:boolean>>>"
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
@@ -74,7 +74,7 @@ class _Tokens(HTMLParser):
             self.clock += 1
             hidden = bool(self.open) and self.nodes[self.open[-1]]["tag"] in _HIDDEN
             if not hidden or self.nodes[self.open[-1]]["attrs"].get("type") == "application/ld+json":
-                self.texts.append({"pos": self.clock, "text": stripped if not hidden else "\x00" + stripped})
+                self.texts.append({"pos": self.clock, "text": stripped, "raw": hidden})
 
     def finish(self) -> dict:
         self.close()
@@ -94,14 +94,16 @@ def _page_nodes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_tokenise(b) for b in bodies], columns=["nodes", "texts"])
 
 
-def with_nodes(pages: DataFrame, body: str = "body", name: str = "dom") -> DataFrame:
+def with_nodes(pages: DataFrame, body: str = "body") -> DataFrame:
     """Add the node list of each page."""
-    tokenise = F.pandas_udf(_page_nodes, NODE_SCHEMA, F.PandasUDFType.SCALAR_ITER)
-    return pages.withColumn(name, tokenise(F.col(body)))
+    return pages.withColumn("dom", F.pandas_udf(_page_nodes, NODE_SCHEMA)(F.col(body)))
 
 
 # --- selectors -------------------------------------------------------------------------------------
+# Everything below is SQL text over the columns ``dom`` (see NODE_SCHEMA) and, where a page has
+# been exploded into elements, ``card``.
 
+NODES, TEXTS, CARD = "dom.nodes", "dom.texts", "card"
 _PART = re.compile(r"([.#]?[\w-]+|\*)|\[([\w:-]+)(?:([*^~]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
@@ -119,80 +121,88 @@ def _element(compound: str) -> tuple[str, list[tuple[str, str, str]]]:
     return rf"\n{looks}{tag}(?:\t[^\n]*)?", tests
 
 
-def _attribute_test(attrs: Column, test: tuple[str, str, str]) -> Column:
+def path_pattern(selector: str) -> tuple[str, list[tuple[str, str, str]]]:
+    """(regular expression for the whole path, attribute tests) of one selector without commas."""
+    pattern, tests, gap = "^", [], True
+    for token in selector.replace(">", " > ").split():
+        if token == ">":
+            gap = False
+            continue
+        line, tests = _element(token)
+        pattern += (r"(?:\n[^\n]*)*" if gap else "") + line
+        gap = True
+    return pattern + r"\z", tests
+
+
+def _attribute_test(node: str, test: tuple[str, str, str]) -> str:
     name, operator, value = test
-    found = attrs[name]
+    found = f"{node}.attrs[{q(name)}]"
     if operator == "=":
-        return F.coalesce(found == value, F.lit(False))
+        return f"coalesce({found} = {q(value)}, false)"
     if operator == "^=":
-        return F.coalesce(F.startswith(found, F.lit(value)), F.lit(False))
+        return f"coalesce(startswith({found}, {q(value)}), false)"
     if operator == "*=":
-        return F.coalesce(F.contains(found, F.lit(value)), F.lit(False))
-    return found.isNotNull()
+        return f"coalesce(contains({found}, {q(value)}), false)"
+    return f"{found} is not null"
 
 
-def css(selector: str, node: Column) -> Column:
+def css(selector: str, node: str) -> str:
     """Does ``node`` match the selector list?  Tags, classes, attributes, descendants and children."""
-    alternatives = F.lit(False)
+    plain, alternatives = [], []
     for single in selector.split(","):
-        tokens = single.replace(">", " > ").split()
-        pattern, tests, gap = r"^(?:\n[^\n]*)*", [], True
-        first = True
-        for token in tokens:
-            if token == ">":
-                gap = False
-                continue
-            line, tests = _element(token)
-            if not first and gap:
-                pattern += r"(?:\n[^\n]*)*"
-            pattern += line
-            first, gap = False, True
-        hit = node["path"].rlike(pattern + r"\z")
-        for test in tests:
-            hit = hit & _attribute_test(node["attrs"], test)
-        alternatives = alternatives | hit
-    return alternatives
-
-
-def select(nodes: Column, selector: str, within: Column | None = None) -> Column:
+        pattern, tests = path_pattern(single)
+        if tests:
+            alternatives.append("(" + " and ".join([f"{node}.path rlike {q(pattern)}", *[_attribute_test(node, t) for t in tests]]) + ")")
+        else:
+            plain.append(pattern)
+    if plain:
+        alternatives.append(f"{node}.path rlike {q('|'.join(plain))}")
+    return sql_any(alternatives)
+
+
+def below(node: str, within: str) -> str:
+    return f"{node}.pre > {within}.pre and {node}.pre <= {within}.post"
+
+
+def select(selector: str, within: str | None = None) -> str:
     """All nodes below ``within`` (or of the page) that match, in document order."""
-    def wanted(n: Column) -> Column:
-        inside = css(selector, n)
-        return inside if within is None else (n["pre"] > within["pre"]) & (n["pre"] <= within["post"]) & inside
+    scope = f"{below('n', within)} and " if within else ""
+    return f"filter({NODES}, n -> {scope}{css(selector, 'n')})"
+
 
-    return F.filter(nodes, wanted)
+def first(selector: str, within: str | None = None) -> str:
+    return f"get({select(selector, within)}, 0)"
 
 
-def first(nodes: Column, selector: str, within: Column | None = None) -> Column:
-    return F.get(select(nodes, selector, within), 0)
+def _pieces(condition: str) -> str:
+    return f"filter({TEXTS}, p -> {condition})"
 
 
-def text_of(texts: Column, node: Column) -> Column:
+def text_of(node: str) -> str:
     """Text pieces below a node, joined by one blank."""
-    pieces = F.filter(
-        texts, lambda t: (t["pos"] > node["pre"]) & (t["pos"] <= node["post"]) & ~F.startswith(t["text"], F.lit("\x00"))
-    )
-    return F.array_join(F.transform(pieces, lambda t: t["text"]), " ")
+    seen = _pieces(f"p.pos > {node}.pre and p.pos <= {node}.post and not p.raw")
+    return f"array_join(transform({seen}, p -> p.text), ' ')"
 
 
-def page_text(texts: Column) -> Column:
-    return F.array_join(F.transform(F.filter(texts, lambda t: ~F.startswith(t["text"], F.lit("\x00"))), lambda t: t["text"]), " ")
+def page_text() -> str:
+    return f"array_join(transform({_pieces('not p.raw')}, p -> p.text), ' ')"
 
 
-def script_text(texts: Column, node: Column) -> Column:
+def script_text(node: str) -> str:
     """Raw content of a structured-data script."""
-    pieces = F.filter(texts, lambda t: (t["pos"] > node["pre"]) & (t["pos"] <= node["post"]) & F.startswith(t["text"], F.lit("\x00")))
-    return F.array_join(F.transform(pieces, lambda t: F.substring(t["text"], 2, 2147483647)), "")
+    raw = _pieces(f"p.pos > {node}.pre and p.pos <= {node}.post and p.raw")
+    return f"array_join(transform({raw}, p -> p.text), '')"
 
 
-def clean_text_of(texts: Column, node: Column) -> Column:
-    return clean_text(text_of(texts, node))
+def clean_text_of(node: str) -> str:
+    return sql_clean_text(text_of(node))
 
 
-def inside_any(path: Column, *tags: str) -> Column:
-    """Is the node below one of these elements?"""
-    return path.rlike("^(?:\\n[^\\n]*)*\\n(?:" + "|".join(tags) + ")(?:\\t[^\\n]*)?\\n")
+def attr(node: str, name: str) -> str:
+    return f"coalesce({node}.attrs[{q(name)}], '')"
 
 
-def label_of(texts: Column, node: Column) -> Column:
-    return let(text_of(texts, node), squeeze)
+def inside_any(path: str, *tags: str) -> str:
+    """Is the node below one of these elements?"""
+    pattern = r"^(?:\n[^\n]*)*\n(?:" + "|".join(tags) + r")(?:\t[^\n]*)?\n"
+    return f"{path} rlike {q(pattern)}"
