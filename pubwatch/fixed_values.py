@@ -360,6 +360,63 @@ ALIAS_MARKERS = {
     "Wales": ("wales", "welsh"),
 }
 
+# --- fixed values: directories of public bodies and their literal rows -------------------
+SCOTLAND_DIRECTORY = "https://www.gov.scot/publications/national-public-bodies-directory/"
+WALES_DIRECTORY = "https://www.gov.wales/organisations"
+NI_DEPARTMENTS = "https://www.nidirect.gov.uk/contacts/government-departments-in-northern-ireland"
+NI_BODIES = "https://www.publicappointmentsni.org/list-bodies-we-regulate"
+NI_FINANCE_DIRECTORY = "https://www.finance-ni.gov.uk/articles/list-bodies-which-public-procurement-policy-statement-applies"
+EW_COURTS = "https://www.judiciary.uk/structure-of-courts-and-tribunals-system/"
+SCOTLAND_COURTS = "https://www.scotcourts.gov.uk/courts-and-tribunals/"
+WALES_TRIBUNALS = "https://www.gov.wales/welsh-tribunals/about-us"
+NI_COURTS = "https://www.judiciaryni.uk/"
+NI_COURTS_EVIDENCE = "https://www.judiciaryni.uk/files/judiciaryni/media-files/Court%20Structure%20in%20Northern%20Ireland_1.pdf"
+NI_FINANCE_BODIES = (
+    "Public Prosecution Service for Northern Ireland", "Attorney General for Northern Ireland",
+    "Commissioner for Public Appointments for Northern Ireland",
+    "Commissioner for Survivors of Institutional Childhood Abuse", "Community Relations Council",
+    "Driver and Vehicle Agency", "Education Training Inspectorate",
+    "Equality Commission for Northern Ireland", "Exceptional Circumstances Body", "Fiscal Council",
+    "Forensic Science Northern Ireland", "Forest Service", "Legal Services Agency Northern Ireland",
+    "Northern Ireland Courts and Tribunals Service", "Northern Ireland Environment Agency",
+    "Northern Ireland Prison Service", "Northern Ireland Prisoner Ombudsman",
+    "Northern Ireland Statistics and Research Agency",
+    "Planning Appeals and Water Appeals Commission", "Police Service of Northern Ireland",
+    "Victims and Survivors Service Ltd", "Victims’ Payment Board", "Youth Justice Agency",
+)
+SCOTLAND_COURT_PAGES = {
+    "Court of Session": SCOTLAND_COURTS + "the-supreme-courts/the-court-of-session/",
+    "High Court of Justiciary": SCOTLAND_COURTS + "the-supreme-courts/the-high-court-of-justiciary/",
+    "Sheriff Appeal Court": SCOTLAND_COURTS + "appeals-courts/",
+    "Sheriff Courts": SCOTLAND_COURTS + "sheriff-and-justice-of-the-peace-courts/",
+    "Justice of the Peace Courts": SCOTLAND_COURTS + "sheriff-and-justice-of-the-peace-courts/",
+    "Scottish Tribunals": SCOTLAND_COURTS + "scottish-tribunals/",
+    "Upper Tribunal for Scotland": SCOTLAND_COURTS + "scottish-tribunals/",
+    "First-tier Tribunal for Scotland": SCOTLAND_COURTS + "scottish-tribunals/",
+}
+WALES_TRIBUNAL_NAMES = (
+    "Adjudication Panel for Wales", "Agricultural Land Tribunal for Wales",
+    "Mental Health Review Tribunal for Wales", "Education Tribunal for Wales",
+    "Residential Property Tribunal Wales", "Welsh Language Tribunal",
+)
+NI_COURT_NAMES = (
+    "Court of Appeal in Northern Ireland", "High Court of Justice in Northern Ireland",
+    "Crown Court in Northern Ireland", "County Court in Northern Ireland",
+    "Magistrates' Courts in Northern Ireland", "Northern Ireland Tribunal Service",
+)
+# id -> (name, jurisdiction, homepage, feed, provenance)
+COURT_FEEDS = {
+    "court-ew:judgments": (
+        "Courts and Tribunals Judiciary judgments", "England and Wales", "https://www.judiciary.uk/judgments/",
+        "https://www.judiciary.uk/judgments/feed/", "https://www.judiciary.uk/rss-feeds/"),
+    "court-ew:announcements": (
+        "Courts and Tribunals Judiciary announcements", "England and Wales", "https://www.judiciary.uk/announcements/",
+        "https://www.judiciary.uk/announcements/feed/", "https://www.judiciary.uk/rss-feeds/"),
+    "court-scotland:judgments": (
+        "Scottish Courts and Tribunals Service judgments", "Scotland", "https://www.scotcourts.gov.uk/judgments/",
+        "https://api.pa.web.scotcourts.gov.uk/web/rss/Judgments", "https://www.scotcourts.gov.uk/rss-feeds/"),
+}
+
 # --- fixed values: challenge page ------------------------------------------------------
 CHALLENGE_WINDOW_CHARS = 10000
 
