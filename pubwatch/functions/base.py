@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 # The characters a Unicode-aware \s matches, spelled out so that Java needs no (?U) flag.
 SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# The same set beyond ASCII as plain characters, and the ASCII characters other than the blank.
+WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+NARROW_SPACE = r"[\x09-\x0d\x1c-\x1f]"
+
+
 
 def q(value: str) -> str:
     """A SQL string literal."""
@@ -52,9 +57,17 @@ def text_or(value: Column, default: Column | str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), fallback)
 
 
+def sql_squeeze(x: str) -> str:
+    """SQL text of :func:`squeeze`: white space to blanks by one-character classes, which regular
+    expressions scan fast, and runs of blanks only where there are any."""
+    narrow = f"if(octet_length(w) = length(w), w, regexp_replace(w, {q('[' + WIDE_SPACE + ']')}, ' '))"
+    blanks = f"regexp_replace({narrow}, {q(NARROW_SPACE)}, ' ')"
+    return sql_let(x, "w", sql_let(blanks, "b1", "trim(if(contains(b1, '  '), regexp_replace(b1, '  +', ' '), b1))"))
+
+
 def squeeze(value: Column) -> Column:
     """Collapse every run of white space to one blank and strip both ends."""
-    return F.trim(F.regexp_replace(value, f"[{SPACE}]+", " "))
+    return bind(value, sql_squeeze("x"))
 
 
 def strip(value: Column) -> Column:

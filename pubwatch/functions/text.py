@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
 from pubwatch.functions.base import (
-    SPACE, bind, fold, literal_array, literal_map, ordered_distinct, q, sql_any, sql_let, squeeze, strip, text_or,
+    bind, fold, literal_array, literal_map, ordered_distinct, q, sql_any, sql_let, sql_squeeze, squeeze, strip, text_or,
 )
 
 HIDDEN_ELEMENTS = r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
@@ -56,10 +56,6 @@ def sql_unescape(x: str) -> str:
     return f"if(contains({x}, '&'), array_join(transform(regexp_extract_all({x}, {q(_TOKEN)}, 0), t -> {decode}), ''), {x})"
 
 
-def sql_squeeze(x: str) -> str:
-    return f"trim(regexp_replace({x}, {q(f'[{SPACE}]+')}, ' '))"
-
-
 def sql_fold(x: str) -> str:
     return f"replace(lower({x}), 'ß', 'ss')"
 
@@ -132,8 +128,8 @@ def sql_strip_boilerplate(x: str) -> str:
     without = "n"
     for phrase in V.BOILERPLATE_PHRASES:
         without = f"regexp_replace({without}, {q(rf'(?iu)' + chr(92) + 'Q' + phrase + chr(92) + 'E')}, ' ')"
-    any_name = "(?iu)" + "|".join(rf"\Q{p}\E" for p in V.BOILERPLATE_PHRASES)
-    named = sql_let(cleaned, "n", f"if(n rlike {q(any_name)}, {sql_squeeze(without)}, n)")
+    mentioned = sql_let("lower(n)", "l", sql_any(f"contains(l, {q(p.lower())})" for p in V.BOILERPLATE_PHRASES))
+    named = sql_let(cleaned, "n", f"if({mentioned}, {sql_squeeze(without)}, n)")
     tests = sql_any(f"contains(f, {q(p)})" for p in V.BOILERPLATE_SENTENCES)
     kept = f"filter(split(b, {q(r'(?<=[.!?]) +')}), o -> not {sql_let(sql_fold('o'), 'f', tests)})"
     return sql_let(named, "b", f"if({sql_let(sql_fold('b'), 'f', tests)}, trim(array_join({kept}, ' ')), b)")

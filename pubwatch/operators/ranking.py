@@ -64,10 +64,13 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
         F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
         F.percentile_approx("_v", bounds, _SKETCH_ACCURACY).alias("_b"),
     )
+    # A small group is ordered whole; beyond that size the bracket spans at least five ranks each way.
+    small = F.col("n") <= _SKETCH_ACCURACY
     sought = F.array(*[
         F.struct(
             F.lit(k).alias("k"), rank(F.col("n")).alias("rank"),
-            F.element_at("_b", 2 * k + 1).alias("low"), F.element_at("_b", 2 * k + 2).alias("high"),
+            F.when(small, F.col("min")).otherwise(F.element_at("_b", 2 * k + 1)).alias("low"),
+            F.when(small, F.col("max")).otherwise(F.element_at("_b", 2 * k + 2)).alias("high"),
         ) for k, (_fraction, rank) in enumerate(ranks.values())
     ])
     # Counting by value first means that ties and repeated values cost one row.

@@ -202,13 +202,22 @@ def relevance_level(score: Column) -> Column:
     )
 
 
+def _assessed(records: DataFrame, index: KeywordIndex) -> DataFrame:
+    """Add the assessment struct ``_found``, computed once per record.
+
+    It is generated rather than projected, because a filter on a projected column is pushed below
+    the projection and would evaluate the whole assessment again for every predicate.
+    """
+    return records.select("*", F.explode(F.array(index.assess(F.col("title"), F.col("summary")))).alias("_found"))
+
+
 def annotate(records: DataFrame, profile: Profile, link: str | None = "link") -> DataFrame:
     """Add ``included`` and the match columns; rows below the minimum keep empty match columns.
 
     Give ``link`` for news (landing pages never qualify) and None for briefings.
     """
     index = KeywordIndex.of(profile)
-    scored = records.withColumn("_found", index.assess(F.col("title"), F.col("summary")))
+    scored = _assessed(records, index)
     good = F.col("_found.score") >= profile.minimum_score
     if link is not None:
         good = good & ~is_agency_homepage(F.col(link))
@@ -235,7 +244,7 @@ def filter_relevant(records: DataFrame, profile: Profile, link: str | None = "li
     scored = records
     if link is not None:
         scored = scored.where(~is_agency_homepage(F.col(link)))
-    scored = scored.withColumn("_found", index.assess(F.col("title"), F.col("summary")))
+    scored = _assessed(scored, index)
     return scored.where(F.col("_found.score") >= profile.minimum_score).withColumns(index.explain("_found")).drop("_found")
 
 

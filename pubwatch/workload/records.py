@@ -122,7 +122,7 @@ SCORED_CTES = matching_ctes(P, "news", "doc_id")
   AND ({joined_phrases(P, 'kt{i} OR ks{i}', strength='core')}) <> '' AND contains({T.fold("title || ' ' || summary")}, 'tion')
   AND ({joined_topics(P)}) LIKE '%Supply%' AND published_at >= TIMESTAMP '2024-01-05' AND published_at < TIMESTAMP '2024-01-26'""")
 def _(t):
-    rows = relevance.annotate(t.news, P).withColumns({"item_type": F.lit("news"), "source": F.col("agency")})
+    rows = relevance.annotate(t.spread(t.news), P).withColumns({"item_type": F.lit("news"), "source": F.col("agency")})
     wanted = filters.ResultFilters(
         query=" TION ", item_type="news", strength="core", topic="Supply", minimum_score=12, maximum_score=40, date_start=date(2024, 1, 5), date_end=date(2024, 1, 25)
     )
@@ -132,7 +132,7 @@ def _(t):
 @query("sort_results", with_tables(T.NEWS) + ', ' + SCORED_CTES + f""", shown AS (SELECT *, CASE WHEN score >= 12 AND NOT {HOMEPAGE} THEN score ELSE 0 END AS s FROM assessed)
   SELECT row_number() OVER (ORDER BY s DESC, doc_id) AS place, doc_id, s AS relevance_score FROM shown""")
 def _(t):
-    rows = relevance.annotate(t.news, P).withColumns({"item_type": F.lit("news"), "source": F.col("agency")})
+    rows = relevance.annotate(t.spread(t.news), P).withColumns({"item_type": F.lit("news"), "source": F.col("agency")})
     numbered = ranking.number_rows(rows.select("doc_id", "relevance_score"), [F.col("relevance_score").desc(), F.col("doc_id")], "place")
     return numbered
 
@@ -192,7 +192,7 @@ def _keyword_sql() -> str:
 
 @query("join_keywords", _keyword_sql())
 def _(t):
-    return relevance.join_keywords(t.news, P, "doc_id", "summary")
+    return relevance.join_keywords(t.spread(t.news), P, "doc_id", "summary")
 
 
 @query("join_health_fetched_at", with_tables(T.NEWS) + """SELECT doc_id, CASE WHEN u.s IN (SELECT DISTINCT 'src' || CAST(user_id AS VARCHAR) FROM events WHERE user_id % 2 = 0) THEN 'at ' || u.s ELSE 'run' END AS fetched_at
@@ -288,13 +288,13 @@ def _(t):
         numbers = bind(F.col(column), sql_let(sql_matching_text("x"), "w", index.sql_match("w")))
         return F.array_join(F.transform(numbers, lambda n: F.element_at(F.expr(index._strings(index.phrases)), n)), V.LIST_SEPARATOR)
 
-    return t.news.select("doc_id", found("title").alias("in_title"), found("summary").alias("in_summary"))
+    return t.spread(t.news).select("doc_id", found("title").alias("in_title"), found("summary").alias("in_summary"))
 
 
 @query("suppress_overlaps", with_tables(T.NEWS) + ', ' + SCORED_CTES + f""" SELECT doc_id, {joined_phrases(P, 'kt{i}', order=lambda i: i)} AS in_title, {joined_phrases(P, 'ks{i}', order=lambda i: i)} AS in_summary FROM assessed""")
 def _(t):
     index = KeywordIndex.of(P)
-    rows = t.news.select("doc_id", index.assess(F.col("title"), F.col("summary")).alias("a"))
+    rows = t.spread(t.news).select("doc_id", index.assess(F.col("title"), F.col("summary")).alias("a"))
     names = index._strings(index.phrases)
     return rows.select("doc_id", *[F.expr(f"array_join(transform(a.{c}, n -> element_at({names}, n)), '、')").alias(f"in_{c}") for c in ("title", "summary")])
 
@@ -302,7 +302,7 @@ def _(t):
 @query("score_relevance", with_tables(T.NEWS) + ', ' + SCORED_CTES + " SELECT doc_id, score FROM assessed")
 def _(t):
     index = KeywordIndex.of(P)
-    return t.news.select("doc_id", index.assess(F.col("title"), F.col("summary"))["score"].alias("score"))
+    return t.spread(t.news).select("doc_id", index.assess(F.col("title"), F.col("summary"))["score"].alias("score"))
 
 
 EXPLAINED = f"""{joined_topics(P)} AS topics, {joined_phrases(P, 'kt{i} OR ks{i}')} AS keywords, {joined_phrases(P, 'kt{i}')} AS title_keywords, {joined_phrases(P, 'ks{i}')} AS summary_keywords,
@@ -312,7 +312,7 @@ LEVEL = "CASE WHEN score >= 8 THEN '高' WHEN score >= 5 THEN '中' ELSE '低' E
 
 @query("explain_relevance", with_tables(T.NEWS) + ', ' + SCORED_CTES + f" SELECT doc_id, {EXPLAINED}, score, {LEVEL} AS level FROM assessed WHERE score >= 12 AND NOT {HOMEPAGE}")
 def _(t):
-    rows = relevance.filter_relevant(t.news, P)
+    rows = relevance.filter_relevant(t.spread(t.news), P)
     lists = {"topics": "matched_topics", "keywords": "matched_keywords", "title_keywords": "title_matched_keywords", "summary_keywords": "summary_matched_keywords",
              "core": "core_matched_keywords", "general": "general_matched_keywords", "supporting": "supporting_matched_keywords"}
     return rows.select("doc_id", *[F.array_join(c, V.LIST_SEPARATOR).alias(n) for n, c in lists.items()], F.col("relevance_score").alias("score"), F.col("relevance_level").alias("level"))
@@ -321,7 +321,7 @@ def _(t):
 @query("filter_relevant", with_tables(T.NEWS) + ', ' + SCORED_CTES + f""", shown AS (SELECT *, score >= 12 AND NOT {HOMEPAGE} AS included FROM assessed)
   SELECT doc_id, included, CASE WHEN included THEN score ELSE 0 END AS relevance_score, CASE WHEN included THEN {LEVEL} ELSE '' END AS level, CASE WHEN included THEN {joined_phrases(P, 'kt{i} OR ks{i}')} ELSE '' END AS keywords FROM shown""")
 def _(t):
-    return relevance.annotate(t.news, P).select(
+    return relevance.annotate(t.spread(t.news), P).select(
         "doc_id", "included", "relevance_score", F.col("relevance_level").alias("level"), F.array_join("matched_keywords", V.LIST_SEPARATOR).alias("keywords")
     )
 
@@ -339,7 +339,7 @@ DRAWN = ", ".join(f"CASE WHEN kt{i} OR ks{i} THEN '{p}' END" for i, p in _DRAWN)
 
 @query("highlight_plan", with_tables(T.NEWS) + ', ' + SCORED_CTES + f" SELECT doc_id, concat_ws('、', {DRAWN}) AS drawn FROM assessed WHERE score >= 12 AND NOT {HOMEPAGE}")
 def _(t):
-    rows = relevance.filter_relevant(t.news, P)
+    rows = relevance.filter_relevant(t.spread(t.news), P)
     plan = relevance.highlight_plan(F.col("title_keyword_strengths"), F.col("summary_keyword_strengths"))
     return rows.select("doc_id", F.array_join(F.transform(plan, lambda s: s["keyword"]), V.LIST_SEPARATOR).alias("drawn"))
 

@@ -107,6 +107,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores on a table that was read as a few large chunks; nothing to do on large tables."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def one_row(self, **columns) -> DataFrame:
         return self.spark.range(1).select(*[c.alias(n) for n, c in columns.items()])
 
