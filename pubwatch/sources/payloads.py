@@ -138,9 +138,13 @@ def scan_organisations(responses: DataFrame, provenance: Column) -> DataFrame:
     )
 
 
-def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue snapshot rows; any version but 1 is an error."""
-    raw = spark.read.option("multiLine", "true").json(path)
+def scan_catalog(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Catalogue snapshot rows; any version but 1 is an error.
+
+    A snapshot is one indented document per file; set ``one_document`` to False for JSON lines,
+    which also split across tasks.
+    """
+    raw = spark.read.option("multiLine", str(one_document).lower()).json(path)
     checked = raw.withColumn("_ok", F.assert_true(F.col("schema_version") == 1, F.lit("unsupported catalogue version")))
     return checked.where(F.col("_ok").isNull()).select(F.explode("sources").alias("s")).select("s.*")
 
