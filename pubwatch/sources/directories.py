@@ -15,6 +15,11 @@ from pubwatch.sources.cards import CARD, NODES, _cards, _with
 _COLUMNS = ["id", "name_en", "name_zh", "jurisdiction", "kind", "homepage", "status", "adapter", "feed", "provenance", "reason"]
 
 
+def _place():
+    """Order of a row over all pages of a directory."""
+    return F.struct(F.col("page_url"), F.col("position").cast("bigint").alias("position")).alias("position")
+
+
 def scotland_bodies(pages: DataFrame) -> DataFrame:
     """One row per h3 heading; its homepage is the first outside link before the next heading.
 
@@ -24,7 +29,7 @@ def scotland_bodies(pages: DataFrame) -> DataFrame:
     rows = _with(headings, name=H.text_of(CARD), stop=f"coalesce(array_min(transform(filter({NODES}, n -> n.tag = 'h3' and n.parent = card.parent and n.pre > card.pre), n -> n.pre)), if(card.parent >= 0, get({NODES}, card.parent).post + 1, 2147483647))")
     link = f"get(filter({NODES}, n -> n.pre > card.post and n.pre < stop and n.parent <> card.parent and {H.css('a[href^=http]', 'n')}), 0)"
     rows = _with(rows, link=link).where("name <> ''").withColumn("homepage", F.coalesce(F.expr("link.attrs['href']"), F.col("page_url")))
-    return rows.select(*directory_entry("scotland", F.col("name"), F.lit("Scotland"), F.col("kind"), F.col("homepage"), F.col("page_url")), "page_url", "position")
+    return rows.select(*directory_entry("scotland", F.col("name"), F.lit("Scotland"), F.col("kind"), F.col("homepage"), F.col("page_url")), _place())
 
 
 def wales_bodies(pages: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def wales_bodies(pages: DataFrame) -> DataFrame:
     rows = _with(items, anchor=H.first(".index-list__title a[href]", CARD), type=H.first(".index-list__type", CARD)).where("anchor is not null")
     rows = _with(rows, kind=f"if(type is null, 'Other', {H.text_of('type')})", name=H.text_of("anchor"), href=H.attr("anchor", "href")).where("kind <> 'Local government'")
     homepage = url_join(F.lit(V.WALES_DIRECTORY), F.col("href"))
-    entry = rows.select(*directory_entry("wales", F.col("name"), F.lit("Wales"), F.col("kind"), homepage, F.lit(V.WALES_DIRECTORY)), "href", "page_url", "position")
+    entry = rows.select(*directory_entry("wales", F.col("name"), F.lit("Wales"), F.col("kind"), homepage, F.lit(V.WALES_DIRECTORY)), "href", _place())
     return entry.withColumn("id", F.concat(F.lit("wales:"), F.replace(F.regexp_replace("href", "^/+|/+$", ""), F.lit("/"), F.lit("-")))).drop("href")
 
 
@@ -41,7 +46,7 @@ def ni_departments(pages: DataFrame) -> DataFrame:
     links = _with(_cards(H.with_nodes(pages), H.select("article li a[href]")), name=H.text_of(CARD), href=H.attr(CARD, "href"))
     rows = links.where("name like 'Department%' or name = 'The Executive Office'")
     homepage = url_join(F.lit(V.NI_DEPARTMENTS), F.col("href"))
-    return rows.select(*directory_entry("ni", F.col("name"), F.lit("Northern Ireland"), F.lit("Government department"), homepage, F.lit(V.NI_DEPARTMENTS)), "page_url", "position")
+    return rows.select(*directory_entry("ni", F.col("name"), F.lit("Northern Ireland"), F.lit("Government department"), homepage, F.lit(V.NI_DEPARTMENTS)), _place())
 
 
 def ni_bodies(pages: DataFrame) -> DataFrame:
@@ -49,14 +54,14 @@ def ni_bodies(pages: DataFrame) -> DataFrame:
     items = _cards(H.with_nodes(pages), H.select("main .content ul li"))
     leading = "get(filter(dom.texts, p -> p.pos > card.pre and p.pos <= card.post and not p.raw), 0).text"
     rows = _with(items, name=f"coalesce({leading}, '')").where("name <> '' and name not like '%:'")
-    return rows.select(*directory_entry("ni", F.col("name"), F.lit("Northern Ireland"), F.lit("Public body"), F.lit(V.NI_BODIES), F.lit(V.NI_BODIES)), "page_url", "position")
+    return rows.select(*directory_entry("ni", F.col("name"), F.lit("Northern Ireland"), F.lit("Public body"), F.lit(V.NI_BODIES), F.lit(V.NI_BODIES)), _place())
 
 
 def ew_courts(pages: DataFrame) -> DataFrame:
     links = _with(_cards(H.with_nodes(pages), H.select("main .organogram a[href]")), name=H.text_of(CARD), href=H.attr(CARD, "href")).where("name <> ''")
     place = F.when(F.contains("name", F.lit("Supreme Court")), F.lit("UK")).otherwise(F.lit("England and Wales"))
     homepage = url_join(F.lit(V.EW_COURTS), F.col("href"))
-    rows = links.select(*directory_entry("court-ew", F.col("name"), place, F.lit("Court or tribunal"), homepage, F.lit(V.EW_COURTS)), "page_url", "position")
+    rows = links.select(*directory_entry("court-ew", F.col("name"), place, F.lit("Court or tribunal"), homepage, F.lit(V.EW_COURTS)), _place())
     return suffix_collisions(rows)
 
 
@@ -81,8 +86,9 @@ def scan_directories(spark: SparkSession, landed: dict[str, DataFrame]) -> DataF
     """All directories in one catalogue table; the first row of an id wins, literal rows come last."""
     readers = {"scotland": scotland_bodies, "wales": wales_bodies, "ni_departments": ni_departments, "ni_bodies": ni_bodies, "courts": ew_courts}
     parts = [
-        readers[name](pages).select(*_COLUMNS, F.struct(F.lit(i).alias("part"), F.col("page_url"), F.col("position").cast("bigint").alias("position")).alias("position"))
+        readers[name](pages).select(*_COLUMNS, F.struct(F.lit(i).alias("part"), F.col("position").alias("place")).alias("position"))
         for i, (name, pages) in enumerate(landed.items())
     ]
-    literal = literal_rows(spark).withColumn("position", F.struct(F.lit(99).alias("part"), F.lit("").alias("page_url"), F.lit(0).cast("bigint").alias("position")))
+    nowhere = F.struct(F.lit("").alias("page_url"), F.lit(0).cast("bigint").alias("position"))
+    literal = literal_rows(spark).withColumn("position", F.struct(F.lit(99).alias("part"), nowhere.alias("place")))
     return first_per_id(union_catalog(*parts, literal)).drop("position")

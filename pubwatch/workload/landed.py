@@ -131,13 +131,17 @@ def _(t):
     return t.spark.read.schema("run_id string, status string").json(folder)
 
 
-@query("scan_run_history", None)
+@query("scan_run_history", "SELECT CAST(o_orderkey AS VARCHAR) AS delivery_id FROM orders WHERE o_orderkey % 4 <> 0 ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 30")
 def _(t):
     folder = f"{checkpoint_folder(t.spark)}/history-{uuid.uuid4().hex}"
-    rows = t.runs.withColumns({"delivery_id": F.col("data_fingerprint"), "period_start": F.lit("2024-01-01"), "period_end": F.lit("2024-01-07"), "generated_at": F.lit("2024-01-08T00:00:00Z")})
+    rows = t.runs.withColumns({
+        "delivery_id": F.col("o_orderkey").cast("string"), "run_id": F.expr("if(o_orderkey % 4 = 0, '', run_id)"), "period_start": F.lit("2024-01-01"), "period_end": F.lit("2024-01-07"),
+        "generated_at": F.lit("2024-01-08T00:00:00Z"),
+    })
     rows.write.json(folder)
     history = t.spark.read.schema(payloads.RUN_SCHEMA).json(folder)
-    return limit_history(validate_summary(history).where("size(broken) = 0").drop("broken"), "generated_at", "delivery_id")
+    sound = validate_summary(history).where("size(broken) = 0")
+    return limit_history(sound, "generated_at", "delivery_id").select("delivery_id")
 
 
 # --- HTML ---------------------------------------------------------------------------------------------------------
@@ -266,13 +270,18 @@ def _(t):
     return cards.candidate_sites(cards.page_links(_link_pages(t))).select("page_url", "url")
 
 
-@query("scan_directories", None)
+DIRECTORY_COUNTS = """SELECT prefix, CAST(sum(n) AS BIGINT) AS bodies FROM (SELECT 'scotland' AS prefix, count(*) AS n FROM pages UNION ALL SELECT 'wales', count(*) FROM pages UNION ALL SELECT 'court-ew', count(*) + 2 FROM pages
+  UNION ALL SELECT unnest(['ni', 'court-scotland', 'court-wales', 'court-ni']), unnest([23, 9, 6, 6])) GROUP BY prefix"""
+
+
+@query("scan_directories", DIRECTORY_COUNTS)
 def _(t):
     pages = t.spread(t.read("pages"))
     welsh = pages.select(F.col("url").alias("page_url"), F.expr("concat(html, '<ul><li class=\"index-list__item\"><div class=\"index-list__title\"><a href=\"/body-', page_id, '\">Welsh body ', page_id, '</a></div><span class=\"index-list__type\">Board</span></li></ul>')").alias("body"))
     scottish = pages.select(F.col("url").alias("page_url"), F.expr("concat(html, '<h3>Scottish body ', page_id, '</h3><p><a href=\"https://s', page_id, '.example/\">site</a></p>')").alias("body"), F.lit("Board").alias("kind"))
     courts = pages.select(F.col("url").alias("page_url"), F.expr("concat('<main><div class=\"organogram\"><a href=\"/courts/c', page_id, '/\">Court ', page_id div 2, '</a></div></main>', html)").alias("body"))
-    return directories.scan_directories(t.spark, {"scotland": scottish, "wales": welsh, "courts": courts})
+    found = directories.scan_directories(t.spark, {"scotland": scottish, "wales": welsh, "courts": courts})
+    return found.groupBy(F.substring_index("id", ":", 1).alias("prefix")).agg(F.count("*").alias("bodies"))
 
 
 # --- streams ----------------------------------------------------------------------------------------------------------
@@ -302,11 +311,14 @@ def _(t):
     return _finished(t, live.stream_dedupe(news, "60 days").select("record_key"), "stream-dedupe").agg(F.count("*").alias("records"))
 
 
-@query("stream_health_window", None)
+@query("stream_health_window", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, 'src' || CAST(user_id AS VARCHAR) AS source, count(*) AS checks, count(*) FILTER (event_type <> 'error') AS successes FROM events
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
 def _(t):
+    # Days that the watermark has not passed yet are still open and not in the output.
     rows = T.Tables(t.spark, t.folder)
     rows.read = lambda name: _stream(t, name)
-    return _finished(t, live.stream_health_window(rows.health.select("ts", "source", "success", "item_count")), "stream-health")
+    done = _finished(t, live.stream_health_window(rows.health.select("ts", "source", "success", "item_count")), "stream-health")
+    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "checks", "successes")
 
 
 @query("stream_score", with_tables(T.NEWS) + ", " + matching_ctes(P, "news", "doc_id") + f" SELECT doc_id, score AS relevance_score FROM assessed WHERE score >= 12 AND NOT {HOMEPAGE}")

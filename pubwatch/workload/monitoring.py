@@ -471,3 +471,9 @@ def _(t):
 def _(t):
     asked = t.read("customer").selectExpr("concat('d', c_custkey) AS delivery_id")
     return ledger.recover(asked, ledger.ledger_state(_ledger(t)), F.lit(10**12), confirmed=True).select("delivery_id")
+
+
+@query("ledger_recover", with_tables(LEDGER, STATE) + "SELECT s.delivery_id, 'released' AS event FROM state s WHERE s.state = 'claimed'")
+def _(t):
+    state = ledger.ledger_state(_ledger(t))
+    return ledger.recover(state.select("delivery_id"), state, F.lit(10**12), confirmed=True).select("delivery_id", "event")

@@ -178,6 +178,13 @@ def _(t):
     return rows.select("conv_id", "turn", payloads.first_text("item", "title", "label").alias("title"), F.array_join(payloads.list_text("item", "topic", "topics"), "|").alias("topics"))
 
 
+@query("list_text", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_type WHEN 1 THEN p_brand ELSE '' END AS texts FROM part")
+def _(t):
+    item = F.expr("""parse_json(case p_partkey % 3 when 0 then concat('{"topic":[{"label":"', p_name, '"},{"title":{"_value":"', p_type, '"}},{"name":["', p_name, '"]}]}')
+      when 1 then to_json(named_struct('topics', p_brand)) else '{"topic":[]}' end)""")
+    return t.read("part").select("p_partkey", item.alias("item")).select("p_partkey", F.array_join(payloads.list_text("item", "topic", "topics", "topic.prefLabel"), "|").alias("texts"))
+
+
 # --- urls -----------------------------------------------------------------------------------------------------------
 
 SCHEME_HOST, PATH = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
