@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters a Unicode-aware \s matches, spelled out so that Java needs no (?U) flag.
@@ -102,3 +102,15 @@ def any_of(value: Column, tests: list[Column]) -> Column:
     for test in tests:
         out = out | test
     return out
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters use their values.
+
+    A filter on a projected column is pushed below the projection and evaluates the whole
+    expression again, once per predicate.  Generated columns cannot be pushed through.
+    """
+    pack = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    out = df.select(*kept, F.explode(pack).alias("_computed"))
+    return out.select(*kept, *[F.col(f"_computed.{n}").alias(n) for n in columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
-from pubwatch.functions.base import bind, literal_array, q, sql_let
+from pubwatch.functions.base import bind, computed, literal_array, q, sql_let
 from pubwatch.functions.text import is_short, sql_keyword_in_text, sql_matching_text
 from pubwatch.functions.urls import is_agency_homepage
 
@@ -203,12 +203,8 @@ def relevance_level(score: Column) -> Column:
 
 
 def _assessed(records: DataFrame, index: KeywordIndex) -> DataFrame:
-    """Add the assessment struct ``_found``, computed once per record.
-
-    It is generated rather than projected, because a filter on a projected column is pushed below
-    the projection and would evaluate the whole assessment again for every predicate.
-    """
-    return records.select("*", F.explode(F.array(index.assess(F.col("title"), F.col("summary")))).alias("_found"))
+    """Add the assessment struct ``_found``, evaluated once per record whatever is filtered on it."""
+    return computed(records, {"_found": index.assess(F.col("title"), F.col("summary"))})
 
 
 def annotate(records: DataFrame, profile: Profile, link: str | None = "link") -> DataFrame:

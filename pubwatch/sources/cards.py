@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
-from pubwatch.functions.base import q, sql_let
+from pubwatch.functions.base import computed, q, sql_let
 from pubwatch.functions.dates import sql_parse_datetime, sql_parse_index_date
 from pubwatch.functions.text import briefing_identifier, clean_text, normalize_words, sql_clean_text, sql_fold
 from pubwatch.functions.urls import (
@@ -23,15 +23,35 @@ BLOG_DATE = r"Blog publish date is\s+(\d{1,2}/\d{1,2}/\d{4})"
 PUBLISHED_PREFIX, PINNED_PREFIX = r"^Published:\s*", r"^Pinned\s+article from\s+"
 
 
+def _subtree(node: str) -> str:
+    """SQL: the part of ``dom`` below a node, the node itself left out."""
+    return (f"named_struct('nodes', filter({NODES}, n -> {H.below('n', node)}), "
+            f"'texts', filter({H.TEXTS}, p -> p.pos > {node}.pre and p.pos <= {node}.post))")
+
+
 def _cards(pages: DataFrame, found: str) -> DataFrame:
-    """One row per selected element; the page's node list stays on the row for look-ups below it."""
-    return pages.select("*", F.posexplode(F.expr(found)).alias("position", "card"))
+    """One row per selected element, with the element's own subtree as ``dom``.
+
+    The subtree is cut out before the page is exploded, so no row carries the whole page.
+    """
+    cut = f"transform({found}, c -> named_struct('card', c, 'dom', {_subtree('c')}))"
+    kept = [c for c in pages.columns if c not in ("body", "dom")]
+    return pages.select(*kept, F.posexplode(F.expr(cut)).alias("position", "_c")).select(*kept, "position", "_c.card", "_c.dom")
+
+
+def _cards_in_page(pages: DataFrame, found: str) -> DataFrame:
+    """One row per selected element next to the whole page, for rules that look around the element."""
+    return pages.drop("body").select("*", F.posexplode(F.expr(found)).alias("position", "card"))
 
 
 def _with(df: DataFrame, **texts: str) -> DataFrame:
     return df.withColumns({name: F.expr(text) for name, text in texts.items()})
 
 
+def _computed(df: DataFrame, **texts: str) -> DataFrame:
+    return computed(df, {name: F.expr(text) for name, text in texts.items()})
+
+
 def _or(first: str, second: str) -> str:
     return f"coalesce(nullif({first}, ''), {second})"
 
@@ -89,9 +109,10 @@ def index_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFr
     dom = _with(dom, generic=_generic_cards(), ruled=(
         f"if(card_rule is not null and coalesce(rule_path, path) = path, filter({NODES}, n -> n.path rlike card_rule), slice({NODES}, 1, 0))"
     ))
-    tagged = ("concat(transform(filter(generic, g -> not exists(ruled, r -> r.pre = g.pre)), g -> named_struct('ruled', false, 'node', g)), "
-              "transform(ruled, r -> named_struct('ruled', true, 'node', r)))")
-    cards = dom.select("*", F.explode(F.expr(tagged)).alias("_t")).withColumns({"card": F.col("_t.node"), "by_rule": F.col("_t.ruled")}).drop("generic", "ruled", "_t")
+    tagged = (f"concat(transform(filter(generic, g -> not exists(ruled, r -> r.pre = g.pre)), g -> named_struct('by_rule', false, 'card', g, 'dom', {_subtree('g')})), "
+              f"transform(ruled, r -> named_struct('by_rule', true, 'card', r, 'dom', {_subtree('r')})))")
+    kept = ["page_url", "source_id", "host", "anchor_rule", "title_rule", "date_rule"]
+    cards = dom.select(*kept, F.explode(F.expr(tagged)).alias("_t")).select(*kept, "_t.by_rule", "_t.card", "_t.dom").where(F.size("dom.nodes") + (F.col("card.tag") == "a").cast("int") > 0)
 
     # The parts of a generic card.
     cards = _with(
@@ -103,7 +124,7 @@ def index_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFr
     )
     container, mental = H.css(".contentContainer", CARD), "(host = 'mwcscot.org.uk' and " + H.css(".sp-content", CARD) + ")"
     covered = "cover is not null and cover_title is not null"
-    cards = _with(
+    cards = _computed(
         cards,
         link_node=f"""case when by_rule then if(anchor_rule is null, card, get({_by_rule('anchor_rule')}, 0))
             when {covered} then cover when card.tag = 'a' then card when {container} then anchor
@@ -132,13 +153,16 @@ def index_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFr
         when stated <> '' then array(stated) else {listed_dates} end""")
     parsed = f"get(filter(transform(date_texts, v -> {sql_parse_index_date('v')}), v -> v is not null), 0)"
     late = f"if(by_rule and not {H.css(V.INDEX_CARDS, CARD)}, 1, 0)"
-    return _dated_cards(cards.select(
-        "page_url", "source_id", F.struct(F.expr(late), F.col("card.pre")).alias("position"), F.expr(sql_clean_text(H.text_of("title_node"))).alias("title"),
-        _href("link_node").alias("link"), F.expr(parsed).alias("published_at"), F.expr(H.text_of(CARD)).alias("context"), F.lit("").alias("summary"),
+    rows = _computed(
+        cards, place=f"struct({late}, card.pre)", title=sql_clean_text(H.text_of("title_node")), href=H.attr("link_node", "href"), published_at=parsed, context=H.text_of(CARD),
+    )
+    return _dated_cards(rows.select(
+        "page_url", "source_id", F.col("place").alias("position"), "title", url_join(F.col("page_url"), F.col("href")).alias("link"), "published_at", "context", F.lit("").alias("summary"),
     ), since, until)
 
 
 def _dated_cards(cards: DataFrame, since: Column, until: Column | None) -> DataFrame:
+    cards = computed(cards, {"title": F.col("title"), "link": F.col("link"), "published_at": F.col("published_at")})
     good = (
         (F.length("title") >= V.MINIMUM_TITLE_CHARS) & (F.col("published_at") >= since)
         & (url_hostname(F.col("link")) == url_hostname(F.col("page_url"))) & ~F.endswith(F.lower(url_path(F.col("link"))), F.lit(".pdf"))
@@ -154,7 +178,7 @@ def _dated_cards(cards: DataFrame, since: Column, until: Column | None) -> DataF
 
 def sibling_cards(pages: DataFrame, since: Column, until: Column | None) -> DataFrame:
     """Cards whose date is the element before the intro and whose summary is the one after it."""
-    intro = _cards(H.with_nodes(pages), H.select(".news-short-article > .news-short-article-intro"))
+    intro = _cards_in_page(H.with_nodes(pages), H.select(".news-short-article > .news-short-article-intro"))
     rows = _with(
         intro, before=f"if(card.prev >= 0, get({NODES}, card.prev), null)", after=f"if(card.next >= 0, get({NODES}, card.next), null)",
         anchor=H.first("a[href]", CARD),
@@ -213,10 +237,10 @@ def page_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
     dom = H.with_nodes(pages.where(~is_agency_homepage(F.col("page_url"), F.col("homepage")))).where(content | metadata)
     dom = _with(dom, heading=H.first("h1"), og=H.first("meta[property=og:title]"), name=H.first("title"))
     title = f"case when heading is not null then {H.text_of('heading')} when og is not null then {H.attr('og', 'content')} when name is not null then {H.text_of('name')} else '' end"
-    rows = dom.select(
-        "source_id", "page_url", F.expr(sql_clean_text(title)).alias("title"), F.col("page_url").alias("link"), F.expr(sql_node_date(None)).alias("published_at"),
-        F.expr(sql_node_summary(None)).alias("summary"), F.col("page_url").alias("source_feed"), F.expr(H.page_text()).alias("context"),
+    rows = _computed(
+        dom.select("source_id", "page_url", "dom", "heading", "og", "name"), title=sql_clean_text(title), published_at=sql_node_date(None), summary=sql_node_summary(None), context=H.page_text(),
     ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & F.col("published_at").isNotNull())
+    rows = rows.select("source_id", "page_url", "title", F.col("page_url").alias("link"), "published_at", "summary", F.col("page_url").alias("source_feed"), "context")
     rows = rows.withColumn("content_type", content_type(F.col("link"), F.col("title"), F.col("context"))).drop("context")
     return rows if since is None else rows.where(F.col("published_at") >= since)
 
@@ -229,10 +253,9 @@ def official_cards(pages: DataFrame, since: Column) -> DataFrame:
         (url_host(F.col("link")) != "") & (url_host(F.col("link")) == url_host(F.col("page_url")))
         & link_allowed(F.col("link"), F.col("patterns"), F.col("homepage"))
     )
-    rows = found.select(
-        "source_id", "page_url", "position", "link", F.expr(sql_clean_text(H.text_of("anchor"))).alias("title"),
-        F.expr(sql_node_date(CARD)).alias("published_at"), F.expr(sql_node_summary(CARD)).alias("summary"), F.expr(H.text_of(CARD)).alias("context"),
-        F.regexp_replace("link", "/+$", "").alias("_link"),
+    rows = _computed(
+        found.select("source_id", "page_url", "position", "link", "anchor", "card", "dom"),
+        title=sql_clean_text(H.text_of("anchor")), published_at=sql_node_date(CARD), summary=sql_node_summary(CARD), context=H.text_of(CARD), _link="regexp_replace(link, '/+$', '')",
     ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & (F.col("published_at") >= since))
     return first_link_per_page(rows, link="_link").select(
         "source_id", "page_url", "title", "link", "published_at", "summary", F.col("page_url").alias("source_feed"),
@@ -242,16 +265,16 @@ def official_cards(pages: DataFrame, since: Column) -> DataFrame:
 
 def generic_links(pages: DataFrame, since: Column) -> DataFrame:
     """Every link with enough text, dated by the time element of its nearest article, li or div."""
-    links = _cards(H.with_nodes(pages), H.select("a[href]"))
+    links = _cards_in_page(H.with_nodes(pages), H.select("a[href]"))
     around = f"filter({NODES}, n -> n.tag in ('article', 'li', 'div') and n.pre < card.pre and n.post >= card.post)"
     staged = _with(links, scope=f"coalesce(get(reverse({around}), 0), card)", href=H.attr(CARD, "href"))
     staged = _with(staged, time=H.first("time", "scope"))
     link = F.when(F.startswith("href", F.lit("/")), url_join(F.col("page_url"), F.col("href"))).otherwise(F.col("href"))
     stamp = f"if(time is not null, {_or(H.attr('time', 'datetime'), H.text_of('time'))}, '')"
-    return staged.select(
-        "source_id", "page_url", F.expr(sql_clean_text(H.text_of(CARD))).alias("title"), link.alias("link"),
-        F.expr(sql_parse_datetime(stamp)).alias("published_at"), F.col("page_url").alias("source_feed"),
-    ).where((F.length("title") >= V.MINIMUM_TITLE_CHARS) & F.startswith("link", F.lit("http")) & (F.col("published_at") >= since))
+    rows = _computed(staged.withColumn("link", link), title=sql_clean_text(H.text_of(CARD)), published_at=sql_parse_datetime(stamp)).where(
+        (F.length("title") >= V.MINIMUM_TITLE_CHARS) & F.startswith("link", F.lit("http")) & (F.col("published_at") >= since)
+    )
+    return rows.select("source_id", "page_url", "title", "link", "published_at", F.col("page_url").alias("source_feed"))
 
 
 # --- site adapters ------------------------------------------------------------------------------------
@@ -285,7 +308,7 @@ def adapter_cards(pages: DataFrame, since: Column) -> DataFrame:
 
 def briefing_cards(pages: DataFrame) -> DataFrame:
     """Topic-archive cards as briefings; ``pages``: archive_url, page_url, body, chamber, publisher."""
-    cards = _cards(H.with_nodes(pages), H.select("article.card"))
+    cards = _cards_in_page(H.with_nodes(pages), H.select("article.card"))
 
     def labels(selector: str) -> str:
         return f"transform({H.select(selector, CARD)}, n -> {sql_clean_text(H.text_of('n'))})"
