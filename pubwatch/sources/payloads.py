@@ -218,7 +218,7 @@ RUN_SCHEMA = (
 
 def scan_run_history(spark: SparkSession, folder: str, limit: int = V.HISTORY_LIMIT) -> DataFrame:
     """Newest valid run summaries of a folder, newest file first."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.run.json").text(folder).select(
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.run.json").select(
         "value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path")
     )
     rows = raw.select("modified", "path", F.from_json("value", RUN_SCHEMA).alias("r")).select("modified", "path", "r.*")
