@@ -44,9 +44,12 @@ def page_cutoff_search(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
     """(pages that count, warning per source) of a search with a stated total.
 
     ``pages``: keys, page_no (from 0), entries, total, readable.  A page that cannot be read ends
-    the source but keeps what came before.  The window runs over page rows, at most fifty a source.
+    the source but keeps what came before.  Pages landed twice count once, so the window sees at most
+    fifty rows a source, whatever one source's share of the table.
     """
-    bounded = pages.where(F.col("page_no") < V.MAXIMUM_SEARCH_PAGES)
+    bounded = pages.where(F.col("page_no") < V.MAXIMUM_SEARCH_PAGES).groupBy(*keys, "page_no").agg(
+        F.max("entries").alias("entries"), F.max("total").alias("total"), F.bool_and("readable").alias("readable")
+    )
     upto = Window.partitionBy(*keys).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     running = bounded.withColumn("fetched", F.sum(F.when(F.col("readable"), F.col("entries")).otherwise(0)).over(upto))
     stop = ~F.col("readable") | (F.col("entries") == 0) | (F.col("fetched") >= F.col("total"))

@@ -87,9 +87,9 @@ def filter_fallback(entries: DataFrame, rules: DataFrame, since: Column, until:
     """Aggregator search entries that may stand in for an official source.
 
     ``entries``: source, title, link, published_at, publisher_url, summary, homepage.
-    ``rules`` is the four-row rule table of this package, so it is broadcast.
+    ``rules``: one row per source with a fallback; without a hint, its size decides how it is joined.
     """
-    joined = entries.join(F.broadcast(rules), "source")
+    joined = entries.join(rules, "source")
     publisher = url_host(F.coalesce(F.col("publisher_url"), F.lit("")))
     title = strip_title_suffix(F.col("source"), clean_text(F.col("title")))
     lowered = fold(F.col("title"))

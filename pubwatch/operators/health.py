@@ -68,8 +68,11 @@ def is_candidate(stamp: Column, link: Column, allowed: Column, since: Column, un
 
 
 def threshold_warning(counts: DataFrame, rules: DataFrame, since: Column, now: Column) -> DataFrame:
-    """Add ``rule_warning``: too few items, else too old."""
-    joined = counts.join(F.broadcast(rules), "source", "left")
+    """Add ``rule_warning``: too few items, else too old.
+
+    ``rules`` may grow with the sources, so it carries no broadcast hint; its size decides.
+    """
+    joined = counts.join(rules, "source", "left")
     source, items = F.col("source"), F.col("item_count")
     warning = F.coalesce(
         minimum_items_warning(source, items, F.col("minimum_items")),

@@ -373,10 +373,17 @@ def advertised_feeds(links: DataFrame) -> DataFrame:
 
 
 def _per_page(links: DataFrame, limit: int | None, name: str) -> DataFrame:
-    """Distinct urls of one page in order; the list never exceeds that page's own links."""
+    """Distinct urls of one page in order.
+
+    Repeats are combined before anything is listed, and a limited list is cut by rank first, so
+    that no list is longer than its result.
+    """
     once = links.groupBy("page_url", "url").agg(F.min("position").alias("position"))
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("page_url").orderBy("position"))
+        once = once.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda s: s["url"])
-    return once.groupBy("page_url").agg((ordered if limit is None else F.slice(ordered, 1, limit)).alias(name))
+    return once.groupBy("page_url").agg(ordered.alias(name))
 
 
 def text_feeds(pages: DataFrame) -> DataFrame:

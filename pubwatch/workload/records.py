@@ -458,7 +458,7 @@ def filters_sql() -> str:
     return "link rlike '^https://www.gov.uk/government/organisations/[^/]*/*$'"
 
 
-@query("agg_pipeline_counts", with_tables(T.NEWS, KEYED, DEDUPED) + f"""SELECT 'agency' AS family, (SELECT count(*) FROM news WHERE link <> '') AS candidate_count, (SELECT count(*) FROM news) AS source_output_count,
+@query("agg_stage_counts", with_tables(T.NEWS, KEYED, DEDUPED) + f"""SELECT 'agency' AS family, (SELECT count(*) FROM news WHERE link <> '') AS candidate_count, (SELECT count(*) FROM news) AS source_output_count,
   (SELECT count(*) FROM news WHERE published_at >= {SINCE} AND published_at < {UNTIL}) AS date_filtered_count, (SELECT count(*) FROM deduped) AS final_output_count""")
 def _(t):
     counted = t.news.agg(

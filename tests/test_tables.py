@@ -147,3 +147,23 @@ def test_resolve_source_takes_the_first_in_order(spark):
     sources = spark.createDataFrame([(0, "A", "甲 (A)", "Alpha"), (1, "B", "乙 (B)", "Beta")], "source_ord int, source_id string, display_name string, name_en string")
     rows = spark.createDataFrame([("乙 (B)", "Alpha", "B"), ("B", "x", None), ("?", "?", "A"), ("Else", "", "")], "agency string, agency_en string, unit_category string")
     assert sorted((r["agency"], r["source_id"]) for r in merge.resolve_source(rows, sources).collect()) == [("?", "A"), ("B", "B"), ("Else", "Else"), ("乙 (B)", "A")]
+
+
+def test_period_filter_reaches_the_scan(spark, tmp_path):
+    from pubwatch.operators.filters import filter_period
+
+    path = str(tmp_path / "news")
+    spark.range(10).select("id", F.timestamp_seconds("id").alias("published_at"), F.lit("x").alias("body")).write.parquet(path)
+    bounds = [F.lit(x).cast("timestamp") for x in ("1970-01-01 00:00:02", "1970-01-01 00:00:05")]
+    out = filter_period(spark.read.parquet(path), *bounds).select("id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(published_at" in plan and "LessThan(published_at" in plan and "body" not in plan
+    assert sorted(r["id"] for r in out.collect()) == [2, 3, 4]
+
+
+def test_scoring_needs_no_shuffle(spark):
+    from pubwatch.operators.relevance import default_profile, filter_relevant
+
+    rows = spark.createDataFrame([("AI plan", "", "https://x.example/1")], "title string, summary string, link string")
+    plan = filter_relevant(rows, default_profile())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
