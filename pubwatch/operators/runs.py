@@ -111,7 +111,7 @@ def performance_groups(entries: DataFrame, contract: list[str]) -> DataFrame:
     """
     grouped = entries.withColumn("group_id", F.left(F.sha2(F.to_json(F.struct(*sorted(contract)), {"ignoreNullFields": "false"}), 256), F.lit(12)))
     stats = distribution(grouped, ["group_id"], "total_wall_seconds")
-    facts = grouped.groupBy("group_id").agg(*[F.any_value(c).alias(c) for c in contract])
+    facts = grouped.select("group_id", *contract).distinct()
     ready = (F.col("n") >= V.BASELINE_MINIMUM_RUNS) & (F.col("run_kind") == "full") & (F.col("status") == "complete")
     return facts.join(stats, "group_id").withColumn("baseline_ready", ready).withColumnRenamed("n", "sample_count")
 
