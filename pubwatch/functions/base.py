@@ -12,6 +12,7 @@ SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 
 # The same set beyond ASCII as plain characters, and the ASCII characters other than the blank.
 WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+ALL_SPACE = " " + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20)))) + WIDE_SPACE
 NARROW_SPACE = r"[\x09-\x0d\x1c-\x1f]"
 
 
@@ -71,8 +72,8 @@ def squeeze(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Strip Unicode white space from both ends (Spark's trim only removes blanks)."""
-    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Strip Unicode white space from both ends (a plain trim only removes blanks)."""
+    return F.btrim(value, F.lit(ALL_SPACE))
 
 
 def fold(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
-from pubwatch.functions.base import SPACE, bind, let, q, sql_array, sql_let
+from pubwatch.functions.base import ALL_SPACE, SPACE, bind, let, q, sql_array, sql_let
 
 _SHORT_MONTHS = tuple(name[:3] for name in V.MONTH_NAMES)
 # RFC 2822 zone names and their offsets in minutes
@@ -82,7 +82,7 @@ def _written(t: str, *forms: str) -> list[str]:
 
 
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'^[{SPACE}]+|[{SPACE}]+$')}, '')"
+    return f"btrim({x}, {q(ALL_SPACE)})"
 
 
 def sql_parse_datetime(x: str) -> str:

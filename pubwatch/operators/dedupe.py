@@ -20,7 +20,7 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
 
 
 def link_form(link: Column) -> Column:
-    return fold(F.regexp_replace(strip(link), "/+$", ""))
+    return fold(F.rtrim(strip(link), F.lit("/")))
 
 
 def news_key(link: Column, agency: Column, published_at: Column, title: Column) -> Column:
@@ -44,7 +44,7 @@ def dedupe_news(news: DataFrame) -> DataFrame:
 
 
 def briefing_key() -> Column:
-    link = F.regexp_replace(F.col("webpage_url"), "/+$", "")
+    link = F.rtrim(F.col("webpage_url"), F.lit("/"))
     return F.coalesce(
         F.nullif(F.col("identifier"), F.lit("")),
         F.nullif(link, F.lit("")),
