@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
+from pubwatch.functions.base import computed
 from pubwatch.functions.dates import utc_text
 from pubwatch.functions.urls import route_category
 from pubwatch.operators import cutoff, dedupe, health, ledger, ranking, relevance, runs
@@ -334,7 +335,8 @@ LABEL_SCORES = with_tables(T.LABELLED) + ", " + matching_ctes(P, "labelled", "id
 
 def _cases(t):
     index = KeywordIndex.of(P)
-    return t.spread(t.labelled).select("id", "label", (index.assess(F.col("title"), F.col("summary"))["score"] >= 12).alias("included"))
+    scored = computed(t.spread(t.labelled), {"score": index.assess(F.col("title"), F.col("summary"))["score"]})
+    return scored.select("id", "label", (F.col("score") >= 12).alias("included"))
 
 
 @query("agg_confusion", LABEL_SCORES + """, k AS (SELECT count(*) FILTER (label = 'related' AND included) AS tp, count(*) FILTER (label = 'unrelated' AND included) AS fp, count(*) FILTER (label = 'unrelated' AND NOT included) AS tn,
