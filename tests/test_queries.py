@@ -18,9 +18,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, connection, name):
-    assert compare.difference(entry.queries()[name](spark, FOLDER), connection, entry.oracle_sql()[name]) == ""
+    assert compare.difference(entry.QUERIES[name](spark, FOLDER), connection, entry.SQL[name]) == ""
