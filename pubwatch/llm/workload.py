@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import licences, mixing, url_rules
+from pubwatch.llm import decontamination, licences, lines, mixing, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,6 +55,29 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_LINE_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {lines.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCUMENTS}),
+marked AS (SELECT k.doc_id, k.n, k.line, c.key IS NOT NULL AND c.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op4_line_dedup", _LINE_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Target weights of the mixture; a source not named has weight 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 0.5, "src3": 0.0}
 MIX_SEED = 17
