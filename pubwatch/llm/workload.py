@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import decontamination, licences, lines, mixing, url_rules
+from pubwatch.llm import ann, decontamination, licences, lines, mixing, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,6 +55,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op2_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM k""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, folder, "pages")), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -110,6 +121,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    index = ann.build_index(table(spark, folder, "embeddings"))
+    return ann.nearest(index, index.where("vec_id % 50 = 0"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.RULES)
 
 
