@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pubwatch.session import materialize
 
 #: Width of the error bound in standard deviations of the estimate.
-BOUND = 4.0
+BOUND = 2.5
 #: Queries scanned at once; a task holds their vectors.
 BLOCK_QUERIES = 2048
 #: Vectors estimated at once against 256 queries.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, licences, lines, mixing, url_rules, warc
+from pubwatch.llm import ann, decontamination, language, licences, lines, mixing, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,6 +121,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identify_documents(docs).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_nearest_neighbours")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     index = ann.build_index(table(spark, folder, "embeddings"))
