@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, language, licences, lines, mixing, url_rules, warc
+from pubwatch.llm import ann, decontamination, kneser_ney, language, licences, lines, mixing, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +133,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(index, index.where("vec_id % 50 = 0"))
 
 
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    return kneser_ney.score(docs, model).withColumn("held_out", kneser_ney.held_out()).drop("text")
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.RULES)
 
 
