@@ -8,21 +8,21 @@ shuffled, as (digest, document), for the exact count of documents and the choice
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from pubwatch.llm import bits as bit_arrays
 from pubwatch.llm import textual
 from pubwatch.session import materialize
 
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
 #: Bounds of a filter's bits. A full filter suspects more lines, which costs a shuffle and changes no result.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
-BLOCK_BYTES = 1 << 14
 STRIPPED = " \t\n\x0b\x0c\r"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = bytes.maketrans(textual.UPPER, textual.UPPER.lower())
@@ -54,67 +54,15 @@ def keys_of(offsets: np.ndarray, data: bytes, least: int) -> tuple[np.ndarray, n
     return first, last, textual.segment_hashes(text, inside, first), folded
 
 
-def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def has(filter_bytes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (filter_bytes[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-
-
-def put(filter_bytes: np.ndarray, place: np.ndarray) -> None:
-    np.bitwise_or.at(filter_bytes, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
-
-
-def _partial_filters(bits: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = (np.zeros(bits // 8, dtype=np.uint8) for _ in range(2))
-        for batch in batches:
-            for _, offsets, data in textual.slices(batch.column(0)):
-                for place in places(keys_of(offsets, data, least)[2], bits):
-                    place, count = np.unique(place, return_counts=True)
-                    put(twice, place[(count > 1) | has(once, place)])
-                    put(once, place)
-        yield from _blocks(once, twice)
-
-    return run
-
-
-def _blocks(once: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(once), BLOCK_BYTES):
-        if once[k : k + BLOCK_BYTES].any():
-            packed = [zlib.compress(x[k : k + BLOCK_BYTES].tobytes(), 1) for x in (once, twice)]
-            yield pa.record_batch([pa.array([k // BLOCK_BYTES], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["block", "once", "twice"])
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seen twice: twice in a task, or once in two tasks.  Rows stream; a task holds its few blocks only."""
-    merged: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            once, twice = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in packed)
-            if block in merged:
-                known = merged[block]
-                known[1] = known[1] | twice | (known[0] & once)
-                known[0] = known[0] | once
-            else:
-                merged[block] = [once, twice]
-    for block, (_, twice) in merged.items():
-        if twice.any():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["block", "twice"])
-
-
 def twice_filter(docs: DataFrame, text: str, least: int = MIN_CHARS, most_bits: int = MOST_BITS) -> np.ndarray:
     """The merged second filter; at most ``most_bits`` / 8 bytes come to the driver."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = min(most_bits, max(LEAST_BITS, 1 << int(size // 16).bit_length()))
-    parts = docs.select(text).mapInArrow(_partial_filters(bits, least), "block int, once binary, twice binary")
-    n = max(1, bits // 8 // BLOCK_BYTES // 16)
-    merged = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").mapInArrow(_merge, "block int, twice binary").collect():
-        merged[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = np.frombuffer(zlib.decompress(row.twice), dtype=np.uint8)
-    return merged
+    bits = bit_arrays.bits_for(size / 256, LEAST_BITS, most_bits)
+
+    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (keys_of(offsets, data, least)[2] for _, offsets, data in textual.slices(batch.column(0)))
+
+    return bit_arrays.gather_filter(docs.select(text).mapInArrow(bit_arrays.filters(hashes_of, bits), bit_arrays.SCHEMA), bits, twice=True)
 
 
 def suspects(docs: DataFrame, doc_id: str, text: str, twice: np.ndarray, least: int = MIN_CHARS) -> DataFrame:
@@ -123,20 +71,16 @@ def suspects(docs: DataFrame, doc_id: str, text: str, twice: np.ndarray, least:
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = len(shared.value) * 8
         for batch in batches:
             for row, offsets, data in textual.slices(batch.column(1)):
                 first, last, hashes, folded = keys_of(offsets, data, least)
-                a, b = places(hashes, bits)
-                seen = np.flatnonzero(has(shared.value, a) & has(shared.value, b))
+                seen = np.flatnonzero(bit_arrays.contains(shared.value, hashes))
                 at = np.searchsorted(offsets, first[seen], side="right") - 1 + row
                 found = {(int(r), hashlib.md5(folded[first[k] : last[k] + 1], usedforsecurity=False).digest()) for r, k in zip(at, seen, strict=True)}
                 if found:
                     rows, digests = zip(*found, strict=True)
                     yield pa.record_batch([pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], ["digest", "doc_id"])
 
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
     return docs.select(doc_id, text).mapInArrow(run, StructType([StructField("digest", BinaryType()), StructField("doc_id", kind)]))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, kneser_ney, language, licences, lines, mixing, url_rules, warc
+from pubwatch.llm import ann, decontamination, jaccard, kneser_ney, language, licences, lines, mixing, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,6 +121,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
