@@ -41,7 +41,7 @@ class Seeds:
     """The hashed places of a block of items, sorted by hash."""
 
     def __init__(self, texts: list[str | None], masks=MASKS):
-        self.hashes, self.bounds = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in _pieces(texts))
+        self.hashes, self.bounds = (np.concatenate(x) for x in _pieces(texts))
         self.masks, self.keys, self.places = masks, [], []
         item = np.searchsorted(self.bounds, np.arange(len(self.hashes)), side="right") - 1
         for mask in masks:
@@ -69,7 +69,7 @@ class Seeds:
 
 
 def _pieces(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found, ends, total = [], [np.zeros(1, dtype=np.int64)], 0
+    found, ends, total = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
     for _, offsets, data in textual.slices(pa.array(texts, pa.string())):
         hashes, bounds = textual.words(offsets, data, FOLD)
         found.append(hashes)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -25,10 +25,10 @@ from pubwatch.llm import bits, textual
 from pubwatch.session import materialize
 
 WORDS, PERCENT = 4, 85
-GROUP = 8
+GROUP = 32
 #: Bounds of the sketch's cells; fuller cells only worsen the order of shingles.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
-SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
+SALTS = textual.mix(np.arange(1, 7, dtype=np.uint64))
 
 
 def shingles(offsets: np.ndarray, data: bytes, n: int) -> Iterator[np.ndarray]:
@@ -54,10 +54,15 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_prefix(n, percent: int):
+    """How many shingles of their prefixes two linked sets share at least, for the smaller size n."""
+    return (100 - percent) * n // 100 + 1
+
+
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """For every sketch cell how much more often than the mean its shingles occur, as a binary logarithm."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    cells = bits.bits_for(size / 256, LEAST_CELLS, MOST_CELLS, 1)
+    cells = bits.bits_for(size / 32, LEAST_CELLS, MOST_CELLS, 1)
     shift = np.uint64(64 - cells.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +70,15 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
         for batch in batches:
             for _, offsets, data in textual.slices(batch.column(0)):
                 words, _ = textual.words(offsets, data)
-                total += np.bincount((textual.combine(words, n) >> shift).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(total, (textual.combine(words, n) >> shift).astype(np.int64), np.uint32(1))
         yield from bits.blocks(total)
 
     total = bits.gather_counts(docs.select(text).mapInArrow(run, bits.SCHEMA), cells)
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / (2 * max(1.0, float(total.mean())))) + 1)).astype(np.uint8)
+    kinds, least = np.zeros(cells, dtype=np.uint8), 2 * max(1.0, float(total.mean()))
+    while (above := total >= least).any():
+        kinds += above
+        least *= 2
+    return kinds
 
 
 def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -90,7 +99,7 @@ def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     nodes.append(node_of(s))
                     sizes.append(size)
                     kind = table[(s >> shift).astype(np.int64)]
-                    prefixes.append(s[np.argsort(kind, kind="stable")[: size - least_overlap(size, percent) + 1 if size else 0]])
+                    prefixes.append(s[np.argsort(kind, kind="stable")[: size - least_overlap(size, percent) + shared_prefix(size, percent) if size else 0]])
                     rare = s[kind == 0]
                     rare = rare if len(rare) else s
                     mins.append(textual.mix(rare[:, None] ^ SALTS[None, :]).min(axis=0) if size else s)
@@ -148,11 +157,19 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def stars(nodes: DataFrame) -> DataFrame:
-    """``a, b``: nodes that share a minimum hash with ``b``, the smallest such node, and have a fitting size."""
+    """``a, b, n, bn``: nodes that share a minimum hash with ``b``, the leader of those that share it.
+
+    The leader is the node whose minimum hashes are shared most, so the text that copies derive from rather than a
+    copy; ties go to the smaller node.
+    """
     keys = materialize(nodes.select("node", "n", F.posexplode("mins").alias("k", "least")).groupBy("k", "least", "node").agg(F.first("n").alias("n")), "minimum-hashes")
-    first = keys.groupBy("k", "least").agg(F.min(F.struct("node", "n")).alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(keys.groupBy("k", "least").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-hashes")
+    met = materialize(keys.join(shared, ["k", "least"]), "met-hashes")
+    fame = met.groupBy("node").agg(F.sum("m").alias("fame"))
+    famed = materialize(met.join(fame, "node").select("k", "least", "node", "n", "fame"), "famed-hashes")
+    first = famed.groupBy("k", "least").agg(F.max(F.struct("fame", -F.col("node"), "node", "n")).alias("b"))
     first = materialize(first.select("k", "least", F.col("b.node").alias("b"), F.col("b.n").alias("bn")), "leaders")
-    return keys.join(first, ["k", "least"]).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b", "n", "bn").distinct()
+    return famed.join(first, ["k", "least"]).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b", "n", "bn").distinct()
 
 
 def fitting(a: str, b: str, percent: int):
@@ -183,19 +200,19 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP))
     grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp")), "groups")
-    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").groupBy("token", "node").agg(F.first("n").alias("n"))
-    posted = posted.join(grouped, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
+    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").join(grouped, "node", "left")
+    posted = posted.select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
+    # Dealt by token once: distinct rows and the tokens of several components need no further exchange.
+    by_token = Window.partitionBy("token")
+    distinct = posted.repartition(F.col("token")).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "comp", "grp")))
+    posted = distinct.withColumn("c", F.min("comp").over(by_token)).withColumn("d", F.max("comp").over(by_token)).where("c <> d").drop("c", "d")
     posted = materialize(posted, "postings")
-    # The matrix' columns for a token: the groups with it, their component and the range of their sizes.
-    cells = materialize(posted.groupBy("token", "comp", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")), "group-tokens")
-    mixed = materialize(cells.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token"), "shared-tokens")
-    cells = cells.join(mixed, "token").select("token", F.col("comp").alias("b"), "grp", "low", "high")
-    queries = posted.join(mixed, "token").select("token", "node", "n", F.col("comp").alias("a"))
-    candidates = materialize(
-        queries.join(cells, "token").where((F.col("a") > F.col("b")) & (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent))
-        .select("node", "n", "a", "grp", "b").distinct(),
-        "candidates",
-    )
+    query = posted.select("token", "node", "n", F.col("comp").alias("a"))
+    # The matrix' columns: for a token the components with it, then, for the queries these leave, their groups.
+    whole = _candidates(query, _cells(posted, "comp"), ["token"], ["node", "n", "a", "b"], percent).select("node", "b")
+    whole = materialize(whole, "component-candidates")
+    narrow = materialize(query.join(whole, "node"), "narrowed-queries")
+    candidates = materialize(_candidates(narrow, _cells(posted, "comp", "grp"), ["token", "b"], ["node", "n", "a", "b", "grp"], percent), "candidates")
     lone = posted.select("node", "grp").distinct()
     members = materialize(candidates.select("grp").distinct().join(lone.unionAll(grouped.select("node", "grp")).distinct(), "grp"), "members")
     sets = sets_of(docs, text, members.select("node").unionAll(candidates.select("node")).distinct(), n)
@@ -206,6 +223,22 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     return materialize(opened.where(similar("shingles", "other", percent)).select("a", "b").distinct(), "component-links")
 
 
+def _cells(posted: DataFrame, *by: str) -> DataFrame:
+    """For a token the groups whose prefixes hold it, and the range of their sizes."""
+    cells = posted.groupBy("token", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return materialize(cells.withColumnRenamed("comp", "b"), "group-tokens")
+
+
+def _candidates(query: DataFrame, cells: DataFrame, on: list[str], by: list[str], percent: int) -> DataFrame:
+    """Queries and groups that share as many prefix shingles as linked sets must."""
+    sizes = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+    return (
+        query.join(cells, on).where((F.col("a") > F.col("b")) & sizes)
+        .groupBy(*by).agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
+        .where(F.col("shared") >= F.floor(F.least("n", "low") * (100 - percent) / 100) + 1).drop("shared", "low")
+    )
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest id reachable by links, itself included.
 
@@ -240,7 +273,10 @@ def _looked_up(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without near copies: of every component the smallest id stays (and rows that repeat it)."""
-    found = near_duplicates(docs, doc_id, text, n, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """The documents without near copies: of every component the smallest id stays (and rows that repeat it).
+
+    Rows without an id can't be told apart and stay.
+    """
+    found = near_duplicates(docs, doc_id, text, n, percent).where(F.col("doc_id") != F.col("component_id"))
     drop = materialize(found.select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(drop, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(drop, F.col(doc_id) == F.col("_id"), "left_anti")

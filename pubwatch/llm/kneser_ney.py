@@ -165,12 +165,13 @@ def _merge_contexts(folder: str, discounts: tuple[float, float, float]):
 
 
 def discounts_of(once: float, twice: float, thrice: float, four: float) -> tuple[float, float, float]:
-    """The three discounts from the numbers of n-grams by count; the usual 0.5, 1, 1.5 where a number is zero."""
-    if not once or not twice:
-        return 0.5, 1.0, 1.5
+    """The three discounts from the numbers of n-grams by count; 0.5, 1, 1.5 where these give none within bounds."""
+    usual = (0.5, 1.0, 1.5)
+    if not (once and twice and thrice):
+        return usual
     y = once / (once + 2 * twice)
-    third = 3 - 4 * y * four / thrice if thrice else 1.5
-    return tuple(min(max(d, 0.0), k) for d, k in ((1 - 2 * y * twice / once, 1.0), (2 - 3 * y * thrice / twice, 2.0), (third, 3.0)))
+    found = (1 - 2 * y * twice / once, 2 - 3 * y * thrice / twice, 3 - 4 * y * four / thrice)
+    return found if all(0 < d <= k for k, d in enumerate(found, 1)) else usual
 
 
 @dataclass(frozen=True)
