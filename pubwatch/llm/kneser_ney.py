@@ -270,7 +270,7 @@ def log_probabilities(arrays: Arrays, tokens: np.ndarray, before: np.ndarray) ->
     half, narrow = np.unique(single >> _HALF, return_inverse=True)
     total, kept = (x[narrow] for x in arrays.find(CONTEXT, half))
     follows = arrays.find(CONTINUATION, half)[0][narrow]
-    alone = (discounted(follows, m.unigrams) / m.continuations if m.continuations else 0) + m.spare / (m.distinct + 1)
+    alone = discounted(follows, m.unigrams) / max(m.continuations, 1.0) + m.spare / (m.distinct + 1)
     own = place[:-1]
     context = np.append(place[-1], own[:-1])
     context[before == BEGIN] = place[-1]

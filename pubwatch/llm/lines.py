@@ -108,7 +108,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     )
     drops = materialize(drops, "line-drops")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    joined = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
+    # Merged at every size, so that the plan and its cost grow evenly.
+    joined = docs.join(drops.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_doc")), "left")
     kept = F.filter(lines, lambda x: ~((F.length(F.trim(x, F.lit(STRIPPED))) >= least) & F.array_contains("_drop", digest_of(x))))
     # A generated column is computed once however often it is read.
     done = joined.select(*names, F.explode(F.array(F.struct(F.size(lines).cast("long").alias("n"), F.when(F.col("_drop").isNotNull(), kept).alias("kept")))).alias("_line"))
