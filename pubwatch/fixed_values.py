@@ -211,8 +211,6 @@ DEFAULT_PERIOD_DAYS = 14
 ROC_YEAR_OFFSET = 1911
 ROC_FIRST_DAY = "1912-01-01"
 FEED_PAGE_ENTRIES = 10
-MAXIMUM_FEED_PAGES = 20
-MAXIMUM_SEARCH_PAGES = 50
 MINIMUM_TITLE_CHARS = 12
 HISTORY_LIMIT = 30
 

@@ -8,59 +8,59 @@ from pyspark.sql import functions as F
 from pubwatch import fixed_values as V
 
 
-def keep_until_stop(pages: DataFrame, keys: list[str], stop: Column, max_pages: int, first_page: int = 1) -> DataFrame:
-    """Pages up to and including the first one with ``stop``, at most ``max_pages``.
+def keep_until_stop(pages: DataFrame, keys: list[str], stop: Column, max_pages: int | None = None, first_page: int = 1) -> DataFrame:
+    """Pages up to and including the first one with ``stop``; ``max_pages`` limits them where a caller asks for it.
 
     The first stopping page is a minimum, which combines map-side; no window over a source's pages.
-    The page limit is part of the paging rule itself.
     """
-    bounded = pages.where(F.col("page_no") < first_page + max_pages).withColumn("_stop", stop)
+    bounded = pages if max_pages is None else pages.where(F.col("page_no") < first_page + max_pages)
+    bounded = bounded.withColumn("_stop", stop)
     first = bounded.groupBy(*keys).agg(F.min(F.when(F.col("_stop"), F.col("page_no"))).alias("_last"))
     joined = bounded.join(first, keys)
     return joined.where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))).drop("_stop", "_last")
 
 
-def page_cutoff_feed(pages: DataFrame, keys: list[str], since: Column) -> DataFrame:
+def page_cutoff_feed(pages: DataFrame, keys: list[str], since: Column, max_pages: int | None = None) -> DataFrame:
     """Stop at a page that is short, undated or reaches back before ``since``.
 
     ``pages``: keys, page_no (from 1), entries, dated, oldest.
     """
     stop = (F.col("entries") < V.FEED_PAGE_ENTRIES) | (F.col("dated") == 0) | F.coalesce(F.col("oldest") < since, F.lit(False))
-    return keep_until_stop(pages, keys, stop, V.MAXIMUM_FEED_PAGES)
+    return keep_until_stop(pages, keys, stop, max_pages)
 
 
-def page_cutoff_api(pages: DataFrame, keys: list[str], since: Column, page_size: int) -> DataFrame:
+def page_cutoff_api(pages: DataFrame, keys: list[str], since: Column, page_size: int, max_pages: int | None = None) -> DataFrame:
     stop = (F.col("entries") < page_size) | F.coalesce(F.col("oldest") < since, F.lit(False))
-    return keep_until_stop(pages, keys, stop, V.MAXIMUM_FEED_PAGES, first_page=0)
+    return keep_until_stop(pages, keys, stop, max_pages, first_page=0)
 
 
-def page_cutoff_archive(pages: DataFrame, keys: list[str], since: Column) -> DataFrame:
+def page_cutoff_archive(pages: DataFrame, keys: list[str], since: Column, max_pages: int | None = None) -> DataFrame:
     """Stop at the first page without cards or with one before ``since``."""
     stop = (F.col("entries") == 0) | F.coalesce(F.col("oldest") < since, F.lit(False))
-    return keep_until_stop(pages, keys, stop, V.MAXIMUM_FEED_PAGES).where("entries > 0")
+    return keep_until_stop(pages, keys, stop, max_pages).where("entries > 0")
 
 
-def page_cutoff_search(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def page_cutoff_search(pages: DataFrame, keys: list[str], max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages that count, warning per source) of a search with a stated total.
 
     ``pages``: keys, page_no (from 0), entries, total, readable.  A page that cannot be read ends
-    the source but keeps what came before.  Pages landed twice count once, so the window sees at most
-    fifty rows a source, whatever one source's share of the table.
+    the source but keeps what came before.  Pages landed twice count once.  With ``max_pages`` a source that
+    this limit cuts short has the warning ``too_many_results``.
     """
-    bounded = pages.where(F.col("page_no") < V.MAXIMUM_SEARCH_PAGES).groupBy(*keys, "page_no").agg(
+    bounded = (pages if max_pages is None else pages.where(F.col("page_no") < max_pages)).groupBy(*keys, "page_no").agg(
         F.max("entries").alias("entries"), F.max("total").alias("total"), F.bool_and("readable").alias("readable")
     )
     upto = Window.partitionBy(*keys).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     running = bounded.withColumn("fetched", F.sum(F.when(F.col("readable"), F.col("entries")).otherwise(0)).over(upto))
     stop = ~F.col("readable") | (F.col("entries") == 0) | (F.col("fetched") >= F.col("total"))
-    kept = keep_until_stop(running, keys, stop, V.MAXIMUM_SEARCH_PAGES, first_page=0)
+    kept = keep_until_stop(running, keys, stop, max_pages, first_page=0)
     last = kept.groupBy(*keys).agg(
         F.max("page_no").alias("last_page"), F.max("fetched").alias("fetched"), F.max("total").alias("total"),
         F.bool_and("readable").alias("readable"), F.min("entries").alias("fewest"),
     )
     warning = (
         F.when(~F.col("readable"), F.lit("broken_page"))
-        .when((F.col("last_page") == V.MAXIMUM_SEARCH_PAGES - 1) & (F.col("fetched") < F.col("total")) & (F.col("fewest") > 0), F.lit("too_many_results"))
+        .when(F.lit(max_pages is not None) & (F.col("last_page") == (max_pages or 0) - 1) & (F.col("fetched") < F.col("total")) & (F.col("fewest") > 0), F.lit("too_many_results"))
     )
     return kept.where("readable"), last.withColumn("warning", warning)
 

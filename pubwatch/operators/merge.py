@@ -24,7 +24,7 @@ def resolve_source(news: DataFrame, sources: DataFrame) -> DataFrame:
         .groupBy("agency").agg(F.min("_h").alias("_a"))
     )
     by_english = sources.groupBy(F.col("name_en").alias("agency_en")).agg(F.min(hit).alias("_e"))
-    by_unit = sources.select(F.col("source_id").alias("unit_category"), hit.alias("_u"))
+    by_unit = sources.groupBy(F.col("source_id").alias("unit_category")).agg(F.min(hit).alias("_u"))
     joined = news.join(by_agency, "agency", "left").join(by_english, "agency_en", "left").join(by_unit, "unit_category", "left")
     first = F.array_min(F.array_compact(F.array("_a", "_e", "_u")))
     return joined.withColumn("source_id", F.coalesce(first["source_id"], F.col("agency"))).drop("_a", "_e", "_u")

@@ -59,11 +59,13 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     def long_form(df: DataFrame, side: str) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
         return df.select("period_start", "period_end", F.explode(pairs).alias("p")).select(
-            "period_start", "period_end", "p.field", F.col("p.value").alias(side)
+            "period_start", "period_end", "p.field", F.col("p.value").alias(side), F.lit(True).alias(f"_{side}")
         )
 
-    joined = long_form(left, "left").join(long_form(right, "right"), ["period_start", "period_end", "field"])
-    return joined.withColumn("match", F.col("left").eqNullSafe(F.col("right")))
+    # A period that one side lacks stays, and matches nothing.
+    joined = long_form(left, "left").join(long_form(right, "right"), ["period_start", "period_end", "field"], "full")
+    both = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    return joined.withColumn("match", both & F.col("left").eqNullSafe(F.col("right"))).drop("_left", "_right")
 
 
 def logical_matches(comparison: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def stage_distributions(entries: DataFrame, keys: list[str], stages: str = "stag
     """Distribution per stage; null where any run of the group lacks the stage."""
     long = entries.select(*keys, F.explode(stages).alias("stage", "seconds"))
     runs = entries.groupBy(*keys).agg(F.count("*").alias("_runs"))
-    stats = distribution(long.where(~F.isnan("seconds") & (F.col("seconds") >= 0)), [*keys, "stage"], "seconds")
+    stats = distribution(long.where(~F.isnan("seconds") & (F.col("seconds") >= 0) & (F.col("seconds") < float("inf"))), [*keys, "stage"], "seconds")
     names = long.select(*keys, "stage").distinct()
     joined = names.join(runs, keys).join(stats, [*keys, "stage"], "left")
     whole = F.coalesce(F.col("n") == F.col("_runs"), F.lit(False))

@@ -170,8 +170,8 @@ def _pages(t):
     return e.groupBy("source", "page_no").agg(F.count("*").alias("entries"), F.count_if(F.col("event_type") != "error").alias("dated"), F.min("ts").alias("oldest"))
 
 
-def _cut(stop: str, limit: int, first: int = 1, extra: str = "") -> str:
-    return with_tables(PAGES) + f""", b AS (SELECT *, {stop} AS stop FROM paged WHERE page_no < {first + limit}), l AS (SELECT source, min(CASE WHEN stop THEN page_no END) AS last FROM b GROUP BY source)
+def _cut(stop: str, extra: str = "") -> str:
+    return with_tables(PAGES) + f""", b AS (SELECT *, {stop} AS stop FROM paged), l AS (SELECT source, min(CASE WHEN stop THEN page_no END) AS last FROM b GROUP BY source)
   SELECT b.source, b.page_no, b.entries FROM b JOIN l ON b.source = l.source WHERE (l.last IS NULL OR b.page_no <= l.last) {extra}"""
 
 
@@ -179,22 +179,22 @@ def _since(t):
     return F.lit("2024-01-10").cast("timestamp")
 
 
-@query("page_cutoff_feed", _cut(f"entries < 10 OR dated = 0 OR oldest < {EVENT_SINCE}", 20))
+@query("page_cutoff_feed", _cut(f"entries < 10 OR dated = 0 OR oldest < {EVENT_SINCE}"))
 def _(t):
     return cutoff.page_cutoff_feed(_pages(t), ["source"], _since(t)).select("source", "page_no", "entries")
 
 
-@query("page_cutoff_api", _cut(f"entries < 2 OR oldest < {EVENT_SINCE}", 20, 0))
+@query("page_cutoff_api", _cut(f"entries < 2 OR oldest < {EVENT_SINCE}"))
 def _(t):
     return cutoff.page_cutoff_api(_pages(t), ["source"], _since(t), 2).select("source", "page_no", "entries")
 
 
-@query("page_cutoff_archive", _cut(f"entries = 0 OR oldest < {EVENT_SINCE}", 20, 1, "AND b.entries > 0"))
+@query("page_cutoff_archive", _cut(f"entries = 0 OR oldest < {EVENT_SINCE}", "AND b.entries > 0"))
 def _(t):
     return cutoff.page_cutoff_archive(_pages(t), ["source"], _since(t)).select("source", "page_no", "entries")
 
 
-@query("page_cutoff_search", with_tables(PAGES) + """, r AS (SELECT *, dated > 0 AS readable, sum(CASE WHEN dated > 0 THEN entries ELSE 0 END) OVER (PARTITION BY source ORDER BY page_no) AS fetched FROM paged WHERE page_no < 50),
+@query("page_cutoff_search", with_tables(PAGES) + """, r AS (SELECT *, dated > 0 AS readable, sum(CASE WHEN dated > 0 THEN entries ELSE 0 END) OVER (PARTITION BY source ORDER BY page_no) AS fetched FROM paged),
   l AS (SELECT source, min(CASE WHEN NOT readable OR entries = 0 OR fetched >= 40 THEN page_no END) AS last FROM r GROUP BY source)
   SELECT r.source, r.page_no, r.entries FROM r JOIN l ON r.source = l.source WHERE readable AND (l.last IS NULL OR r.page_no <= l.last)""")
 def _(t):

@@ -167,3 +167,26 @@ def test_scoring_needs_no_shuffle(spark):
     rows = spark.createDataFrame([("AI plan", "", "https://x.example/1")], "title string, summary string, link string")
     plan = filter_relevant(rows, default_profile())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
+
+
+def test_page_cutoffs_have_no_limit_of_their_own(spark):
+    pages = spark.range(1, 121).selectExpr("'s' AS source", "int(id) AS page_no", "10 AS entries", "10 AS dated", "timestamp'2024-02-01' AS oldest", "true AS readable", "5000 AS total")
+    since = F.lit("2024-01-01").cast("timestamp")
+    assert cutoff.page_cutoff_feed(pages, ["source"], since).count() == 120
+    assert cutoff.page_cutoff_feed(pages, ["source"], since, max_pages=20).count() == 20
+    kept, warnings = cutoff.page_cutoff_search(pages, ["source"])
+    assert kept.count() == 120 and warnings.first()["warning"] is None
+    assert cutoff.page_cutoff_search(pages, ["source"], max_pages=50)[1].first()["warning"] == "too_many_results"
+
+
+def test_sources_repeated_by_id_do_not_multiply_news(spark):
+    news = spark.createDataFrame([("x", "y", "u1")], "agency string, agency_en string, unit_category string")
+    sources = spark.createDataFrame([(2, "u1", "A", "B"), (1, "u1", "C", "D")], "source_ord int, source_id string, display_name string, name_en string")
+    assert merge.resolve_source(news, sources).count() == 1
+
+
+def test_a_period_of_one_run_only_matches_nothing(spark):
+    fields = [*runs.COUNT_FIELDS, "data_fingerprint", "status", "delivery_id", "profile_hash", "health_contract", "provenance_contract", "source_count", "source_success_rate"]
+    one = spark.range(2).selectExpr("string(id) AS period_start", "string(id) AS period_end", *(f"string(null) AS {f}" for f in fields))
+    got = {r.period_start: r.logical_match for r in runs.logical_matches(runs.compare_runs(one, one.where("period_start = '0'"))).collect()}
+    assert got == {"0": True, "1": False}
