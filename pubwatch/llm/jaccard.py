@@ -201,12 +201,13 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP))
     grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp")), "groups")
     posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").join(grouped, "node", "left")
-    posted = posted.select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
     # Dealt by token once: distinct rows and the tokens of several components need no further exchange.
     by_token = Window.partitionBy("token")
     distinct = posted.repartition(F.col("token")).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "comp", "grp")))
-    posted = distinct.withColumn("c", F.min("comp").over(by_token)).withColumn("d", F.max("comp").over(by_token)).where("c <> d").drop("c", "d")
-    posted = materialize(posted, "postings")
+    comp = F.coalesce("comp", "node")
+    mixed = distinct.withColumn("c", F.min(comp).over(by_token)).withColumn("d", F.max(comp).over(by_token)).where("c <> d").drop("c", "d")
+    # Nodes of no component are groups of their own and are stored without the two names.
+    posted = materialize(mixed, "postings").select("token", "node", "n", comp.alias("comp"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
     query = posted.select("token", "node", "n", F.col("comp").alias("a"))
     # The matrix' columns: for a token the components with it, then, for the queries these leave, their groups.
     whole = _candidates(query, _cells(posted, "comp"), ["token"], ["node", "n", "a", "b"], percent).select("node", "b")
@@ -226,7 +227,7 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
 def _cells(posted: DataFrame, *by: str) -> DataFrame:
     """For a token the groups whose prefixes hold it, and the range of their sizes."""
     cells = posted.groupBy("token", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    return materialize(cells.withColumnRenamed("comp", "b"), "group-tokens")
+    return cells.withColumnRenamed("comp", "b")
 
 
 def _candidates(query: DataFrame, cells: DataFrame, on: list[str], by: list[str], percent: int) -> DataFrame:
