@@ -1,8 +1,8 @@
 """Near-duplicate join by Jaccard similarity of word shingles, with a matrix of token groups.
 
 Rows with equal shingle sets are one node.  Similar nodes are put into groups: nodes that share a minimum hash are
-compared to the smallest of them, and those that reach the threshold form stars, hence components without any pair
-list.  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a component the union of
+compared to one leader, those that reach the threshold form its star, and the others meet another leader in the next
+round, hence components without any pair list.  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a component the union of
 their shingles.  A node of another component that shares a prefix shingle with the group is a query: its overlap
 with the union bounds its overlap with every member, and only groups whose bound reaches the threshold are opened.
 
@@ -22,13 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from pubwatch.llm import bits, textual
+from pubwatch.llm.storage import release
 from pubwatch.session import materialize
 
 WORDS, PERCENT = 4, 85
 GROUP = 32
+#: Rounds of stars; more or fewer only move links between the stars and the matrix.
+ROUNDS = 3
 #: Bounds of the sketch's cells; fuller cells only worsen the order of shingles.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 SALTS = textual.mix(np.arange(1, 7, dtype=np.uint64))
+#: Minimum hashes over all shingles, which copies of one text share, and over the rare ones, which passages don't fill.
+ANY, RARE = SALTS[:4], SALTS[4:]
 
 
 def shingles(offsets: np.ndarray, data: bytes, n: int) -> Iterator[np.ndarray]:
@@ -102,7 +107,7 @@ def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     prefixes.append(s[np.argsort(kind, kind="stable")[: size - least_overlap(size, percent) + shared_prefix(size, percent) if size else 0]])
                     rare = s[kind == 0]
                     rare = rare if len(rare) else s
-                    mins.append(textual.mix(rare[:, None] ^ SALTS[None, :]).min(axis=0) if size else s)
+                    mins.append(np.concatenate([textual.mix(part[:, None] ^ salts).min(axis=0) for part, salts in ((s, ANY), (rare, RARE))]) if size else s)
                 lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32), np.concatenate(part).view(np.int64)) for part in (mins, prefixes)]
                 yield pa.record_batch([batch.column(0).slice(row, len(nodes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "node", "n", "mins", "prefix"])
 
@@ -151,25 +156,53 @@ def connected(links: DataFrame) -> DataFrame:
         spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         new = materialize(spread.join(jump, "comp", "left").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        release(labels)
         labels = new.select("node", "comp")
         if new.where(F.col("old") != F.col("comp")).isEmpty():
+            release(edges)
             return labels
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """``a, b, n, bn``: nodes that share a minimum hash with ``b``, the leader of those that share it.
-
-    The leader is the node whose minimum hashes are shared most, so the text that copies derive from rather than a
-    copy; ties go to the smaller node.
-    """
+def meetings(nodes: DataFrame) -> DataFrame:
+    """``k, least, node, n, fame``: the minimum hashes that several nodes have, and how often a node's are shared."""
     keys = materialize(nodes.select("node", "n", F.posexplode("mins").alias("k", "least")).groupBy("k", "least", "node").agg(F.first("n").alias("n")), "minimum-hashes")
     shared = materialize(keys.groupBy("k", "least").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-hashes")
     met = materialize(keys.join(shared, ["k", "least"]), "met-hashes")
     fame = met.groupBy("node").agg(F.sum("m").alias("fame"))
     famed = materialize(met.join(fame, "node").select("k", "least", "node", "n", "fame"), "famed-hashes")
-    first = famed.groupBy("k", "least").agg(F.max(F.struct("fame", -F.col("node"), "node", "n")).alias("b"))
-    first = materialize(first.select("k", "least", F.col("b.node").alias("b"), F.col("b.n").alias("bn")), "leaders")
-    return famed.join(first, ["k", "least"]).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b", "n", "bn").distinct()
+    release(keys, shared, met)
+    return famed
+
+
+def star_components(docs: DataFrame, text: str, nodes: DataFrame, n: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """``node, comp``: components of the links between nodes and the leader of those that share a minimum hash.
+
+    The leader is the node whose minimum hashes are shared most, so the text that copies derive from rather than a
+    copy; ties go to the smaller node.  What a leader's component does not reach is led by another node in the next
+    round.  Links that the rounds leave are found by the matrix.
+    """
+    left = meetings(nodes).withColumn("comp", F.col("node"))
+    sets = sets_of(docs, text, left.select("node").distinct(), n)
+    links = comps = None
+    for _ in range(rounds):
+        first = left.groupBy("k", "least").agg(F.max(F.struct("fame", -F.col("node"), "node", "n", "comp")).alias("b"))
+        first = materialize(first.select("k", "least", F.col("b.node").alias("b"), F.col("b.n").alias("bn"), F.col("b.comp").alias("bc")), "leaders")
+        led = left.join(first, ["k", "least"]).where(F.col("comp") != F.col("bc"))
+        pairs = materialize(led.where(fitting("n", "bn", percent)).select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
+        found = materialize(verified(pairs, sets, percent), "star-links")
+        links = found if links is None else links.unionAll(found)
+        if comps is not None:
+            release(comps)
+        comps = connected(links)
+        ends = comps.select(F.col("node").alias("b"), F.col("comp").alias("bd"))
+        rest = led.drop("comp").join(comps, "node", "left").join(ends, "b", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = materialize(rest.where(F.col("comp") != F.coalesce("bd", "b")).select("k", "least", "node", "n", "fame", "comp"), "unled-hashes")
+        release(left, first, pairs)
+        left = rest
+        if left.isEmpty():
+            break
+    release(left, links, sets)
+    return comps
 
 
 def fitting(a: str, b: str, percent: int):
@@ -178,6 +211,7 @@ def fitting(a: str, b: str, percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
+    b = b.join(pairs.select("b").distinct(), "b", "left_semi")
     return pairs.join(a, "a").join(b, "b").where(similar("_a", "_b", percent)).select("a", "b")
 
 
@@ -217,11 +251,15 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     lone = posted.select("node", "grp").distinct()
     members = materialize(candidates.select("grp").distinct().join(lone.unionAll(grouped.select("node", "grp")).distinct(), "grp"), "members")
     sets = sets_of(docs, text, members.select("node").unionAll(candidates.select("node")).distinct(), n)
+    release(narrow, whole)
     matrix = members.join(sets, "node").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"), F.collect_list("shingles").alias("sets"))
-    wide = candidates.join(sets, "node").join(materialize(matrix, "token-groups"), "grp")
+    matrix = materialize(matrix, "token-groups")
+    wide = candidates.join(sets, "node").join(matrix, "grp")
     bound = 100 * F.size(F.array_intersect("shingles", "union")) >= percent * F.size("shingles")
     opened = wide.where(bound).select("a", "b", "shingles", F.explode("sets").alias("other"))
-    return materialize(opened.where(similar("shingles", "other", percent)).select("a", "b").distinct(), "component-links")
+    links = materialize(opened.where(similar("shingles", "other", percent)).select("a", "b").distinct(), "component-links")
+    release(posted, grouped, candidates, members, sets, matrix)
+    return links
 
 
 def _cells(posted: DataFrame, *by: str) -> DataFrame:
@@ -251,9 +289,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = features(docs, doc_id, text, n, percent)
     full = rows.where("n > 0")
-    pairs = materialize(stars(full).where(fitting("n", "bn", percent)).select("a", "b"), "star-pairs")
-    sets = sets_of(docs, text, pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), n)
-    comps = connected(materialize(verified(pairs, sets, percent), "star-links"))
+    comps = star_components(docs, text, full, n, percent)
     merged = connected(matrix_links(docs, text, full, comps, n, percent))
     named = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -6,7 +6,7 @@ import os
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from pubwatch.session import checkpoint_folder
 
@@ -42,3 +42,14 @@ def write_whole(uri: str, data: bytes | memoryview) -> None:
     with store.open_output_stream(aside, compression=None) as out:
         out.write(data)
     store.move(aside, path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more; what lies elsewhere stays."""
+    for df in frames:
+        spark = df.sparkSession
+        folder = urlparse(checkpoint_folder(spark)).path.rstrip("/") + "/"
+        for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if unquote(urlparse(parent).path).startswith(folder):
+                path = spark._jvm.org.apache.hadoop.fs.Path(unquote(parent))
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
