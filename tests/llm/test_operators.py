@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pubwatch.llm import ann, bits, decontamination, jaccard, kneser_ney, language, licences, lines, mixing, textual, url_rules, warc, workload
+from pubwatch.llm.storage import release
+from pubwatch.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -323,3 +326,13 @@ def test_pipeline(spark, tmp_path):
     everything = set(range(len(table)))
     assert kept[:4] == [everything - {4}, everything - {4}, everything - {1, 2, 4}, everything - {1, 2, 3, 4}] and kept[4] <= kept[3]
     assert docs.where(F.col("text").contains("MANY")).select("doc_id").distinct().count() <= 1
+
+
+def test_release_deletes_only_materialised_tables(spark, tmp_path):
+    outside = str(tmp_path / "kept")
+    spark.range(5).write.parquet(outside)
+    kept, used, other = spark.read.parquet(outside), materialize(spark.range(5), "used"), materialize(spark.range(3), "other")
+    folder = used.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    release(kept, used)
+    assert not os.path.exists(folder)
+    assert kept.count() == 5 and other.count() == 3
