@@ -1,7 +1,7 @@
 """Near-duplicate join by Jaccard similarity of word shingles, with a matrix of token groups.
 
-Rows with equal shingle sets are one node.  Similar nodes are put into groups: nodes that share a minimum hash are
-compared to one leader, those that reach the threshold form its star, and the others meet another leader in the next
+Rows with equal shingle sets are one node.  Similar nodes are put into groups: nodes that share a band of minimum
+hashes are compared to one leader, those that reach the threshold form its star, and the others meet another leader in the next
 round, hence components without any pair list.  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a component the union of
 their shingles.  A node of another component that shares a prefix shingle with the group is a query: its overlap
 with the union bounds its overlap with every member, and only groups whose bound reaches the threshold are opened.
@@ -31,9 +31,11 @@ GROUP = 32
 ROUNDS = 3
 #: Bounds of the sketch's cells; fuller cells only worsen the order of shingles.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
-SALTS = textual.mix(np.arange(1, 7, dtype=np.uint64))
-#: Minimum hashes over all shingles, which copies of one text share, and over the rare ones, which passages don't fill.
-ANY, RARE = SALTS[:4], SALTS[4:]
+SALT = textual.mix(np.arange(1, 2, dtype=np.uint64))[0]
+#: Minimum hashes of a band; of J to this power of the pairs with Jaccard J a band is equal.
+BAND = 3
+#: Bands over all shingles, which copies of one text share, and over the rare ones, which passages don't fill.
+ANY, RARE = 5, 2
 
 
 def shingles(offsets: np.ndarray, data: bytes, n: int) -> Iterator[np.ndarray]:
@@ -52,7 +54,20 @@ def shingles(offsets: np.ndarray, data: bytes, n: int) -> Iterator[np.ndarray]:
 def node_of(distinct: np.ndarray) -> int:
     """A set's 64-bit name: the sum of its mixed shingles."""
     with np.errstate(over="ignore"):
-        return int(textual.mix(textual.mix(distinct ^ SALTS[0]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(distinct))).view(np.int64)[0])
+        return int(textual.mix(textual.mix(distinct ^ SALT).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(distinct))).view(np.int64)[0])
+
+
+def minimum_bands(ordered: np.ndarray, bands: int) -> np.ndarray:
+    """Hashes of ``bands`` bands of minimum hashes: the range of hashes is cut into equal parts, a part's least shingle
+    (of an empty part the next one's) is one minimum.  ``ordered`` is sorted, so nothing is hashed again.
+    """
+    parts = bands * BAND
+    starts = np.arange(parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+    least = ordered[np.searchsorted(ordered, starts) % len(ordered)].reshape(bands, BAND)
+    total = least[:, 0]
+    for k in range(1, BAND):
+        total = textual.mix(total) + least[:, k]
+    return textual.mix(total)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -67,7 +82,7 @@ def shared_prefix(n, percent: int):
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """For every sketch cell how much more often than the mean its shingles occur, as a binary logarithm."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    cells = bits.bits_for(size / 32, LEAST_CELLS, MOST_CELLS, 1)
+    cells = bits.bits_for(size / 64, LEAST_CELLS, MOST_CELLS, 1)
     shift = np.uint64(64 - cells.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +102,19 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """``doc_id, node, n, mins, prefix`` of every row; an empty set has n 0 and empty lists."""
+    """``doc_id, source, node, n, mins, prefix`` of every row; an empty set has n 0 and empty lists.
+
+    ``source`` is a hash of the text, by which ``sets_of`` finds a node's text without making every row's shingles.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text, n))
     longs = ArrayType(LongType(), False)
-    schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), StructField("node", LongType()), StructField("n", IntegerType()), StructField("mins", longs), StructField("prefix", longs)])
+    schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), StructField("source", LongType()), StructField("node", LongType()), StructField("n", IntegerType()), StructField("mins", longs), StructField("prefix", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         shift = np.uint64(64 - len(table).bit_length() + 1)
         for batch in batches:
-            for row, offsets, data in textual.slices(batch.column(1)):
+            for row, offsets, data in textual.slices(batch.column(2)):
                 nodes, sizes, mins, prefixes = [], [], [], []
                 for found in shingles(offsets, data, n):
                     s = np.unique(found)
@@ -107,34 +125,38 @@ def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     prefixes.append(s[np.argsort(kind, kind="stable")[: size - least_overlap(size, percent) + shared_prefix(size, percent) if size else 0]])
                     rare = s[kind == 0]
                     rare = rare if len(rare) else s
-                    mins.append(np.concatenate([textual.mix(part[:, None] ^ salts).min(axis=0) for part, salts in ((s, ANY), (rare, RARE))]) if size else s)
+                    mins.append(np.concatenate([minimum_bands(s, ANY), minimum_bands(rare, RARE)]) if size else s)
                 lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32), np.concatenate(part).view(np.int64)) for part in (mins, prefixes)]
-                yield pa.record_batch([batch.column(0).slice(row, len(nodes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "node", "n", "mins", "prefix"])
+                yield pa.record_batch([*(batch.column(k).slice(row, len(nodes)) for k in (0, 1)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *lists], schema.names)
 
-    return materialize(docs.select(doc_id, text).mapInArrow(run, schema), "shingle-features")
+    return materialize(docs.select(doc_id, F.xxhash64(text), text).mapInArrow(run, schema), "shingle-features")
 
 
-def sets_of(docs: DataFrame, text: str, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, shingles`` of the wanted nodes: a filter of their names goes to the texts, not the texts to a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits.filter_of_longs(nodes, "node"))
+def sets_of(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``node, shingles`` of the wanted nodes: a filter of one text's hash each goes to the texts, not the texts to a join."""
+    sources = materialize(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("source").alias("source")), "set-sources")
+    shared = docs.sparkSession.sparkContext.broadcast(bits.filter_of_longs(sources, "source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, offsets, data in textual.slices(batch.column(0)):
-                found = [np.unique(x) for x in shingles(offsets, data, n)]
-                names = np.array([node_of(s) for s in found], dtype=np.int64)
-                wanted = [k for k in np.flatnonzero(bits.contains(shared.value, names.view(np.uint64))).tolist() if len(found[k])]
-                wanted = [k for k in wanted if not (names[k] in seen or seen.add(names[k]))]
+            batch = batch.filter(pa.array(bits.contains(shared.value, np.asarray(batch.column(0)).view(np.uint64))))
+            for _, offsets, data in textual.slices(batch.column(1)):
+                found = [s for s in map(np.unique, shingles(offsets, data, n)) if len(s)]
+                names = [node_of(s) for s in found]
+                wanted = [k for k, name in enumerate(names) if not (name in seen or seen.add(name))]
                 if len(seen) > 1 << 18:
                     seen.clear()
                 if wanted:
                     ends = np.append(0, np.cumsum([len(found[k]) for k in wanted])).astype(np.int32)
                     values = np.concatenate([found[k] for k in wanted]).view(np.int64)
-                    yield pa.record_batch([pa.array(names[wanted]), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
+                    yield pa.record_batch([pa.array([names[k] for k in wanted], pa.int64()), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
 
-    parts = docs.select(text).mapInArrow(run, StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType(), False))]))
-    return materialize(parts.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    texts = docs.select(F.xxhash64(text).alias("source"), text)
+    parts = texts.mapInArrow(run, StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType(), False))]))
+    found = materialize(parts.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    release(sources)
+    return found
 
 
 def similar(a: str, b: str, percent: int):
@@ -164,7 +186,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """``k, least, node, n, fame``: the minimum hashes that several nodes have, and how often a node's are shared."""
+    """``k, least, node, n, fame``: the bands of minimum hashes that several nodes have, and how often a node's are shared."""
     keys = materialize(nodes.select("node", "n", F.posexplode("mins").alias("k", "least")).groupBy("k", "least", "node").agg(F.first("n").alias("n")), "minimum-hashes")
     shared = materialize(keys.groupBy("k", "least").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-hashes")
     met = materialize(keys.join(shared, ["k", "least"]), "met-hashes")
@@ -175,14 +197,14 @@ def meetings(nodes: DataFrame) -> DataFrame:
 
 
 def star_components(docs: DataFrame, text: str, nodes: DataFrame, n: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """``node, comp``: components of the links between nodes and the leader of those that share a minimum hash.
+    """``node, comp``: components of the links between nodes and the leader of those that share a band of minimum hashes.
 
-    The leader is the node whose minimum hashes are shared most, so the text that copies derive from rather than a
+    The leader is the node whose bands are shared most, so the text that copies derive from rather than a
     copy; ties go to the smaller node.  What a leader's component does not reach is led by another node in the next
     round.  Links that the rounds leave are found by the matrix.
     """
     left = meetings(nodes).withColumn("comp", F.col("node"))
-    sets = sets_of(docs, text, left.select("node").distinct(), n)
+    sets = sets_of(docs, text, nodes, left.select("node"), n)
     links = comps = None
     for _ in range(rounds):
         first = left.groupBy("k", "least").agg(F.max(F.struct("fame", -F.col("node"), "node", "n", "comp")).alias("b"))
@@ -211,13 +233,12 @@ def fitting(a: str, b: str, percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
-    b = b.join(pairs.select("b").distinct(), "b", "left_semi")
     return pairs.join(a, "a").join(b, "b").where(similar("_a", "_b", percent)).select("a", "b")
 
 
 def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b``: components that a link between two of their nodes joins, found by the token-group matrix."""
-    frequent = bits.bits_for(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0, 1 << 16, 1 << 29)
+    frequent = bits.bits_for(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0, 1 << 16, 1 << 29, 4)
     tokens_of = lambda b: iter([textual.mix(np.asarray(b.column(0).flatten()).view(np.uint64))])
     twice = bits.gather_filter(rows.select("prefix").mapInArrow(bits.filters(tokens_of, frequent), bits.SCHEMA), frequent, twice=True)
     shared = docs.sparkSession.sparkContext.broadcast(twice)
@@ -233,24 +254,28 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP))
-    grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp")), "groups")
-    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").join(grouped, "node", "left")
+    grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp"), (F.col("members") > GROUP).alias("parted")), "groups")
+    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").join(grouped.drop("parted"), "node", "left")
     # Dealt by token once: distinct rows and the tokens of several components need no further exchange.
     by_token = Window.partitionBy("token")
     distinct = posted.repartition(F.col("token")).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "comp", "grp")))
     comp = F.coalesce("comp", "node")
     mixed = distinct.withColumn("c", F.min(comp).over(by_token)).withColumn("d", F.max(comp).over(by_token)).where("c <> d").drop("c", "d")
     # Nodes of no component are groups of their own and are stored without the two names.
-    posted = materialize(mixed, "postings").select("token", "node", "n", comp.alias("comp"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
+    posted = materialize(mixed, "postings").select("token", "node", "n", comp.alias("comp"), F.coalesce("grp", _only_group("node")).alias("grp"))
     query = posted.select("token", "node", "n", F.col("comp").alias("a"))
-    # The matrix' columns: for a token the components with it, then, for the queries these leave, their groups.
-    whole = _candidates(query, _cells(posted, "comp"), ["token"], ["node", "n", "a", "b"], percent).select("node", "b")
+    # The matrix' columns: for a token the components with it, then, for the queries that meet one of several groups, its groups.
+    whole = _candidates(query, _cells(posted, "comp"), ["token"], ["node", "n", "a", "b"], percent)
     whole = materialize(whole, "component-candidates")
-    narrow = materialize(query.join(whole, "node"), "narrowed-queries")
-    candidates = materialize(_candidates(narrow, _cells(posted, "comp", "grp"), ["token", "b"], ["node", "n", "a", "b", "grp"], percent), "candidates")
+    parted = grouped.where("parted").select(F.col("comp").alias("b")).distinct()
+    narrow = materialize(query.join(whole.join(parted, "b", "left_semi").select("node", "b"), "node"), "narrowed-queries")
+    cells = _cells(posted.join(parted.withColumnRenamed("b", "comp"), "comp", "left_semi"), "comp", "grp")
+    several = _candidates(narrow, cells, ["token", "b"], ["node", "n", "a", "b", "grp"], percent)
+    single = whole.join(parted, "b", "left_anti").withColumn("grp", _only_group("b"))
+    candidates = materialize(single.unionByName(several), "candidates")
     lone = posted.select("node", "grp").distinct()
     members = materialize(candidates.select("grp").distinct().join(lone.unionAll(grouped.select("node", "grp")).distinct(), "grp"), "members")
-    sets = sets_of(docs, text, members.select("node").unionAll(candidates.select("node")).distinct(), n)
+    sets = sets_of(docs, text, rows, members.select("node").unionAll(candidates.select("node")), n)
     release(narrow, whole)
     matrix = members.join(sets, "node").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"), F.collect_list("shingles").alias("sets"))
     matrix = materialize(matrix, "token-groups")
@@ -262,6 +287,11 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     return links
 
 
+def _only_group(comp: str):
+    """The group of a component that needs no second one."""
+    return F.xxhash64(comp, F.lit(0).cast("long"))
+
+
 def _cells(posted: DataFrame, *by: str) -> DataFrame:
     """For a token the groups whose prefixes hold it, and the range of their sizes."""
     cells = posted.groupBy("token", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -269,12 +299,14 @@ def _cells(posted: DataFrame, *by: str) -> DataFrame:
 
 
 def _candidates(query: DataFrame, cells: DataFrame, on: list[str], by: list[str], percent: int) -> DataFrame:
-    """Queries and groups that share as many prefix shingles as linked sets must."""
+    """Queries and groups that share as many prefix shingles as linked sets must, the smaller of which has at least
+    ``percent`` % of the query's size and the group's least one."""
     sizes = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+    smaller = F.least("n", F.greatest("low", F.ceil(F.col("n") * percent / 100)))
     return (
         query.join(cells, on).where((F.col("a") > F.col("b")) & sizes)
         .groupBy(*by).agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
-        .where(F.col("shared") >= F.floor(F.least("n", "low") * (100 - percent) / 100) + 1).drop("shared", "low")
+        .where(F.col("shared") >= F.floor(smaller * (100 - percent) / 100) + 1).drop("shared", "low")
     )
 
 
