@@ -336,3 +336,15 @@ def test_release_deletes_only_materialised_tables(spark, tmp_path):
     release(kept, used)
     assert not os.path.exists(folder)
     assert kept.count() == 5 and other.count() == 3
+
+
+def test_minimum_bands():
+    rng = np.random.default_rng(5)
+    whole = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    bands = jaccard.minimum_bands(whole, jaccard.ANY)
+    assert len(bands) == jaccard.ANY and (bands == jaccard.minimum_bands(whole.copy(), jaccard.ANY)).all()
+    for size in (1, 2, 7):  # parts without a shingle take the next one's, the last ones the first
+        assert len(jaccard.minimum_bands(whole[:size], jaccard.ANY)) == jaccard.ANY
+    near = sum((jaccard.minimum_bands(np.delete(whole, rng.choice(len(whole), 30, replace=False)), jaccard.ANY) == bands).any() for _ in range(50))
+    far = sum((jaccard.minimum_bands(np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)), jaccard.ANY) == bands).any() for _ in range(50))
+    assert near >= 48 and far == 0
