@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pubwatch.llm import textual
 
@@ -26,8 +26,12 @@ FLUSH = 1 << 20
 #: Parts in which a language's n-grams are ranked before the final ranking.
 SALTS = 16
 UNKNOWN = "und"
-#: Least score of a document that counts as written in its language.
+#: Least score of a document that counts as written in its language, whatever was learned.
 LEAST_SCORE = 0.05
+#: N-grams in a class of documents (short lists score high), and training documents it needs for a bound without its neighbours.
+CLASS_GRAMS, CLASS_DOCUMENTS = 50, 100
+#: A class' bound is MARGIN times the score that LOW of its training documents stay below, read off BINS equal steps.
+LOW, MARGIN, BINS = 0.01, 0.7, 1000
 _SHIFT = np.int64(21)
 
 
@@ -120,30 +124,31 @@ class Profiles:
         for k, grams in enumerate(known.values()):
             self.ranks[np.searchsorted(self.grams, grams), k] = np.arange(len(grams))
 
-    def judge(self, c: np.ndarray) -> tuple[str, float]:
-        """(language, 1 - distance / largest distance) of a blank-padded row; ties go to the first name."""
+    def judge(self, c: np.ndarray) -> tuple[str, float, int]:
+        """(language, 1 - distance / largest distance, n-grams compared) of a blank-padded row; ties go to the first name."""
         mine = top(*counted(c), self.size)
         if not len(mine) or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         at = np.searchsorted(self.grams, mine)
         at[at == len(self.grams)] = 0
         at = np.where(self.grams[at] == mine, at, len(self.grams)) if len(self.grams) else at
         known = self.ranks[at]
         distance = np.where(known >= 0, np.minimum(np.abs(known - np.arange(len(mine))[:, None]), self.size), self.size).sum(axis=0)
         k = int(distance.argmin())
-        return self.names[k], 1.0 - float(distance[k]) / (self.size * len(mine))
+        return self.names[k], 1.0 - float(distance[k]) / (self.size * len(mine)), len(mine)
 
 
-def identify(docs: DataFrame, known: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to every row, from its whole text alone.
+def identify(docs: DataFrame, known: dict[str, list[int]], text: str = "text", size: int = PROFILE, grams: str | None = None) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1) to every row, from its whole text alone; ``grams`` names a column for the n-grams compared.
 
     ``und`` with score 0 where the text is null, empty or has no letter, or nothing was learned; equal distances go
     to the language that sorts first; equal texts get equal results; columns of these names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField(grams, LongType())] if grams else [])]
+    names = [c for c in docs.columns if c not in [f.name for f in added]]
     docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(known, size))
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, *added])
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +157,9 @@ def identify(docs: DataFrame, known: dict[str, list[int]], text: str = "text", s
             for _, offsets, data in textual.slices(batch.column(place)):
                 c, bounds = padded(offsets, data)
                 found += [shared.value.judge(c[a : b + 1]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            langs, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            langs, scores, sizes = zip(*found, strict=True) if found else ((), (), ())
+            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.record_batch([*batch.columns, *new[: len(added)]], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -168,7 +174,36 @@ def identify_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return identify(docs, profiles(docs.where(~held_out(doc_id)), text, lang), text)
 
 
+def _class(grams: str, size: int) -> Column:
+    return F.least(F.floor(F.col(grams) / CLASS_GRAMS), F.lit(size // CLASS_GRAMS)).cast("int")
+
+
+def least_scores(judged: DataFrame, lang: str = "lang", grams: str = "n_grams", size: int = PROFILE, floor: float = LEAST_SCORE) -> list[float]:
+    """For every class by number of n-grams the least score of a document in its language.
+
+    ``judged``: training documents; those predicted as labelled count.  A class with few of them takes in its
+    neighbours; fewer than ``CLASS_DOCUMENTS`` in all say nothing about a low quantile and leave ``floor``.  At most ``BINS`` counts of a class come to the driver, so the bounds are the same in every run.
+    """
+    own = judged.where(F.col("lang_pred") == F.col(lang).cast("string"))
+    counts = np.zeros((size // CLASS_GRAMS + 1, BINS + 1), dtype=np.int64)
+    for row in own.groupBy(_class(grams, size).alias("k"), F.floor(F.col("score") * BINS).cast("int").alias("b")).count().collect():
+        counts[row["k"], row["b"]] += row["count"]
+    bounds = []
+    for k in range(len(counts)):
+        near = next((n for r in range(len(counts)) if (n := counts[max(0, k - r) : k + r + 1].sum(axis=0)).sum() >= CLASS_DOCUMENTS), counts.sum(axis=0))
+        bounds.append(max(floor, MARGIN * int(np.searchsorted(np.cumsum(near), LOW * near.sum(), side="right")) / BINS) if near.sum() >= CLASS_DOCUMENTS else floor)
+    return bounds
+
+
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents without those of no language: no letter at all, or like none of the learned languages."""
-    judged = identify_documents(docs, doc_id, text, lang)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    """The documents without those of no language: no letter at all, or unlike every learned language.
+
+    What is unlike follows from the scores that the documents outside the held-out fold reach in their own language.
+    """
+    train = docs.where(~held_out(doc_id))
+    known = profiles(train, text, lang)
+    labelled = train.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    bounds = least_scores(identify(labelled, known, grams="n_grams"), floor=least_score)
+    judged = identify(docs, known, text, grams="_n_grams")
+    least = F.element_at(F.array(*map(F.lit, bounds)), _class("_n_grams", PROFILE) + 1)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)

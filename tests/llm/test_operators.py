@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import io
@@ -232,6 +233,18 @@ def test_languages(spark, docs, empty):
     assert {r.text for r in docs.join(language.keep_identified(docs).select("doc_id"), "doc_id", "left_anti").collect() if r.doc_id is not None} == {None, "", " \n\t ", "12345 !!! ###"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(8)
+    finnish = "Suomen kielessä on viisitoista sijamuotoa ja sanat taipuvat niiden mukaan. Talvella järvet jäätyvät ja ihmiset kävelevät jään yli naapurikylään."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 400)]
+    planted = [*noise, *(base64.b64encode(rng.randbytes(n)).decode() for n in (150, 3000)), finnish, polish * 5, "x" * 5000, "Все люди рождаются свободными и равными в своём достоинстве и правах. report"]
+    clean = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(10_000 + k, t, None if t[0] == "x" else ("en", None)[k % 2], "src1", len(t)) for k, t in enumerate(planted)]
+    kept = {r.doc_id for r in language.keep_identified(clean.unionByName(spark.createDataFrame(rows, DOCS).select(*[F.col(f.name).cast(f.dataType) for f in clean.schema]))).collect()}
+    assert kept == {r.doc_id for r in clean.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_language_ranks_by_hand():
     c, bounds = language.padded(np.array([0, 3, 3, 8]), "ab Éa ".encode()[:8] if len("ab Éa ".encode()) >= 8 else "ab Éa x".encode())
     assert bounds[0] == 0 and c[0] == 0
