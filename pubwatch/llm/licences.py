@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 # What ends a sentence: a mark before white space, a line that ends in neither letter, digit, comma nor bracket, a
 # blank line.  Other line ends are wraps.
-SENTENCE_END = r"[.!?;:][ \t\r\n]+|[^A-Za-z0-9,( \t\r\n][ \t\r]*\n|\n[ \t\r]*\n"
+SENTENCE_END = r"[.!?;:][ \t\r\n]+|[^A-Za-z0-9,() \t\r\n][ \t\r]*\n|\n[ \t\r]*\n"
 #: A sentence without any of these words is prose and has no identifier.
 LICENCE_WORDS = "licen[cs]|copyright|all rights reserved|redistribut|warrant|permission|public domain|provided as is|liab|derivative|unlicense|provided that the following|copies or substantial|without restriction|endorse"
+#: Words of known sentences that have none of these.
+LICENCE_WORDS += "|required by applicable law|in the hope that it will be useful|any later version|copy of the mpl|legal epl|provided by .* as is|advertising materials mentioning|attribution (noncommercial|sharealike|noderivatives)|creative commons attribution|^c [0-9]{4}"
 
 #: Known sentences: (identifier, pattern of whole words in the normalised sentence), the first that fits counts.
 SENTENCES = (
@@ -28,18 +30,34 @@ SENTENCES = (
     ("agpl-3-grant", "gnu affero general public license( as published by the free software foundation)?( either)? version 3"),
     ("lgpl-2.1-or-later", "gnu lesser general public license( as published by the free software foundation)?( either)? version 2 1 (of the license )?or (at your option )?any later version"),
     ("lgpl-2.1-grant", "gnu lesser general public license( as published by the free software foundation)?( either)? version 2 1"),
+    ("lgpl-3-or-later", "gnu lesser general public license( as published by the free software foundation)?( either)? version 3 (of the license )?or (at your option )?any later version"),
     ("lgpl-3-grant", "gnu lesser general public license( as published by the free software foundation)?( either)? version 3"),
     ("gpl-3-or-later", "gnu general public license( as published by the free software foundation)?( either)? version 3 (of the license )?or (at your option )?any later version"),
     ("gpl-3-grant", "gnu general public license( as published by the free software foundation)?( either)? version 3"),
     ("gpl-2-or-later", "gnu general public license( as published by the free software foundation)?( either)? version 2 (of the license )?or (at your option )?any later version"),
     ("gpl-2-grant", "gnu general public license( as published by the free software foundation)?( either)? version 2"),
     ("gpl-useful", "distributed in the hope that it will be useful"),
-    ("gpl-see", "see the gnu (lesser |affero )?general public license for more details"),
-    ("gpl-received", "you should have received a copy of the gnu (lesser |affero )?general public license"),
+    ("gpl-see", "see the gnu (lesser |library |affero )?general public license for more details"),
+    ("gpl-received", "you should have received a copy of the gnu (lesser |library |affero )?general public license"),
+    ("gpl-fitness", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    # A semicolon before the version ends the sentence of the grant.
+    ("agpl-grant", "gnu affero general public license( as published by the free software foundation)?$"),
+    ("lgpl-grant", "gnu lesser general public license( as published by the free software foundation)?$"),
+    ("library-grant", "gnu library general public license( as published by the free software foundation)?$"),
+    ("gpl-grant", "gnu general public license( as published by the free software foundation)?$"),
+    ("version-2.1-or-later", "^(either )?version 2 1 (of the license )?or (at your option )?any later version"),
+    ("version-2-or-later", "^(either )?version 2 (of the license )?or (at your option )?any later version"),
+    ("version-3-or-later", "^(either )?version 3 (of the license )?or (at your option )?any later version"),
+    ("version-2.1", "^(only )?version 2 1 of the license"),
+    ("version-2", "^(only )?version 2 of the license"),
+    ("version-3", "^(only )?version 3 of the license"),
     ("or-later", "(either version|or) (at your option )?any later version"),
-    ("mpl-2.0-grant", "subject to the terms of the mozilla public license (v|version) ?2 0"),
+    # The full stop of "v. 2.0" ends a sentence; "source code form" is said from version 2.0 on.
+    ("mpl-2.0-grant", "this source code form is subject to the terms of the mozilla public license v|subject to the terms of the mozilla public license (v|version) ?2 0"),
     ("mpl-copy", "if a copy of the mpl was not distributed with this file"),
-    ("epl-2.0-grant", "(under|terms of) the( terms of the)? eclipse public license (v|version) ?2 0"),
+    ("epl-2.0-grant", "(under|terms of) the( terms of the)? eclipse public license ((v|version) ?)?2 0"),
+    ("epl-grant", "(under|terms of) the( terms of the)? eclipse public license v$"),
+    ("epl-2.0-link", "^2 0 which (is available|accompanies this distribution and is available) at https? (www )?eclipse org legal epl (2 0|v20)"),
     ("mit-title", "(released under|licensed under|under) the mit license|^(the )?mit license$"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies"),
@@ -64,8 +82,20 @@ SENTENCES = (
     ("copyright-notice", "^(c )?copyright( c)? [0-9]{4}|^c [0-9]{4}"),
 )
 
+_TAILS = (("gpl-useful", "gpl-fitness", "gpl-see", "gpl-received"), ("gpl-useful", "gpl-fitness", "gpl-see"), ())
+#: A grant whose version stands in the same sentence, or in one of its own.
+_GNU = (
+    ("AGPL-3.0-or-later", ("agpl-3-or-later",)), ("AGPL-3.0-or-later", ("agpl-grant", "version-3-or-later")), ("AGPL-3.0-only", ("agpl-grant", "version-3")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-or-later",)), ("LGPL-2.1-or-later", ("lgpl-grant", "version-2.1-or-later")), ("LGPL-2.1-only", ("lgpl-grant", "version-2.1")),
+    ("LGPL-3.0-or-later", ("lgpl-3-or-later",)), ("LGPL-3.0-or-later", ("lgpl-grant", "version-3-or-later")), ("LGPL-3.0-only", ("lgpl-grant", "version-3")),
+    ("LGPL-2.0-or-later", ("library-grant", "version-2-or-later")), ("LGPL-2.0-only", ("library-grant", "version-2")),
+    ("GPL-3.0-or-later", ("gpl-3-or-later",)), ("GPL-3.0-or-later", ("gpl-grant", "version-3-or-later")), ("GPL-3.0-only", ("gpl-grant", "version-3")),
+    ("GPL-2.0-or-later", ("gpl-2-or-later",)), ("GPL-2.0-or-later", ("gpl-grant", "version-2-or-later")), ("GPL-2.0-only", ("gpl-grant", "version-2")),
+)
+
 #: Ordered rules: (licence, consecutive identifiers).
 RULES = (
+    *((licence, (*head, *tail)) for licence, head in _GNU for tail in _TAILS if head[1:] or tail),
     ("Apache-2.0", ("apache-2.0-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-2.0-grant", "apache-comply", "apache-copy")),
     ("Apache-2.0", ("apache-2.0-grant",)),
@@ -78,6 +108,7 @@ RULES = (
     ("LGPL-2.1-or-later", ("lgpl-2.1-or-later",)),
     ("LGPL-2.1-or-later", ("lgpl-2.1-grant", "or-later")),
     ("LGPL-2.1-only", ("lgpl-2.1-grant",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-or-later",)),
     ("LGPL-3.0-or-later", ("lgpl-3-grant", "or-later")),
     ("LGPL-3.0-only", ("lgpl-3-grant",)),
     ("GPL-3.0-or-later", ("gpl-3-or-later", "gpl-useful", "gpl-see", "gpl-received")),
@@ -91,6 +122,7 @@ RULES = (
     ("MPL-2.0", ("mpl-2.0-grant", "mpl-copy")),
     ("MPL-2.0", ("mpl-2.0-grant",)),
     ("EPL-2.0", ("epl-2.0-grant",)),
+    ("EPL-2.0", ("epl-grant", "epl-2.0-link")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is", "no-liability")),
     ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
     ("MIT", ("mit-grant", "mit-notice")),
@@ -169,7 +201,7 @@ def scan_licences(docs: DataFrame, text: str = "text", sentences=SENTENCES, rule
     names = [c for c in docs.columns if c not in added]
     body = F.coalesce(F.col(text), F.lit(""))
     # A text without any licence word has no licence sentence; the test saves cutting it.
-    suspect = body.rlike("(?i)" + LICENCE_WORDS.replace(" ", "[^a-z0-9]+") + "|cc[^a-z0-9]*(by|0)")
+    suspect = body.rlike("(?i)" + LICENCE_WORDS.replace("^", "").replace(" .* ", "(?s:.*)").replace(" ", "[^a-z0-9]+") + "|cc[^a-z0-9]*(by|0)")
     # A generated column is evaluated once, a projected one again for every use.
     cut = docs.select(*names, F.explode(F.array(F.when(suspect, sequence_of(body, sentences)).otherwise(""))).alias("licence_sequence"))
     ruled = cut.select(*names, "licence_sequence", F.explode(F.array(recognise(F.col("licence_sequence"), rules))).alias("_ruled"))

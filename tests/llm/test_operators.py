@@ -100,6 +100,59 @@ def test_licences(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+GNU_TAIL = """
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{1} for more details.
+
+You should have received a copy of the GNU {1}
+along with this {0}; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+"""
+GNU_HEAD = """Copyright (C) 2001 A. Person
+
+This {0} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {1}
+as published by the Free Software Foundation{2}
+"""
+
+
+def test_official_licence_headers(spark):
+    gnu = lambda what, name, version: GNU_HEAD.format(what, name, version) + GNU_TAIL.format(what, name)
+    later = "{} version {} of the License, or (at your option)\nany later version."
+    cases = [
+        (gnu("program", "General Public License", later.format("; either", 2)), "GPL-2.0-or-later"),
+        (gnu("program", "General Public License", "; version 2 of the License."), "GPL-2.0-only"),
+        (gnu("library", "Lesser General Public\nLicense", later.format("; either", "2.1")), "LGPL-2.1-or-later"),
+        (gnu("library", "Library General Public\nLicense", later.format("; either", 2)), "LGPL-2.0-or-later"),
+        (gnu("program", "Lesser General Public License", later.format(", either", 3)), "LGPL-3.0-or-later"),
+        (gnu("program", "General Public License", later.format(", either", 3)), "GPL-3.0-or-later"),
+        (gnu("program", "Affero General Public License", later.format("; either", 3)), "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+        ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 which is available at\nhttp://www.eclipse.org/legal/epl-2.0.", "EPL-2.0"),
+        ("""Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the organization.
+4. Neither the name of the organization nor the
+   names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+""", "BSD-4-Clause"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(df).collect()}
+    assert [got[k].licences for k in got] == [cases[k][1] for k in got] and len(got) == len(cases)
+    assert "<mpl-2.0-grant><mpl-copy>" in got[7].licence_sequence and got[7].n_unmatched == 0
+
+
 def test_warc(spark):
     big, other = "same " * 400, "é" * 600
     pages = [(1, "http://a/ b%20\n", big, 0), (2, None, big, 0), (9, "http://c", big, 0), (3, "u", None, 0), (4, "u", "", 0), (5, "u", other, 0), (6, "u", "small", 0), (7, "u", "small", 0), (9, "http://c", big, 0)]
