@@ -47,21 +47,27 @@ def search_warnings(results: DataFrame) -> DataFrame:
 # --- briefings ---------------------------------------------------------------------------------------
 
 
-VARIANT_DEPTH = 8
+def sql_nesting(value: str) -> str:
+    """SQL: how deep lists and objects nest in a variant, by the brackets of its JSON outside of texts."""
+    bare = f"to_json({value})"
+    for pattern in (r"\\.", '"[^"]*"', r"[^\[\]{}]"):
+        bare = f"regexp_replace({bare}, {q(pattern)}, '')"
+    step = "s.d + case when c in ('[', '{') then 1 when c in (']', '}') then -1 else 0 end"
+    return f"coalesce(aggregate(split({bare}, ''), named_struct('d', 0, 'm', 0), (s, c) -> named_struct('d', {step}, 'm', greatest(s.m, {step})), s -> s.m), 0)"
 
 
 def sql_list_text(value: str) -> str:
     """SQL: texts of a variant that is a text, a list or an object with a label, cleaned, in order, once each.
 
-    Lists are opened and objects replaced by their first filled label, level by level, until only
-    plain values are left; payloads nest far less than ``VARIANT_DEPTH`` levels.
+    Lists are opened and objects replaced by their first filled label, level by level, as deep
+    as the value nests, until only plain values are left.
     """
     none = "cast(array() as array<variant>)"
     labels = ", ".join(f"variant_get(e, '$.{key}', 'variant')" for key in V.BRIEFING_LABEL_KEYS)
     filled = "filter(array(" + labels + "), w -> w is not null and not is_variant_null(w) and to_json(w) not in ('\"\"', '[]', '{}', '0', 'false'))"
     step = (f"case when e is null or is_variant_null(e) then {none} when schema_of_variant(e) like 'ARRAY%' then cast(e as array<variant>) "
             f"when schema_of_variant(e) like 'OBJECT%' then slice({filled}, 1, 1) else array(e) end")
-    leaves = f"aggregate(sequence(1, {VARIANT_DEPTH}), array({value}), (level, i) -> flatten(transform(level, e -> {step})))"
+    leaves = f"aggregate(sequence(1, {sql_nesting(value)} + 1), array({value}), (level, i) -> flatten(transform(level, e -> {step})))"
     return f"array_distinct(filter(transform({leaves}, e -> {sql_clean_text('cast(e as string)')}), t -> t <> ''))"
 
 
