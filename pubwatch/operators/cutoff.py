@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
 
+#: Pages of a source that one task orders.
+PAGE_BLOCK = 1024
+
 
 def keep_until_stop(pages: DataFrame, keys: list[str], stop: Column, max_pages: int | None = None, first_page: int = 1) -> DataFrame:
     """Pages up to and including the first one with ``stop``; ``max_pages`` limits them where a caller asks for it.
@@ -50,8 +53,13 @@ def page_cutoff_search(pages: DataFrame, keys: list[str], max_pages: int | None
     bounded = (pages if max_pages is None else pages.where(F.col("page_no") < max_pages)).groupBy(*keys, "page_no").agg(
         F.max("entries").alias("entries"), F.max("total").alias("total"), F.bool_and("readable").alias("readable")
     )
-    upto = Window.partitionBy(*keys).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    running = bounded.withColumn("fetched", F.sum(F.when(F.col("readable"), F.col("entries")).otherwise(0)).over(upto))
+    # Sums over blocks of pages come first, so no task orders all pages of a source.
+    blocks = bounded.withColumn("_block", F.floor(F.col("page_no") / PAGE_BLOCK)).withColumn("_own", F.when(F.col("readable"), F.col("entries")).otherwise(0))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys, "_block").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = blocks.groupBy(*keys, "_block").agg(F.sum("_own").alias("_sum")).select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = blocks.withColumn("fetched", F.sum("_own").over(upto)).join(offsets, [*keys, "_block"])
+    running = within.withColumn("fetched", F.col("fetched") + F.col("_before")).drop("_block", "_own", "_before")
     stop = ~F.col("readable") | (F.col("entries") == 0) | (F.col("fetched") >= F.col("total"))
     kept = keep_until_stop(running, keys, stop, max_pages, first_page=0)
     last = kept.groupBy(*keys).agg(

@@ -179,6 +179,21 @@ def test_page_cutoffs_have_no_limit_of_their_own(spark):
     assert cutoff.page_cutoff_search(pages, ["source"], max_pages=50)[1].first()["warning"] == "too_many_results"
 
 
+def test_search_pages_are_summed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cutoff, "PAGE_BLOCK", 16)
+    pages = spark.range(240).selectExpr("concat('s', id % 2) AS source", "int(id div 2) AS page_no", "int(1 + id % 3) AS entries", "bigint(if(id % 2 = 0, 100, 1000)) AS total", "id <> 151 AS readable")
+    rows = sorted(pages.collect(), key=lambda r: r.page_no)
+    want, fetched, over = set(), {"s0": 0, "s1": 0}, set()
+    for r in rows:
+        if r.source not in over:
+            fetched[r.source] += r.entries if r.readable else 0
+            want |= {(r.source, r.page_no, fetched[r.source])} if r.readable else set()
+            over |= {r.source} if not r.readable or fetched[r.source] >= r.total else set()
+    kept, warnings = cutoff.page_cutoff_search(pages, ["source"])
+    assert {(r.source, r.page_no, r.fetched) for r in kept.collect()} == want and len(over) == 2
+    assert {r.source: r.warning for r in warnings.collect()} == {"s0": None, "s1": "broken_page"}
+
+
 def test_sources_repeated_by_id_do_not_multiply_news(spark):
     news = spark.createDataFrame([("x", "y", "u1")], "agency string, agency_en string, unit_category string")
     sources = spark.createDataFrame([(2, "u1", "A", "B"), (1, "u1", "C", "D")], "source_ord int, source_id string, display_name string, name_en string")
