@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, jaccard, kneser_ney, language, licences, lines, mixing, url_rules, warc
+from pubwatch.llm import ann, decontamination, jaccard, kneser_ney, language, licences, lines, mixing, quality, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,44 @@ FROM parsed p LEFT JOIN (SELECT * FROM hits WHERE n = 1) h ON p.page_id = h.page
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_rules.RULES), url_rules.RULE_SCHEMA)
     return url_rules.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
+
+
+def _quality_sql() -> str:
+    rejects = " ".join(
+        f"WHEN {' OR '.join('(' + test.format(c=cutoffs[level]) + ')' for test, cutoffs in quality.RULES.values())} THEN {level}" for level in range(quality.LEVELS))
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '{quality.UNKNOWN}') AS stratum, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i FROM d WHERE len(w) > {quality.WINDOW}),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (SELECT r, i, md5(array_to_string(list_slice(w, i, i + {quality.WINDOW - 1}), ' ')) AS k FROM places)),
+covered AS (
+  SELECT r, CAST(sum(least({quality.WINDOW}, i - before)) AS BIGINT) AS n FROM (
+    SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), i - {quality.WINDOW}) AS before FROM again WHERE c > 1) GROUP BY r),
+s AS (
+  SELECT d.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered c ON d.r = c.r),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE {rejects} END AS rejects FROM s),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+h AS (
+  SELECT stratum, level, count(*) AS n, count(*) FILTER (rejects <= level) AS k
+  FROM j JOIN good USING (doc_id), range({quality.LEVELS}) t(level) WHERE NOT base_failed GROUP BY stratum, level),
+p AS (
+  SELECT stratum, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.LIMIT}) + (n - i) * ln({1 - quality.LIMIT}))) AS tail
+  FROM (SELECT *, unnest(range(k + 1)) AS i FROM h) GROUP BY stratum, level),
+q AS (
+  SELECT stratum, level, bool_and(tail <= {quality.RISK} / (SELECT count(DISTINCT stratum) FROM h)) OVER (PARTITION BY stratum ORDER BY level) AS holds FROM p),
+z AS (SELECT stratum, CAST(max(level) AS INTEGER) AS cutoff_level FROM q WHERE holds GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(rejects <= cutoff_level, false) AS kept, j.stratum, cutoff_level
+FROM j LEFT JOIN z ON j.stratum = z.stratum"""
+
+
+@query("op11_quality_rules", _quality_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", *(c for c in quality.STATISTICS if c != "n_lines"), "base_failed", "kept", "stratum", "cutoff_level")
