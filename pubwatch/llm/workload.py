@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, jaccard, kneser_ney, language, licences, lines, mixing, quality, url_rules, warc
+from pubwatch.llm import ann, decontamination, hard_negatives, jaccard, kneser_ney, language, licences, lines, mixing, quality, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -205,3 +205,28 @@ FROM j LEFT JOIN z ON j.stratum = z.stratum"""
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *(c for c in quality.STATISTICS if c != "n_lines"), "base_failed", "kept", "stratum", "cutoff_level")
+
+
+#: Every anchor is a row whose id is divisible by this; ids divisible by 7 get the next label.
+ANCHOR_STEP = 50
+
+
+@query("op12_hard_negatives", f"""
+WITH e AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id % {ANCHOR_STEP} = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+near AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM pairs WHERE same),
+hits AS (
+  SELECT p.anchor_id, p.id AS positive_id, q.id AS negative_id, p.score AS positive_score, q.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY q.score DESC, q.id) AS INTEGER) AS rank
+  FROM near p JOIN pairs q ON p.anchor_id = q.anchor_id AND NOT q.same AND {hard_negatives.LOW} * p.score <= 100 * q.score AND 100 * q.score <= {hard_negatives.HIGH} * p.score
+  WHERE p.n <= {hard_negatives.POSITIVES})
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM hits WHERE rank <= {hard_negatives.NEGATIVES}""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index, books = hard_negatives.build_index(table(spark, folder, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(index, books, index.where(F.col("vec_id") % ANCHOR_STEP == 0))
