@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubwatch.llm import ann, decontamination, hard_negatives, jaccard, kneser_ney, language, licences, lines, mixing, quality, url_rules, warc
+from pubwatch.llm import ann, decontamination, hard_negatives, jaccard, kneser_ney, language, licences, lines, mixing, phrases, quality, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,3 +230,34 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     index, books = hard_negatives.build_index(table(spark, folder, "embeddings").withColumn("label", label))
     return hard_negatives.mine(index, books, index.where(F.col("vec_id") % ANCHOR_STEP == 0))
+
+
+@query("op13_phrases", f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS phrase
+  FROM w, range(1, 4) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND c >= {phrases.LEAST_COUNT}),
+inside AS (
+  SELECT lang, part AS phrase, max(a) AS longest FROM (
+    SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS part FROM cand WHERE k = 3) GROUP BY lang, part),
+cuts AS (
+  SELECT c.*, j, array_to_string(p[1:j], ' ') AS first_part, array_to_string(p[j + 1:k], ' ') AS rest
+  FROM cand c, range(1, 3) t(j) WHERE j < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, j, x.c AS l, y.c AS r, (1000000::HUGEINT * c.a * c.a) // (x.c::HUGEINT * y.c) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS b FROM scored),
+ranked AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, CAST(s.score AS BIGINT) AS score, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM best s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE b = 1 AND NOT coalesce(100 * i.longest >= {phrases.ABSORBED} * s.a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, folder, "documents"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pubwatch import fixed_values as V
 from pubwatch.functions.base import any_of, ordered_distinct
 from pubwatch.functions.urls import route_category
-from pubwatch.operators.ranking import nearest_rank, order_statistics
+from pubwatch.operators.ranking import nearest_rank, order_statistics, side_by_side
 
 # Wordings that later operators recognise in a warning text, with the code each one stands for.
 EMPTY_PARSE_WORDS = ("解析為零", "未解析到", "解析失敗", "欄位不完整")
@@ -128,9 +128,7 @@ def run_status(health: DataFrame, group: list[str] | None = None, critical_only:
     once = health.where(~silent).groupBy(*keys, "warning").agg(F.min("position").alias("position"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "warning"))), lambda w: w["warning"])
     texts = once.groupBy(*keys).agg(ordered.alias("warnings"))
-    if not keys:
-        state, texts = state.withColumn("_k", F.lit(1)), texts.withColumn("_k", F.lit(1))
-    joined = state.join(texts, keys or ["_k"], "left")
+    joined = state.join(texts, keys, "left") if keys else side_by_side(state, texts)
     return joined.select(
         *keys, F.when(F.col("_fine"), F.lit("complete")).otherwise(F.lit("degraded")).alias("status"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
@@ -153,9 +151,8 @@ def observability(health: DataFrame) -> DataFrame:
     totals = critical.agg(
         F.count("*").alias("source_count"), F.avg(F.col("success").cast("int")).alias("_rate"),
         F.avg((F.col("item_count") == 0).cast("int")).alias("_zero"),
-    ).withColumn("_k", F.lit(1))
-    p95 = order_statistics(critical, [], "duration_seconds", {"_p95": (0.95, nearest_rank(0.95))}).select(F.lit(1).alias("_k"), "_p95")
-    row = totals.join(p95, "_k", "left")
+    )
+    row = side_by_side(totals, order_statistics(critical, [], "duration_seconds", {"_p95": nearest_rank(0.95)}).select("_p95"))
     rate, slow, zero = F.coalesce("_rate", F.lit(1.0)), F.coalesce("_p95", F.lit(0.0)), F.coalesce("_zero", F.lit(0.0))
     return row.select(
         "source_count", F.bround(rate, 3).alias("source_success_rate"), F.bround(slow, 3).alias("source_p95_seconds"),
@@ -230,6 +227,6 @@ def transient_only(issues: DataFrame, health: DataFrame, aggregator_url: str = "
     """
     statuses = F.transform(F.filter("endpoints", lambda e: e["url"] == aggregator_url), lambda e: e["status_code"])
     passing = (F.coalesce("candidate_count", F.lit(0)) == 0) & (F.size(statuses) > 0) & F.forall(statuses, lambda s: s.isin(*V.TRANSIENT_STATUSES))
-    failed = health.where(~F.col("success")).agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_p")).withColumn("_k", F.lit(1))
-    listed = issues.agg(F.count("*").alias("_n"), F.count_if(F.col("kind") != "fetch_failed").alias("_o")).withColumn("_k", F.lit(1))
-    return listed.join(failed, "_k").select(((F.col("_n") > 0) & (F.col("_o") == 0) & F.col("_p")).alias("transient_only"))
+    failed = health.where(~F.col("success")).agg(F.coalesce(F.bool_and(passing), F.lit(True)).alias("_p"))
+    listed = issues.agg(F.count("*").alias("_n"), F.count_if(F.col("kind") != "fetch_failed").alias("_o"))
+    return side_by_side(listed, failed).select(((F.col("_n") > 0) & (F.col("_o") == 0) & F.col("_p")).alias("transient_only"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from pubwatch.session import materialize
 
 _ROWS_PER_PARTITION_BITS = 33
-_SKETCH_ACCURACY = 10000
-_BRACKET = 5.0 / _SKETCH_ACCURACY
+#: Distinct values that may be ordered in one group, and values drawn to cut a larger bracket.
+BRACKET_VALUES, PIVOTS = 4096, 24
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
@@ -45,58 +47,74 @@ def upper_median(n: Column) -> Column:
     return (F.floor(n / 2) + 1).cast("bigint")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], width: int = BRACKET_VALUES, pivots: int = PIVOTS,
+) -> DataFrame:
     """Exact k-th smallest values per group: keys, n, min, max, then one column per entry of ``ranks``.
 
-    ``ranks`` maps a column name to (its approximate fraction, exact rank as a function of n).
-    A mergeable sketch brackets every wanted rank; a second pass counts the values below the
-    bracket and the distinct values inside it, and only those few are ordered.  No group is ever
-    collected or sorted whole, so one group may hold any share of the rows.
+    ``ranks`` maps a column name to the exact rank as a function of n; nulls are left out.  Values keep their own type,
+    whatever can be ordered.  Equal values are counted first, map-side, so a value that holds any share of the rows is
+    one row.  Then every wanted rank has a bracket, at first the whole group.  Brackets of more than ``width`` distinct
+    values are narrowed: random values of the bracket cut it into pieces, the pieces are counted (a few numbers per
+    task), and the piece that holds the rank is the next bracket.  A round divides a bracket by about ``pivots`` / 2.
+    Only brackets of at most ``width`` values are ordered, so no group is collected or sorted whole.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     group = keys or ["_all"]
-    if not keys:
-        rows = rows.withColumn("_all", F.lit(1))
-    bounds = []
-    for fraction, _rank in ranks.values():
-        bounds += [max(0.0, fraction - _BRACKET), min(1.0, fraction + _BRACKET)]
-    sketch = rows.groupBy(*group).agg(
-        F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        F.percentile_approx("_v", bounds, _SKETCH_ACCURACY).alias("_b"),
-    )
-    # A small group is ordered whole; beyond that size the bracket spans at least five ranks each way.
-    small = F.col("n") <= _SKETCH_ACCURACY
-    sought = F.array(*[
-        F.struct(
-            F.lit(k).alias("k"), rank(F.col("n")).alias("rank"),
-            F.when(small, F.col("min")).otherwise(F.element_at("_b", 2 * k + 1)).alias("low"),
-            F.when(small, F.col("max")).otherwise(F.element_at("_b", 2 * k + 2)).alias("high"),
-        ) for k, (_fraction, rank) in enumerate(ranks.values())
-    ])
-    # Counting by value first means that ties and repeated values cost one row.
-    valued = rows.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
-    marked = valued.join(sketch.select(*group, sought.alias("_s")), group)
-    below = marked.groupBy(*group).agg(*[
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_s")[k]["low"], F.col("_c"))), F.lit(0)).alias(f"_below{k}")
-        for k in range(len(ranks))
-    ])
-    inside = marked.select(
-        *group, "_v", "_c", F.explode(F.filter("_s", lambda s: F.col("_v").between(s["low"], s["high"]))).alias("_s")
-    )
-    upto = Window.partitionBy(*group, "_s.k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    running = inside.withColumn("_upto", F.sum("_c").over(upto)).join(below, group)
-    picked = []
-    for k, name in enumerate(ranks):
-        wanted = F.col("_s.rank") - F.col(f"_below{k}")
-        hit = (F.col("_s.k") == k) & (F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_c") < wanted)
-        picked.append(F.min(F.when(hit, F.col("_v"))).alias(name))
-    out = sketch.drop("_b").join(running.groupBy(*group).agg(*picked), group, "left")
+    rows = df.select(*keys, F.col(value).alias("_v")) if keys else df.select(F.lit(1).alias("_all"), F.col(value).alias("_v"))
+    valued = materialize(rows.where("_v is not null").groupBy(*group, "_v").agg(F.count("*").alias("_c")), "rank-values")
+    whole = valued.groupBy(*group).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.count("*").alias("_d"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), rank(F.col("n")).alias("rank")) for k, rank in enumerate(ranks.values())])
+    state = whole.select(*group, F.explode(wanted).alias("_r"), F.col("min").alias("_low"), F.col("max").alias("_high"), "_d").select(
+        *group, "_r.k", "_r.rank", "_low", "_high", "_d")
+    ready = state.where(F.col("_d") <= width)
+    while not (open_ := materialize(state.where(F.col("_d") > width), "rank-brackets")).isEmpty():
+        state = _narrow(valued, open_, group, pivots)
+        ready = ready.unionByName(state.where(F.col("_d") <= width))
+    upto = Window.partitionBy(*group, "k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = _inside(valued, ready, group).withColumn("_upto", F.sum("_c").over(upto))
+    hit = (F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank"))
+    picked = counted.where(hit).groupBy(*group).agg(*[F.min(F.when(F.col("k") == k, F.col("_v"))).alias(name) for k, name in enumerate(ranks)])
+    out = whole.drop("_d").join(picked, group, "left")
     return out if keys else out.drop("_all")
 
 
+def _inside(valued: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
+    """Counted values with every bracket they lie in.  Brackets are read from a table of known size: that decides the join."""
+    sides = [F.col(f"v.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+    joined = valued.alias("v").join(brackets.alias("b"), reduce(and_, sides))
+    return joined.where(F.col("_v").between(F.col("_low"), F.col("_high"))).select("b.*", "_v", "_c")
+
+
+def _narrow(valued: DataFrame, brackets: DataFrame, group: list[str], pivots: int) -> DataFrame:
+    """The piece of every bracket that holds its rank; the rank then counts from the piece's start.
+
+    A pivot is the value with the least hash under one of several seeds, so it is a value of the bracket, in its own
+    type; pieces are the pivots themselves and the gaps between them, and at least one value leaves the bracket.
+    """
+    keys = [*group, "k"]
+    rows = _inside(valued, brackets, group)
+    drawn = rows.groupBy(*keys).agg(*[F.min_by("_v", F.xxhash64("_v", F.lit(seed))).alias(f"_p{seed}") for seed in range(pivots)])
+    cuts = materialize(drawn.select(*keys, F.array_sort(F.array_distinct(F.array(*[f"_p{seed}" for seed in range(pivots)]))).alias("_cuts")), "rank-pivots")
+    sides = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys]
+    below = F.aggregate("_cuts", F.lit(0), lambda n, p: n + F.when(p < F.col("_v"), 2).when(p == F.col("_v"), 1).otherwise(0))
+    placed = rows.alias("r").join(cuts.alias("p"), reduce(and_, sides)).select("r.*", below.alias("_piece"))
+    pieces = placed.groupBy(*keys, "rank", "_piece").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_d"))
+    upto = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    running = pieces.withColumn("_upto", F.sum("_c").over(upto))
+    chosen = running.where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
+    return materialize(chosen.select(*keys, (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"), "_low", "_high", "_d"), "rank-pieces")
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, min, max, median and p95 (nearest rank) per group."""
     stats = order_statistics(df, keys, value, {
-        "_m1": (0.5, lower_median), "_m2": (0.5, upper_median), "p95": (0.95, nearest_rank(0.95)),
+        "_m1": lower_median, "_m2": upper_median, "p95": nearest_rank(0.95),
     })
     return stats.withColumn("median", (F.col("_m1") + F.col("_m2")) / 2).drop("_m1", "_m2")
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row out of one-row tables with different columns: a union and an aggregate, where a join on a constant
+    would be a Cartesian product."""
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return wide.agg(*[F.max(c).alias(c) for c in wide.columns])

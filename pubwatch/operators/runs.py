@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pubwatch import fixed_values as V
 from pubwatch.functions.dates import parse_datetime
 from pubwatch.operators.dedupe import keep_first
-from pubwatch.operators.ranking import distribution
+from pubwatch.operators.ranking import distribution, side_by_side
 
 REQUIRED_SUMMARY_FIELDS = ("delivery_id", "run_id", "status", "data_fingerprint", "output_file")
 COUNT_FIELDS = ("all_news_count", "filtered_news_count", "parliament_count", "filtered_parliament_count")
@@ -179,8 +179,6 @@ def compare_cases(current: DataFrame, baseline: DataFrame) -> DataFrame:
 def run_counts(news: DataFrame, briefings: DataFrame) -> DataFrame:
     """The four report counts; both inputs carry ``included``."""
     def tally(df: DataFrame, names: tuple[str, str]) -> DataFrame:
-        return df.agg(F.count("*").alias(names[0]), F.count_if("included").alias(names[1])).withColumn("_k", F.lit(1))
+        return df.agg(F.count("*").alias(names[0]), F.count_if("included").alias(names[1]))
 
-    a = tally(news, ("all_news_count", "filtered_news_count"))
-    b = tally(briefings, ("parliament_count", "filtered_parliament_count"))
-    return a.join(b, "_k").drop("_k")
+    return side_by_side(tally(news, ("all_news_count", "filtered_news_count")), tally(briefings, ("parliament_count", "filtered_parliament_count")))

@@ -7,13 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pubwatch import fixed_values as V
 from pubwatch.operators.dedupe import news_key
+from pubwatch.operators.ledger import PRECEDENCE
 from pubwatch.operators.relevance import Profile, filter_relevant
 
-LEDGER_OUTPUT = "delivery_id string, event string, event_seq bigint, state string, accepted boolean"
+LEDGER_OUTPUT = "delivery_id string, event string, event_seq bigint, run_id string, state string, accepted boolean"
+_LEDGER_COLUMNS = ["delivery_id", "event", "event_seq", "run_id", "state", "accepted"]
+#: The state store that ``stream_ledger`` needs; session setting and value.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_dedupe(news: DataFrame, delay: str = f"{V.DEFAULT_PERIOD_DAYS} days") -> DataFrame:
@@ -37,37 +41,96 @@ def stream_score(news: DataFrame, profile: Profile, link: str | None = "link") -
     return filter_relevant(news, profile, link)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """claimed -> sent or released; a claim needs a free delivery, the others a claimed one."""
-    current = state.get[0] if state.exists else ""
-    rows = []
-    events = pd.concat(list(batches)).sort_values("event_seq")
-    for event, seq in zip(events["event"], events["event_seq"], strict=True):
-        accepted = current in ("", "released") if event == "claimed" else current == "claimed"
-        current = event if accepted else current
-        rows.append((key[0], event, seq, current, accepted))
-    state.update((current,))
-    yield pd.DataFrame(rows, columns=["delivery_id", "event", "event_seq", "state", "accepted"])
+class DeliveryMachine(StatefulProcessor):
+    """claimed -> sent or released; a claim needs a free delivery, the others a claimed one.
 
+    An event waits in list state until the watermark has passed its time, so events that arrive in another order, also
+    in another batch, are judged in the ledger's total order.  The value state goes with an accepted release; a sent
+    delivery keeps it for ``keep_ms`` after the event, then a timer removes it and says so with an ``expired`` row.
+    """
 
-def stream_ledger(events: DataFrame) -> DataFrame:
-    """Delivery state machine per delivery id, one output row per event with its verdict.
-
-    ``events``: delivery_id, event, event_seq.  A delivery has a handful of events, so a group is small.
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "state string, until bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event_seq bigint, kind int, run_id string, event string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        for part in rows:
+            at = part["event_time"].astype("datetime64[ms]").astype("int64")
+            kinds = part["event"].map({e: k for k, e in enumerate(PRECEDENCE)}).fillna(len(PRECEDENCE)).astype("int64")
+            self.waiting.appendList(list(zip(at.tolist(), part["event_seq"].tolist(), kinds.tolist(), part["run_id"].tolist(), part["event"].tolist(), strict=True)))
+            for when in at.unique().tolist():
+                self.handle.registerTimer(when)
+        yield pd.DataFrame(columns=_LEDGER_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = list(self.waiting.get())
+        due = sorted(x for x in held if x[0] <= now)
+        state, until = self.current.get() if self.current.exists() else ("", 0)
+        out = []
+        for at, seq, _, run, event in due:
+            accepted = event in PRECEDENCE and (state == "" if event == "claimed" else state == "claimed")
+            if accepted:
+                state, until = event, at + self.keep_ms
+                if event == "sent":
+                    self.handle.registerTimer(until)
+            out.append((key[0], event, seq, run, state, accepted))
+            state = "" if state == "released" else state
+        if state == "sent" and until <= now:
+            out.append((key[0], "expired", None, None, "", True))
+            state = ""
+        if due:
+            rest = [x for x in held if x[0] > now]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        self.current.update((state, until)) if state else self.current.clear()
+        yield pd.DataFrame(out, columns=_LEDGER_COLUMNS).astype({"event_seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ledger(events: DataFrame, delay: str = "1 day", keep: pd.Timedelta = pd.Timedelta(days=V.DEFAULT_PERIOD_DAYS)) -> DataFrame:
+    """Delivery state machine per delivery id: one row per event with the state after it and its verdict.
+
+    ``events``: delivery_id, event, event_seq, run_id, event_time.  An event is judged once the watermark, ``delay``
+    behind the newest event, has passed it; later ones than that are dropped by Spark.  Needs a state store with
+    column families (``ROCKSDB``).
     """
-    return events.select("delivery_id", "event", "event_seq").groupBy("delivery_id").applyInPandasWithState(
-        _advance, LEDGER_OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+    timed = events.select("delivery_id", "event", "event_seq", "run_id", "event_time").withWatermark("event_time", delay)
+    return timed.groupBy("delivery_id").transformWithStateInPandas(
+        DeliveryMachine(int(keep.total_seconds() * 1000)), LEDGER_OUTPUT, outputMode="append", timeMode="eventTime")
+
 
+def run_to_end(stream: DataFrame, folder: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), settings: tuple[tuple[str, str], ...] = ()) -> None:
+    """Process everything that has landed, then stop; state and offsets stay in ``folder``, where the next call goes on.
 
-def run_to_end(stream: DataFrame, folder: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Process everything that has landed, then stop; state and offsets stay in ``folder``."""
-    writer = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", f"{folder}/offsets")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    query = writer.trigger(availableNow=True).start(f"{folder}/rows")
-    query.awaitTermination()
+    ``settings`` hold for this query only.
+    """
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k, _ in settings}
+    for k, v in settings:
+        conf.set(k, v)
+    try:
+        writer = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", f"{folder}/offsets")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def read_back(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def state_rows(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """What a stopped stream still holds, read from its checkpoint by the state data source."""
+    reader = spark.read.format("statestore")
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load(f"{folder}/offsets")
