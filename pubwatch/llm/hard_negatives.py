@@ -141,7 +141,7 @@ class MultiIndex:
         size = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(len(q), 1)
         if size < 1 << 53:
             return (v.astype(float) @ q.astype(float)).astype(np.int64)
-        if size >= 1 << 63:
+        if size >= 1 << 63 and (np.abs(v.astype(float)) @ np.abs(q.astype(float))).max(initial=0) >= 2.0**63 * (1 - _SLACK):
             raise ValueError("an inner product may pass 64 bits")
         return v @ q
 
