@@ -1,52 +1,48 @@
 """Delivery ledger as an append-only event table.
 
 Events: delivery_id, event (claimed, sent, released), run_id, status, data_fingerprint, excel_path, message_id, event_seq.
-Appends may carry equal numbers, so events have a total order: number, kind (claimed, sent, released), run id.  The
-state of a delivery is what its events, replayed in this order, leave: a claim needs a free delivery, so the first one
-wins; sent and released need a claimed one; sent is final.
+Two appends may carry equal numbers, so events have a total order: number, kind (claimed, released, sent: what was sent
+stays sent), run id.  The state of a delivery is its last event; if that is a claim, its holder is the first claim
+since the delivery was last free, whatever order the rows come in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubwatch.operators.dedupe import keep_first
 
-_KEPT = ("event", "run_id", "status", "data_fingerprint", "excel_path", "message_id", "event_seq")
-#: Which of several events with one number comes first.
+_HELD = ("run_id", "status", "data_fingerprint", "excel_path", "message_id")
+#: Which of several events with one number comes first, in the table and in the stream's state machine.
 PRECEDENCE = ("claimed", "sent", "released")
+_BY_FINALITY = ("claimed", "released", "sent")
 
 
 def event_order() -> Column:
     """The total order of a delivery's events as one value."""
-    kind = F.array_position(F.array(*[F.lit(e) for e in PRECEDENCE]), F.col("event"))
+    kind = F.array_position(F.array(*[F.lit(e) for e in _BY_FINALITY]), F.col("event"))
     return F.struct(F.col("event_seq").alias("seq"), kind.alias("kind"), F.coalesce("run_id", F.lit("")).alias("writer"))
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """Every event with ``accepted`` and the ``state`` after it ('' while the delivery is free).
+def ledger_state(events: DataFrame) -> DataFrame:
+    """Current row per delivery; released deliveries are gone.
 
-    Replaying needs no fold.  An event that ends a claim is accepted exactly if a claim stands right before it and
-    nothing was sent earlier: after any other event the delivery is free or sent.  A claim is accepted exactly if no
-    claim stands right before it and nothing was sent earlier.
+    Both groupings combine before their shuffle, so a delivery may hold any share of the events.  Claims are looked up
+    again only where the last event is a claim and another claim may have come before it.
     """
     ordered = events.withColumn("_order", event_order())
-    by_order = Window.partitionBy("delivery_id").orderBy("_order")
-    earlier = by_order.rowsBetween(Window.unboundedPreceding, -1)
-    seen = ordered.withColumn("_after_claim", F.coalesce(F.lag("event").over(by_order) == "claimed", F.lit(False)))
-    seen = seen.withColumn("_sent", F.coalesce(F.max((F.col("event") == "sent") & F.col("_after_claim")).over(earlier), F.lit(False)))
-    claim, free = F.col("event") == "claimed", ~F.col("_sent")
-    accepted = free & F.when(claim, ~F.col("_after_claim")).otherwise(F.col("_after_claim") & F.col("event").isin(*PRECEDENCE[1:]))
-    state = F.when(~free, F.lit("sent")).when(claim, F.lit("claimed")).when(F.col("accepted"), F.col("event")).otherwise(
-        F.when(F.col("_after_claim"), F.lit("claimed")).otherwise(F.lit("")))
-    return seen.withColumn("accepted", accepted).withColumn("state", state).drop("_after_claim", "_sent")
-
-
-def ledger_state(events: DataFrame) -> DataFrame:
-    """Current row per delivery: its last accepted event; released deliveries are gone."""
-    latest = replay(events).where("accepted").groupBy("delivery_id").agg(F.max_by(F.struct(*_KEPT), "_order").alias("_s"))
-    return latest.select("delivery_id", "_s.*").where("event <> 'released'").withColumnRenamed("event", "state")
+    held = F.struct(*_HELD)
+    latest = ordered.groupBy("delivery_id").agg(
+        F.max_by(F.struct("event", held.alias("held"), "event_seq"), "_order").alias("_s"),
+        F.max(F.when(F.col("event") != "claimed", F.col("_order"))).alias("_free"),
+        F.count_if(F.col("event") == "claimed").alias("_claims"),
+    ).where("_s.event <> 'released'")
+    raced = latest.where("_s.event = 'claimed' and _claims > 1").select("delivery_id", "_free")
+    claims = ordered.where("event = 'claimed'").join(raced, "delivery_id").where(F.col("_free").isNull() | (F.col("_order") > F.col("_free")))
+    holders = claims.groupBy("delivery_id").agg(F.min_by(held, "_order").alias("_holder"))
+    current = latest.join(holders, "delivery_id", "left").select("delivery_id", F.col("_s.event").alias("state"), F.coalesce("_holder", "_s.held").alias("_held"), F.col("_s.event_seq").alias("event_seq"))
+    return current.select("delivery_id", "state", "_held.*", "event_seq")
 
 
 def ledger_status(state: DataFrame) -> DataFrame:

@@ -315,7 +315,7 @@ def _(t):
   FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) GROUP BY p_brand""")
 def _(t):
     part = t.read("part")
-    stats = ranking.order_statistics(part, ["p_brand"], "p_retailprice", {"p95": (0.95, lambda n: (F.bround((n - 1) * F.lit(0.95)) + 1).cast("bigint"))})
+    stats = ranking.order_statistics(part, ["p_brand"], "p_retailprice", {"p95": lambda n: (F.bround((n - 1) * F.lit(0.95)) + 1).cast("bigint")})
     mean = part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 3).alias("mean"))
     return stats.join(mean, "p_brand").select("p_brand", F.col("min").alias("best"), "mean", "p95")
 
