@@ -73,6 +73,9 @@ class DeliveryMachine(StatefulProcessor):
         state, until = self.current.get() if self.current.exists() else ("", 0)
         out = []
         for at, seq, _, run, event in due:
+            if state == "sent" and until <= at:  # its timer may only fire in a later batch
+                out.append((key[0], "expired", None, None, "", True))
+                state = ""
             accepted = event in PRECEDENCE and (state == "" if event == "claimed" else state == "claimed")
             if accepted:
                 state, until = event, at + self.keep_ms

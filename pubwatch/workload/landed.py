@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pubwatch import fixed_values as V
@@ -292,9 +293,9 @@ def _stream(t, table: str):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
-def _finished(t, stream, label: str, partition_by=()):
+def _finished(t, stream, label: str, partition_by=(), settings=()):
     folder = f"{checkpoint_folder(t.spark)}/{label}-{uuid.uuid4().hex}"
-    live.run_to_end(stream, folder, partition_by=partition_by)
+    live.run_to_end(stream, folder, partition_by=partition_by, settings=settings)
     return live.read_back(t.spark, stream, folder)
 
 
@@ -327,8 +328,16 @@ def _(t):
     return _finished(t, scored, "stream-score")
 
 
-@query("stream_ledger", "SELECT 'd' || CAST(o_custkey AS VARCHAR) AS delivery_id, count(*) AS events FROM orders GROUP BY o_custkey")
+@query("stream_ledger", """WITH e AS (SELECT 'd' || CAST(o_custkey AS VARCHAR) AS delivery_id, CASE o_orderstatus WHEN 'F' THEN 'sent' WHEN 'O' THEN 'claimed' ELSE 'released' END AS event, o_orderkey AS event_seq, o_orderdate AS seen FROM orders
+    WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY),
+  c AS (SELECT *, coalesce(lag(event) OVER w = 'claimed', false) AS after_claim FROM e WINDOW w AS (PARTITION BY delivery_id ORDER BY seen, event_seq)),
+  s AS (SELECT *, coalesce(bool_or(event = 'sent' AND after_claim) OVER (PARTITION BY delivery_id ORDER BY seen, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS sent FROM c)
+  SELECT delivery_id, event_seq, event, NOT sent AND (CASE WHEN event = 'claimed' THEN NOT after_claim ELSE after_claim END) AS accepted,
+    CASE WHEN sent THEN 'sent' WHEN event = 'claimed' THEN 'claimed' WHEN after_claim THEN event ELSE '' END AS state FROM s""")
 def _(t):
-    events = _stream(t, "orders").selectExpr("concat('d', o_custkey) AS delivery_id", "case o_orderstatus when 'F' then 'sent' when 'O' then 'claimed' else 'released' end AS event", "o_orderkey AS event_seq")
-    verdicts = _finished(t, live.stream_ledger(events), "stream-ledger")
-    return verdicts.groupBy("delivery_id").agg(F.count("*").alias("events"))
+    # Events that the watermark has not passed yet still wait for earlier ones and have no verdict.
+    events = _stream(t, "orders").selectExpr(
+        "concat('d', o_custkey) AS delivery_id", "case o_orderstatus when 'F' then 'sent' when 'O' then 'claimed' else 'released' end AS event", "o_orderkey AS event_seq",
+        "concat('run-', o_custkey) AS run_id", "cast(o_orderdate AS timestamp) AS event_time")
+    verdicts = _finished(t, live.stream_ledger(events, keep=pd.Timedelta(days=36500)), "stream-ledger", settings=(live.ROCKSDB,))
+    return verdicts.select("delivery_id", "event_seq", "event", "accepted", "state")

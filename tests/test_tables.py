@@ -4,9 +4,11 @@ import math
 import random
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pubwatch.operators import catalog, cutoff, dedupe, health, ledger, merge, ranking, runs
+from pubwatch.streaming import live
 
 NEWS = "agency string, unit_category string, title string, link string, published_at timestamp"
 
@@ -58,6 +60,17 @@ def test_order_statistics_match_brute_force_with_a_hot_group(spark):
         assert found[g]["median"] == (values[(n + 1) // 2 - 1] + values[n // 2]) / 2
 
 
+def test_order_statistics_narrow_in_the_values_own_type(spark):
+    big = 1 << 60  # neighbours that a double can't tell apart
+    rows = [("hot", big + (k * 7919) % 3000) for k in range(6000)] + [("one", 5), ("none", None), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(7)
+    ranks = {"low": lambda n: F.lit(1).cast("long"), "median": ranking.lower_median, "p95": ranking.nearest_rank(0.95)}
+    found = {r["g"]: r for r in ranking.order_statistics(df, ["g"], "v", ranks, width=20, pivots=6).collect()}
+    hot = sorted(v for g, v in rows if g == "hot")
+    assert tuple(found["hot"][c] for c in ("n", "low", "median", "p95", "max")) == (6000, hot[0], hot[2999], hot[5699], hot[-1])
+    assert found["one"]["median"] == 5 and "none" not in found and found[None]["n"] == 2
+
+
 def test_number_rows_is_dense_and_ordered(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
     out = ranking.number_rows(rows.repartition(11), [F.col("k"), F.col("id")]).collect()
@@ -205,3 +218,43 @@ def test_a_period_of_one_run_only_matches_nothing(spark):
     one = spark.range(2).selectExpr("string(id) AS period_start", "string(id) AS period_end", *(f"string(null) AS {f}" for f in fields))
     got = {r.period_start: r.logical_match for r in runs.logical_matches(runs.compare_runs(one, one.where("period_start = '0'"))).collect()}
     assert got == {"0": True, "1": False}
+
+
+def test_ledger_is_the_same_in_any_row_order(spark):
+    schema = "delivery_id string, event string, run_id string, status string, data_fingerprint string, excel_path string, message_id string, event_seq long"
+    made = lambda d, e, r, seq: (d, e, r, "complete", "f", f"{r}.xlsx", "m" if e == "sent" else "", seq)
+    rows = [
+        made("race", "claimed", "b", 1), made("race", "claimed", "a", 1), made("late", "claimed", "y", 4), made("late", "claimed", "a", 5),
+        made("again", "claimed", "a", 1), made("again", "released", "a", 2), made("again", "claimed", "z", 3), made("again", "claimed", "c", 4),
+        made("final", "claimed", "a", 1), made("final", "released", "a", 2), made("final", "sent", "a", 2), made("gone", "claimed", "a", 1), made("gone", "released", "a", 1),
+    ]
+    want = {("race", "claimed", "a", 1), ("late", "claimed", "y", 5), ("again", "claimed", "z", 4), ("final", "sent", "a", 2)}
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        state = ledger.ledger_state(spark.createDataFrame(order, schema).repartition(3))
+        assert {(r["delivery_id"], r["state"], r["run_id"], r["event_seq"]) for r in state.collect()} == want
+
+
+def test_stream_ledger_over_batches_and_restarts(spark, tmp_path):
+    schema = "delivery_id string, event string, event_seq long, run_id string, event_time timestamp"
+    at = lambda day, hour=0: datetime(2024, 1, day, hour)
+    batches = [
+        [("a", "sent", 2, "r", at(1, 2)), ("b", "claimed", 3, "r", at(1, 3))],
+        [("a", "claimed", 1, "r", at(1, 1)), ("b", "released", 4, "r", at(1, 4)), ("b", "sent", 5, "r", at(1, 5)), ("x", "claimed", 6, "r", at(4))],
+        [("a", "claimed", 7, "late", at(1, 1)), ("a", "claimed", 8, "r", at(5)), ("x", "sent", 9, "r", at(9))],
+        [("x", "claimed", 10, "r", at(28)), ("a", "claimed", 11, "r", at(20))],
+        [("x", "claimed", 12, "r", at(29))],
+    ]
+    landed = tmp_path / "in"
+    landed.mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(landed))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(landed))
+        out = live.stream_ledger(stream, delay="1 day", keep=pd.Timedelta(days=7))
+        live.run_to_end(out, str(tmp_path), settings=(live.ROCKSDB,))
+    found = [(r["delivery_id"], r["event"], r["event_seq"], r["state"], r["accepted"]) for r in live.read_back(spark, out, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted([
+        ("a", "claimed", 1, "claimed", True), ("a", "sent", 2, "sent", True), ("a", "claimed", 8, "sent", False), ("a", "expired", None, "", True),
+        ("b", "claimed", 3, "claimed", True), ("b", "released", 4, "released", True), ("b", "sent", 5, "", False),
+        ("x", "claimed", 6, "claimed", True), ("x", "sent", 9, "sent", True), ("x", "expired", None, "", True),
+        ("a", "claimed", 11, "claimed", True), ("x", "claimed", 10, "claimed", True),
+    ], key=str)
