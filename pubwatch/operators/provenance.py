@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubwatch.functions.base import fold, let
+from pubwatch.functions.base import fold
+from pubwatch.functions.canonical import lower_escapes
 from pubwatch.functions.urls import canonical_url
 from pubwatch.operators.dedupe import unit_or_agency
 from pubwatch.operators.merge import attach_fetched_at
@@ -15,7 +14,7 @@ from pubwatch.operators.merge import attach_fetched_at
 PARSER_VERSION = "v1"
 FINGERPRINT_VERSION = "v3"
 FLAT_FINGERPRINT_BYTES = 256 * 1024 * 1024
-_TREE_PREFIXES = (6, 4, 2, 0)
+_TREE_PREFIXES = (6, 4, 2)
 
 
 def build_provenance(news: DataFrame, briefings: DataFrame, health: DataFrame, generated_at: Column) -> DataFrame:
@@ -46,15 +45,7 @@ def _by_fold(values: Column) -> Column:
 
 def _canonical_json(fields: dict[str, Column]) -> Column:
     """Compact JSON with sorted keys, nulls kept, and lower-case hex in control escapes."""
-    text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
-
-    def lower_hex(x: Column) -> Column:
-        out = x
-        for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
-            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-        return F.when(F.contains(x, F.lit("\\u00")), out).otherwise(x)
-
-    return let(text, lower_hex)
+    return lower_escapes(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}))
 
 
 _STRENGTH_COLUMNS = ("matched_keywords", "core_matched_keywords", "general_matched_keywords", "supporting_matched_keywords")
@@ -83,7 +74,7 @@ def record_lines(news: DataFrame, briefings: DataFrame) -> DataFrame:
 
 
 def data_fingerprint(news: DataFrame, briefings: DataFrame, limit_bytes: int = FLAT_FINGERPRINT_BYTES) -> DataFrame:
-    """SHA-256 over the sorted canonical records of one run, the value that delivery ids carry.
+    """SHA-256 over the sorted canonical records of a small run, as one flat text.
 
     A flat digest reads its bytes in one order, so it is only defined here for a run whose
     records fit ``limit_bytes`` (measured first); larger tables use :func:`fingerprint_tree`.
@@ -96,18 +87,9 @@ def data_fingerprint(news: DataFrame, briefings: DataFrame, limit_bytes: int = F
     return lines.agg(F.sha2(joined, 256).alias("data_fingerprint"))
 
 
-def streamed_fingerprint(news: DataFrame, briefings: DataFrame) -> DataFrame:
-    """The value of :func:`data_fingerprint` for records of any size.
-
-    The lines are sorted by range over all tasks; the driver hashes them partition by partition and holds one at a
-    time, as a flat digest has one order.
-    """
-    lines = record_lines(news, briefings)
-    digest = hashlib.sha256(b'{"records":[')
-    for n, row in enumerate(lines.orderBy("line").toLocalIterator()):
-        digest.update(("," if n else "").encode() + row["line"].encode())
-    digest.update(f'],"schema":"{FINGERPRINT_VERSION}"}}'.encode())
-    return lines.sparkSession.createDataFrame([(digest.hexdigest(),)], "data_fingerprint string")
+def run_fingerprint(news: DataFrame, briefings: DataFrame) -> DataFrame:
+    """The fingerprint of a run of any size: the tree over all its records, news and briefings."""
+    return fingerprint_tree(record_lines(news, briefings)).withColumnRenamed("fingerprint", "data_fingerprint")
 
 
 def fingerprint_tree(lines: DataFrame) -> DataFrame:
@@ -115,15 +97,15 @@ def fingerprint_tree(lines: DataFrame) -> DataFrame:
 
     Equal rows are counted map-side first; the row digests are then grouped by ever shorter
     prefixes.  Digests spread evenly, so every group stays small whatever the input's skew.
+    No rows at all have the digest of the empty text.
     """
     level = lines.groupBy(F.sha2("line", 256).alias("h")).agg(F.count("*").alias("c")).select(
         F.col("h"), F.concat_ws(":", "h", "c").alias("v")
     )
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("v")), ","), 256)
     for size in _TREE_PREFIXES:
-        level = level.groupBy(F.left("h", F.lit(size)).alias("h")).agg(
-            F.sha2(F.array_join(F.sort_array(F.collect_list("v")), ","), 256).alias("v")
-        )
-    return level.select(F.col("v").alias("fingerprint"))
+        level = level.groupBy(F.left("h", F.lit(size)).alias("h")).agg(digest.alias("v"))
+    return level.agg(digest.alias("fingerprint"))
 
 
 def response_hash(body: Column) -> Column:

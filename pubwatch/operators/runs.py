@@ -94,30 +94,11 @@ def sort_canonical(items: DataFrame) -> DataFrame:
 # --- performance ---------------------------------------------------------------------------------
 
 
-def conflicting_runs(entries: DataFrame, payload: Column) -> DataFrame:
-    """Executions recorded twice with different content."""
-    return entries.groupBy("generated_at", "run_id", "output_file").agg(
-        F.min(payload).alias("_lo"), F.max(payload).alias("_hi"), F.count("*").alias("records")
-    ).where("_lo <> _hi").drop("_lo", "_hi")
-
-
 def once_per_run(entries: DataFrame) -> DataFrame:
     """One sample per execution; its repeats are identical, so the choice does not matter."""
     return entries.dropDuplicates(["generated_at", "run_id", "output_file"])
 
 
-def performance_groups(entries: DataFrame, contract: list[str]) -> DataFrame:
-    """Wall-time distribution per condition contract.
-
-    ``entries``: contract columns (run_kind and status among them), total_wall_seconds.
-    """
-    grouped = entries.withColumn("group_id", F.left(F.sha2(F.to_json(F.struct(*sorted(contract)), {"ignoreNullFields": "false"}), 256), F.lit(12)))
-    stats = distribution(grouped, ["group_id"], "total_wall_seconds")
-    facts = grouped.select("group_id", *contract).distinct()
-    ready = (F.col("n") >= V.BASELINE_MINIMUM_RUNS) & (F.col("run_kind") == "full") & (F.col("status") == "complete")
-    return facts.join(stats, "group_id").withColumn("baseline_ready", ready).withColumnRenamed("n", "sample_count")
-
-
 def stage_distributions(entries: DataFrame, keys: list[str], stages: str = "stages") -> DataFrame:
     """Distribution per stage; null where any run of the group lacks the stage."""
     long = entries.select(*keys, F.explode(stages).alias("stage", "seconds"))

@@ -12,7 +12,7 @@ from pubwatch.operators.dedupe import dedupe_briefings, dedupe_news
 from pubwatch.operators.filters import adjust_health_counts, filter_period, split_homepages
 from pubwatch.operators.health import failed_sources, observability, run_status
 from pubwatch.operators.merge import merge_briefings, merge_health, merge_news, resolve_source
-from pubwatch.operators.provenance import build_provenance, streamed_fingerprint
+from pubwatch.operators.provenance import build_provenance, run_fingerprint
 from pubwatch.operators.relevance import Profile, annotate
 from pubwatch.operators.runs import run_counts
 
@@ -37,7 +37,7 @@ class Run:
         return observability(self.health)
 
     def fingerprint(self) -> DataFrame:
-        return streamed_fingerprint(self.news, self.briefings)
+        return run_fingerprint(self.news, self.briefings)
 
     def provenance(self, generated_at: Column) -> DataFrame:
         return build_provenance(self.news, self.briefings, self.health, generated_at)

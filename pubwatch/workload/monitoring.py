@@ -8,7 +8,7 @@ from pubwatch import fixed_values as V
 from pubwatch.functions.base import computed
 from pubwatch.functions.dates import utc_text
 from pubwatch.functions.urls import route_category
-from pubwatch.operators import cutoff, dedupe, health, ledger, ranking, relevance, runs
+from pubwatch.operators import baselines, cutoff, dedupe, health, ledger, ranking, relevance, runs
 from pubwatch.operators.relevance import KeywordIndex
 from pubwatch.sinks import reports
 from pubwatch.workload import tables as T
@@ -282,27 +282,53 @@ def _(t):
     return runs.sort_canonical(items).select("o_orderkey", "published_at")
 
 
-PERF_SQL = with_tables(T.RUNS) + f""", g AS (SELECT *, row_number() OVER (PARTITION BY status, run_kind, profile_hash ORDER BY total_wall_seconds) AS i, count(*) OVER (PARTITION BY status, run_kind, profile_hash) AS n FROM runs)
-  SELECT status, run_kind, profile_hash, n AS sample_count, min(total_wall_seconds) AS min, max(total_wall_seconds) AS max, min(CASE WHEN i = CAST(ceil(n * 0.95) AS BIGINT) THEN total_wall_seconds END) AS p95,
-  (min(CASE WHEN i = (n + 1) // 2 THEN total_wall_seconds END) + min(CASE WHEN i = n // 2 + 1 THEN total_wall_seconds END)) / 2 AS median, n >= 3 AND run_kind = 'full' AND status = 'complete' AS baseline_ready FROM g GROUP BY status, run_kind, profile_hash, n"""
+# Every order is a recorded run; every seventh is recorded twice, every 31st again with another machine, and some lack a condition.
+PERF_ENTRIES = """WITH entries AS (SELECT o.*, copy, 'run-' || CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE o_totalprice END AS wall, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE 'rev-' || CAST(o_orderkey % 2 AS VARCHAR) END AS revision,
+    CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'degraded' END AS status, CASE WHEN o_orderkey % 9 = 0 THEN 'retry' ELSE 'full' END AS run_kind, CASE WHEN o_orderkey % 4 <> 2 THEN o_totalprice * 2 END AS export
+  FROM orders o JOIN (VALUES (0), (1), (2)) c(copy) ON copy = 0 OR (copy = 1 AND o_orderkey % 7 = 0) OR (copy = 2 AND o_orderkey % 31 = 0)),
+  samples AS (SELECT *, '{"context": {"cache_key": "empty", "cache_state": "cold", "machine": "Büro \\"8\\"", "revision": "' || revision || '"}, "counts": {"all_news_count": ' || CAST(o_custkey % 2 AS VARCHAR) || ', "filtered_news_count": 1, "filtered_parliament_count": 0, "parliament_count": 2}, '
+    || '"health": [["src1", true, 0, ""], ["src2", ' || CASE status WHEN 'complete' THEN 'true' ELSE 'false' END || ', 3, "slow"]], "performance": {"run_kind": "' || run_kind || '", "runtime": "spark", "runtime_version": "4.1", "schema_version": 1, "total_endpoint": "write", "translation_cache_hits": null, "translation_cache_misses": 2, "workers": 8}, '
+    || '"sources": ["src1", "src2"], "summary": {"data_fingerprint": "f", "period_end": "2024-01-07", "period_start": "2024-01-01", "profile_hash": "' || o_orderpriority || '", "status": "' || status || '"}}' AS conditions
+    FROM entries WHERE copy = 0 AND wall > 0 AND trim(revision) <> '' AND o_orderkey % 31 <> 0) """
+
+
+def _perf_entries(t):
+    src1 = "named_struct('source', 'src1', 'success', true, 'item_count', cast(null AS bigint), 'warning', cast(null AS string))"
+    src2 = "named_struct('source', 'src2', 'success', o_orderstatus = 'F', 'item_count', 3L, 'warning', 'slow')"
+    copies = "explode(filter(array(0, if(o_orderkey % 7 = 0, 1, null), if(o_orderkey % 31 = 0, 2, null)), c -> c is not null)) AS copy"
+    return t.read("orders").selectExpr("*", copies).selectExpr(
+        """named_struct('revision', if(o_orderkey % 97 = 0, ' ', concat('rev-', o_orderkey % 2)), 'machine', if(copy = 2, 'other', 'Büro "8"'), 'cache_state', 'cold', 'cache_key', 'empty') AS context""",
+        f"""named_struct('run_id', concat('run-', o_orderkey), 'generated_at', cast(o_orderdate AS string), 'output_file', 'report.xlsx', 'period_start', '2024-01-01', 'period_end', '2024-01-07', 'profile_hash', o_orderpriority,
+          'status', if(o_orderstatus = 'F', 'complete', 'degraded'), 'data_fingerprint', 'f', 'selected_sources', if(o_orderkey div 2 % 2 = 0, array('src1', 'src2'), array('src2', 'src1')), 'source_health', if(o_orderkey div 2 % 2 = 0, array({src1}, {src2}), array({src2}, {src1})),
+          'all_news_count', o_custkey % 2, 'filtered_news_count', 1, 'parliament_count', 2, 'filtered_parliament_count', 0, 'performance', named_struct('schema_version', 1, 'runtime', 'spark', 'runtime_version', '4.1', 'workers', 8, 'run_kind', if(o_orderkey % 9 = 0, 'retry', 'full'),
+          'total_endpoint', 'write', 'translation_cache_hits', cast(null AS bigint), 'translation_cache_misses', 2L, 'total_wall_seconds', if(o_orderkey % 50 = 0, 0D, o_totalprice), 'stages', map('collection', o_totalprice, 'export', if(o_orderkey % 4 <> 2, o_totalprice * 2, null)))) AS summary""",
+    )
+
+
+def _spread_sql(value: str) -> str:
+    """The four figures of a group, from the rows' places ``i`` of ``n``."""
+    middle = f"(min(CASE WHEN i = (n + 1) // 2 THEN {value} END) + min(CASE WHEN i = n // 2 + 1 THEN {value} END)) / 2"
+    return f"min({value}) AS min, max({value}) AS max, min(CASE WHEN i = CAST(ceil(n * 0.95) AS BIGINT) THEN {value} END) AS p95, {middle} AS median"
 
 
-@query("agg_perf_groups", PERF_SQL)
+@query("agg_perf_groups", PERF_ENTRIES + f""", g AS (SELECT *, row_number() OVER (PARTITION BY conditions ORDER BY wall) AS i, count(*) OVER (PARTITION BY conditions) AS n FROM samples)
+  SELECT left(sha256(conditions), 12) AS group_id, conditions, n AS sample_count, {_spread_sql('wall')}, n >= 3 AND min(run_kind) = 'full' AND min(status) = 'complete' AS baseline_ready FROM g GROUP BY conditions, n""")
 def _(t):
-    return runs.performance_groups(t.runs, ["status", "run_kind", "profile_hash"]).drop("group_id")
+    return baselines.baseline_groups(baselines.baseline_samples(_perf_entries(t)))
 
 
-@query("agg_perf_stages", """SELECT o_orderpriority, stage, CASE WHEN whole THEN mn END AS min, CASE WHEN whole THEN mx END AS max FROM (SELECT o_orderpriority, 'collection' AS stage, true AS whole, min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders GROUP BY 1
-  UNION ALL SELECT o_orderpriority, 'export', false, NULL, NULL FROM orders GROUP BY 1)""")
+@query("agg_perf_stages", PERF_ENTRIES + f""", long AS (SELECT conditions, 'collection' AS stage, o_totalprice AS v FROM samples UNION ALL SELECT conditions, 'export', export FROM samples),
+  g AS (SELECT *, row_number() OVER (PARTITION BY conditions, stage ORDER BY v) AS i, count(*) OVER (PARTITION BY conditions, stage) AS n, count(v) OVER (PARTITION BY conditions, stage) AS known FROM long),
+  s AS (SELECT left(sha256(conditions), 12) AS group_id, stage, n = known AS whole, {_spread_sql('v')} FROM g GROUP BY conditions, stage, n, known)
+  SELECT group_id, stage, {', '.join(f'CASE WHEN whole THEN {c} END AS {c}' for c in ('median', 'p95', 'min', 'max'))} FROM s""")
 def _(t):
-    entries = t.read("orders").select("o_orderpriority", F.create_map(F.lit("collection"), F.col("o_totalprice"), F.lit("export"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("stages"))
-    return runs.stage_distributions(entries, ["o_orderpriority"]).select("o_orderpriority", "stage", "min", "max")
+    return baselines.baseline_stages(baselines.baseline_samples(_perf_entries(t)))
 
 
-@query("agg_perf_dedupe", """SELECT count(*) AS conflicts FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1)""")
+@query("agg_perf_dedupe", PERF_ENTRIES + """, faults AS (SELECT run_id, 'unmeasured' AS code FROM entries WHERE wall <= 0 UNION ALL SELECT run_id, 'unclear_conditions' FROM entries WHERE trim(revision) = ''
+  UNION ALL SELECT run_id, 'conflicting_records' FROM entries WHERE wall > 0 AND trim(revision) <> '' AND o_orderkey % 31 = 0) SELECT run_id, code, count(*) AS records FROM faults GROUP BY run_id, code""")
 def _(t):
-    entries = t.read("orders").selectExpr("o_custkey AS generated_at", "'r' AS run_id", "'f' AS output_file", "o_orderstatus")
-    return runs.conflicting_runs(entries, F.col("o_orderstatus")).agg(F.count("*").alias("conflicts"))
+    return baselines.baseline_issues(_perf_entries(t)).select("run_id", "code", "records")
 
 
 @query("agg_perf_once", "SELECT count(*) AS samples FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)")

@@ -102,17 +102,6 @@ def test_run_status(spark):
     assert tuple(health.run_status(rows.where("false")).first()) == ("complete", [])
 
 
-def test_performance_baselines(spark):
-    rows = [("full", "complete", "p", 10.0 * i, {"a": 1.0, "b": None if i == 2 else 2.0}, f"t{i}") for i in (1, 2, 3, 3)] + [("retry", "complete", "p", 5.0, {"a": 1.0}, "t9")]
-    entries = runs.once_per_run(spark.createDataFrame(rows, "run_kind string, status string, profile_hash string, total_wall_seconds double, stages map<string,double>, generated_at string").withColumns({"run_id": F.lit("r"), "output_file": F.lit("o")}))
-    groups = {r["run_kind"]: r for r in runs.performance_groups(entries, ["run_kind", "status", "profile_hash"]).collect()}
-    full = groups["full"]
-    assert (full["sample_count"], full["baseline_ready"], full["median"], full["p95"], full["min"], full["max"]) == (3, True, 20.0, 30.0, 10.0, 30.0)
-    assert not groups["retry"]["baseline_ready"]
-    stages = {(r["run_kind"], r["stage"]): r["median"] for r in runs.stage_distributions(entries, ["run_kind"]).collect()}
-    assert stages[("full", "a")] == 1.0 and stages[("full", "b")] is None
-
-
 def test_trailing_matches(spark):
     table = "compared_at int, logical_match boolean"
     assert cutoff.trailing_matches(spark.createDataFrame([(1, True), (2, False), (3, True), (4, True)], table)).first()[0] == 2
