@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +13,39 @@ from pubwatch.functions.text import normalize_title, translate_by_rule
 from pubwatch.operators.dedupe import dedupe_news
 
 
-def resolve_source(news: DataFrame, sources: DataFrame) -> DataFrame:
+LOOKUP_BYTES = 32 * 1024 * 1024
+
+
+def as_lookup(dimension: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables derived from ``dimension`` (at most two rows a row) are joined: broadcast only if its measured size
+    is within ``LOOKUP_BYTES``, else without a hint."""
+    size = F.octet_length(F.to_json(F.struct(*dimension.columns)))
+    small = dimension.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"] <= LOOKUP_BYTES
+    return F.broadcast if small else lambda df: df
+
+
+def resolve_source(news: DataFrame, sources: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Add ``source_id``: the first source (by ordinal) that matches by any name, else the agency text.
 
-    ``sources``: source_ord, source_id, display_name, name_en.  Three equi joins on distinct keys
-    instead of one OR join; each lookup holds one row per name.
+    ``sources``: source_ord, source_id, display_name, name_en, and the ``carried`` columns, which the match brings
+    along (null without one).  Three equi joins on distinct keys instead of one OR join; each lookup holds one row per
+    name, so repeated ids multiply nothing, and a dimension of measured small size makes no record move.
     """
-    hit = F.struct("source_ord", "source_id")
-    by_agency = (
-        sources.select(F.col("display_name").alias("agency"), hit.alias("_h"))
-        .unionByName(sources.select(F.col("source_id").alias("agency"), hit.alias("_h")))
-        .groupBy("agency").agg(F.min("_h").alias("_a"))
-    )
-    by_english = sources.groupBy(F.col("name_en").alias("agency_en")).agg(F.min(hit).alias("_e"))
-    by_unit = sources.groupBy(F.col("source_id").alias("unit_category")).agg(F.min(hit).alias("_u"))
-    joined = news.join(by_agency, "agency", "left").join(by_english, "agency_en", "left").join(by_unit, "unit_category", "left")
+    beside = as_lookup(sources.select("source_ord", "source_id", "display_name", "name_en", *carried))
+    hit = F.struct("source_ord", "source_id", *carried)
+
+    def named(*names: str) -> DataFrame:
+        keyed = sources.select(F.explode(F.array(*names)).alias(names[0]), hit.alias("_h")) if len(names) > 1 else sources.select(names[0], hit.alias("_h"))
+        return keyed.groupBy(names[0]).agg(F.min("_h").alias("_m"))
+
+    by_agency = named("display_name", "source_id").toDF("agency", "_a")
+    by_english, by_unit = named("name_en").toDF("agency_en", "_e"), named("source_id").toDF("unit_category", "_u")
+    joined = news
+    for key, lookup in (("agency", by_agency), ("agency_en", by_english), ("unit_category", by_unit)):
+        joined = joined.join(beside(lookup), key, "left")
     first = F.array_min(F.array_compact(F.array("_a", "_e", "_u")))
-    return joined.withColumn("source_id", F.coalesce(first["source_id"], F.col("agency"))).drop("_a", "_e", "_u")
+    found = {"source_id": F.coalesce(first["source_id"], F.col("agency")), **{c: first[c] for c in carried}}
+    return joined.withColumns(found).drop("_a", "_e", "_u")
 
 
 def canonical_health_source(source: Column, known: Column) -> Column:

@@ -7,10 +7,12 @@ arithmetic on keyword numbers inside the scan stage: no join, no shuffle, no Pyt
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from dataclasses import dataclass, field
+from dataclasses import fields as fields_of
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,13 @@ class Profile:
         return [(topic, t, phrase, k, strength)
                 for t, (topic, words) in enumerate(self.topics) for k, (phrase, strength) in enumerate(words)]
 
+    @property
+    def content_hash(self) -> str:
+        """SHA-256 of the profile's canonical JSON, as the profile scan computes it."""
+        topics = [{"name": t, "keywords": [{"phrase": p, "strength": s} for p, s in words]} for t, words in self.topics]
+        fields = {f.name: getattr(self, f.name) for f in fields_of(self)} | {"topics": topics}
+        return hashlib.sha256(json.dumps(fields, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
 
 def strength_of(phrase: str) -> str:
     """Default strength of a phrase: listed as supporting, long or multi-word, else general."""

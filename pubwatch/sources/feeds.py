@@ -11,6 +11,7 @@ from pubwatch.functions.dates import parse_feed_date
 from pubwatch.functions.text import briefing_identifier, briefing_pdf_url, clean_text, entry_summary, feed_topics
 from pubwatch.functions.urls import content_type
 from pubwatch.operators.filters import in_period, link_allowed, official_host
+from pubwatch.operators.health import is_candidate
 
 ENTRY_PATTERN = r"(?s)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)>"
 _TEXT = "string"
@@ -55,31 +56,43 @@ def scan_feed(responses: DataFrame) -> DataFrame:
     )
 
 
+def is_unreadable(body: Column) -> Column:
+    """No feed at all: not one entry, and no readable feed around it.  A null body is unreadable."""
+    root = body.rlike(r"(?s)<(?:rss|feed|rdf:RDF)\b.*</(?:rss|feed|rdf:RDF)>\s*$")
+    entries = F.size(F.regexp_extract_all(body, F.lit(ENTRY_PATTERN), F.lit(0)))
+    return F.coalesce((entries == 0) & ~root, F.lit(True))
+
+
 def feed_errors(responses: DataFrame) -> DataFrame:
-    """Bodies that are no feed at all: not one entry, and no readable feed around it."""
-    root = F.col("body").rlike(r"(?s)<(?:rss|feed|rdf:RDF)\b.*</(?:rss|feed|rdf:RDF)>\s*$")
-    return responses.where((F.size(F.regexp_extract_all("body", F.lit(ENTRY_PATTERN), F.lit(0))) == 0) & ~root).drop("body")
+    return responses.where(is_unreadable(F.col("body"))).drop("body")
 
 
-def feed_records(entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False) -> DataFrame:
-    """Dated, allowed entries as records.
+RECORD_COLUMNS = ("agency", "agency_en", "unit_category", "title", "link", "published_at", "summary", "source_feed", "content_type")
 
-    ``sources``: source_id, agency, agency_en, homepage, patterns, official_urls.
+
+def judged_entries(entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False) -> DataFrame:
+    """Every entry of a known source as a record, with ``kept`` (dated, allowed, titled) and ``candidate``.
+
+    ``sources``: source_id, agency, agency_en, homepage, patterns, official_urls.  Entries that are not kept have no summary.
     """
-    joined = entries.join(sources, "source_id")
-    good = (
-        F.coalesce(in_period(F.col("published_at"), since, until), F.lit(False)) & (F.col("link") != "")
-        & link_allowed(F.col("link"), F.col("patterns"), F.col("homepage"))
-    )
+    allowed = link_allowed(F.col("link"), F.col("patterns"), F.col("homepage"))
     if check_host:
-        good = good & official_host(F.col("link"), F.col("official_urls"))
-    rows = joined.where(good).withColumn("title", clean_text(F.col("title"))).where("title <> ''")
+        allowed = allowed & official_host(F.col("link"), F.col("official_urls"))
+    title, stamp = clean_text(F.col("title")), F.col("published_at")
+    kept = F.coalesce(in_period(stamp, since, until), F.lit(False)) & (F.col("link") != "") & allowed & (title != "")
     kind = F.when(F.endswith("source_id", F.lit(":judgments")), F.lit("judgment")).otherwise(content_type(F.col("link"), F.col("title")))
-    return rows.select(
-        "agency", "agency_en", F.col("source_id").alias("unit_category"), "title", "link", "published_at",
-        entry_summary(F.col("summary_text"), F.col("description_text"), F.col("content")).alias("summary"),
-        F.col("url").alias("source_feed"), kind.alias("content_type"),
-    )
+    summary = entry_summary(F.col("summary_text"), F.col("description_text"), F.col("content"))
+    flagged = entries.join(sources, "source_id").withColumns({
+        "kept": F.coalesce(kept, F.lit(False)), "candidate": F.coalesce(is_candidate(stamp, F.col("link"), allowed, since, until), F.lit(False)), "title": title,
+    })
+    return flagged.withColumns({
+        "unit_category": F.col("source_id"), "source_feed": F.col("url"), "content_type": kind, "summary": F.when(F.col("kept"), summary),
+    }).select("source_id", "kept", "candidate", *RECORD_COLUMNS)
+
+
+def feed_records(entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False) -> DataFrame:
+    """Dated, allowed entries as records; ``sources`` as in :func:`judged_entries`."""
+    return judged_entries(entries, sources, since, until, check_host).where("kept").select(*RECORD_COLUMNS)
 
 
 def briefing_records(entries: DataFrame, since: Column, document_type: str = "Research Briefing") -> DataFrame:

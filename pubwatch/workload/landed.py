@@ -29,7 +29,7 @@ def _xml(column: str) -> str:
     return f"replace(replace({column}, '&', '&amp;'), '<', '&lt;')"
 
 
-def _feed_bodies(t):
+def feed_bodies(t):
     """One landed feed per document: a full item, an item without title, and every seventh body is no feed."""
     stamp = "date_format(published_at, \"EEE, dd MMM yyyy HH:mm:ss 'GMT'\")"
     body = f"""if(doc_id % 7 = 3, concat('<html>', {_xml('title')}, '</html>'), concat('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title><item><title>', {_xml(_xml('title'))}, '</title><link>', {_xml('link')}, '</link><guid>CBP-', doc_id,
@@ -40,27 +40,27 @@ def _feed_bodies(t):
 @query("scan_feed", with_tables(T.NEWS) + f"""SELECT doc_id, 0 AS position, {T.squeeze('title')} AS title, link, {text_ts('published_at')} AS published, 'CBP-' || CAST(doc_id AS VARCHAR) AS entry_id, lang AS tags FROM news WHERE doc_id % 7 <> 3
   UNION ALL SELECT doc_id, 1, '', 'https://x.example/' || CAST(doc_id AS VARCHAR), {text_ts('published_at')}, '', '' FROM news WHERE doc_id % 7 <> 3""")
 def _(t):
-    rows = feeds.scan_feed(_feed_bodies(t))
+    rows = feeds.scan_feed(feed_bodies(t))
     return rows.select("doc_id", "position", clean_text(F.col("title")).alias("title"), "link", utc_text(F.col("published_at")).alias("published"), "entry_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query("scan_feed_errors", with_tables(T.NEWS) + "SELECT doc_id FROM news WHERE doc_id % 7 = 3")
 def _(t):
-    return feeds.feed_errors(_feed_bodies(t)).select("doc_id")
+    return feeds.feed_errors(feed_bodies(t)).select("doc_id")
 
 
 @query("feed_records", with_tables(T.NEWS) + f"""SELECT agency, link, {T.squeeze('title')} AS title, md5({T.squeeze('summary')}) AS summary_md5 FROM news WHERE doc_id % 7 <> 3 AND published_at >= {SINCE} AND published_at < {UNTIL} AND link <> '' AND NOT {HOMEPAGE}
   AND link <> 'https://www.gov.uk/government/news/' || CAST(CAST(substr(source, 4) AS INTEGER) AS VARCHAR) AND {T.squeeze('title')} <> ''""")
 def _(t):
     sources = t.sources.selectExpr("source_id", "display_name AS agency", "name_en AS agency_en", "homepage", "array('/') AS patterns", "array('https://www.gov.uk/') AS official_urls")
-    rows = feeds.feed_records(feeds.scan_feed(_feed_bodies(t)), sources, t.since, t.until, check_host=True)
+    rows = feeds.feed_records(feeds.scan_feed(feed_bodies(t)), sources, t.since, t.until, check_host=True)
     return rows.select("agency", "link", "title", F.md5("summary").alias("summary_md5"))
 
 
 @query("scan_briefings_feed", with_tables(T.NEWS) + f"""SELECT doc_id, 'CBP-' || CAST(doc_id AS VARCHAR) AS identifier, '{V.BRIEFING_PDF_ROOT}CBP-' || CAST(doc_id AS VARCHAR) || '/CBP-' || CAST(doc_id AS VARCHAR) || '.pdf' AS pdf_url, 'House of Lords' AS chamber, lang AS topics
   FROM news WHERE doc_id % 7 <> 3 AND published_at >= {SINCE}""")
 def _(t):
-    entries = feeds.scan_feed(_feed_bodies(t)).where("position = 0").withColumns({"publisher": F.lit("House of Lords Library"), "feed_url": F.col("url"), "page_no": F.lit(1), "link": F.lit("https://l.example/")})
+    entries = feeds.scan_feed(feed_bodies(t)).where("position = 0").withColumns({"publisher": F.lit("House of Lords Library"), "feed_url": F.col("url"), "page_no": F.lit(1), "link": F.lit("https://l.example/")})
     rows = feeds.briefing_records(entries, t.since)
     return rows.select(F.expr("cast(substr(identifier, 5) AS bigint)").alias("doc_id"), "identifier", "pdf_url", "chamber", F.array_join("topics", "|").alias("topics"))
 

@@ -376,18 +376,25 @@ def _plain_matches(df):
     return df.withColumns({c: F.array().cast("array<string>") for c in ("matched_topics", "matched_keywords", "core_matched_keywords", "general_matched_keywords", "supporting_matched_keywords")}).withColumn("relevance_score", F.lit(0))
 
 
-@query("data_fingerprint", with_tables(T.NEWS) + f"""SELECT sha256('{{"records":[' || string_agg(line, ',' ORDER BY line) || '],"schema":"v3"}}') AS data_fingerprint FROM (SELECT {NEWS_LINE} AS line FROM news)""")
-def _(t):
-    return provenance.data_fingerprint(_plain_matches(t.news), _plain_matches(t.briefings).where("false"))
+BRIEFING_LINE = """'{"chamber":"' || chamber || '","core_matched_keywords":[],"date":"' || strftime(published_at, '%Y-%m-%d') || '","document_type":"Research Briefing","fetched_from":"Official RSS: fixture","general_matched_keywords":[],"identifier":"' || identifier ||
+  '","matched_keywords":[],"matched_topics":[],"pdf_url":"","publisher":"' || publisher || '","relevance_score":0,"summary":"' || """ + _escaped("summary") + """ || '","supporting_matched_keywords":[],"title":"' || """ + _escaped("title") + """ || '","topics":["Topic"],"type":"parliament","webpage_url":"' || webpage_url || '"}'"""
+
 
+def _tree_sql(lines: str) -> str:
+    levels = "".join(f", l{i + 1} AS (SELECT left(h, {n}) AS h, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM l{i} GROUP BY left(h, {n}))" for i, n in enumerate((6, 4, 2, 0)))
+    return with_tables(T.NEWS, T.BRIEFINGS) + f", l0 AS (SELECT h, h || ':' || CAST(count(*) AS VARCHAR) AS v FROM ({lines}) GROUP BY h){levels}"
 
-TREE_SQL = with_tables(T.NEWS) + f""", l0 AS (SELECT h, h || ':' || CAST(count(*) AS VARCHAR) AS v FROM (SELECT sha256({NEWS_LINE}) AS h FROM news) GROUP BY h)
-  {''.join(f", l{i + 1} AS (SELECT left(h, {n}) AS h, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM l{i} GROUP BY left(h, {n}))" for i, n in enumerate((6, 4, 2, 0)))} SELECT v AS fingerprint FROM l4"""
+
+@query("data_fingerprint", _tree_sql(f"SELECT sha256({NEWS_LINE}) AS h FROM news UNION ALL SELECT sha256({BRIEFING_LINE}) FROM briefings") + " SELECT v AS data_fingerprint FROM l4")
+def _(t):
+    return provenance.run_fingerprint(_plain_matches(t.news), _plain_matches(t.briefings))
 
 
-@query("fingerprint_tree", TREE_SQL)
+@query("fingerprint_tree", " UNION ALL ".join(f"SELECT * FROM ({_tree_sql(f'SELECT sha256({line}) AS h FROM {kind}')} SELECT '{kind}' AS kind, v AS fingerprint FROM l4)" for kind, line in (("news", NEWS_LINE), ("briefings", BRIEFING_LINE))))
 def _(t):
-    return provenance.fingerprint_tree(provenance.news_lines(_plain_matches(t.news)))
+    trees = {"news": provenance.news_lines(_plain_matches(t.news)), "briefings": provenance.briefing_lines(_plain_matches(t.briefings))}
+    first, second = (provenance.fingerprint_tree(lines).select(F.lit(kind).alias("kind"), "fingerprint") for kind, lines in trees.items())
+    return first.unionByName(second)
 
 
 @query("delivery_id", with_tables(T.RUNS) + """SELECT o_orderkey, run_id || ':RunStatus.' || upper(status) || ':' || left(data_fingerprint, 16) AS delivery_id FROM runs""")
@@ -410,13 +417,13 @@ def _(t):
 # --- the run --------------------------------------------------------------------------------------------------
 
 RUN_HEALTH = "run_health AS (SELECT source AS source, count(*) AS item_count FROM news GROUP BY source)"
-PERIOD_NEWS = T.NEWS.replace("FROM documents)", f"FROM documents WHERE CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 43200 AS INTEGER)) AS TIMESTAMP) >= {SINCE} AND CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 43200 AS INTEGER)) AS TIMESTAMP) < {UNTIL})")
+PERIOD_NEWS = T.NEWS.replace("FROM documents)", f"FROM documents WHERE CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 7919 % 43200 AS INTEGER)) AS TIMESTAMP) >= {SINCE} AND CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 7919 % 43200 AS INTEGER)) AS TIMESTAMP) < {UNTIL})")
 KEPT = f"kept AS (SELECT d.* FROM deduped d LEFT JOIN sources s ON d.source = s.source_id WHERE NOT {HOMEPAGE} AND (d.link = '' OR regexp_replace(d.link, '/+$', '') <> s.homepage))"
 RUN_CTES = with_tables(PERIOD_NEWS, KEYED, DEDUPED, T.SOURCES, KEPT) + ', ' + matching_ctes(P, "kept", "doc_id")
 
 
-def weekly(t):
-    per_source = t.news.groupBy("source").agg(F.count("*").alias("item_count")).select("source", F.lit(True).alias("critical"), F.lit(True).alias("success"), "item_count", F.lit(0.0).alias("duration_seconds"), F.lit("").alias("warning"), F.monotonically_increasing_id().alias("position"))
+def period_run(t):
+    per_source = t.news.groupBy("source").agg(F.count("*").alias("item_count")).select("source", F.lit(True).alias("critical"), F.lit(True).alias("success"), "item_count", F.lit(0.0).alias("duration_seconds"), F.lit("").alias("warning"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("position"))
     return publication_run(t.news, t.briefings, per_source, t.sources, P, t.since, t.until)
 
 
@@ -429,9 +436,9 @@ def _topic_sql() -> str:
     return RUN_CTES + " " + " UNION ALL ".join(parts)
 
 
-@query("publication_run", _topic_sql())
+@query("run_topic_counts", _topic_sql())
 def _(t):
-    return weekly(t).topic_counts()
+    return period_run(t).topic_counts()
 
 
 RUN_COUNTS = f""", b AS (SELECT * FROM briefings WHERE published_at >= {SINCE} AND published_at < {UNTIL}), bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {BRIEFING_KEY} ORDER BY published_at DESC, arrival_seq) AS rn FROM b) WHERE rn = 1)
@@ -440,7 +447,7 @@ RUN_COUNTS = f""", b AS (SELECT * FROM briefings WHERE published_at >= {SINCE} A
 
 @query("agg_run_counts", f"WITH {T.BRIEFINGS}, " + RUN_CTES.removeprefix("WITH ") + RUN_COUNTS)
 def _(t):
-    return weekly(t).counts().select("all_news_count", "filtered_news_count", "parliament_count")
+    return period_run(t).counts().select("all_news_count", "filtered_news_count", "parliament_count")
 
 
 @query("selective_rerun", with_tables(T.NEWS) + f""", again AS (SELECT * FROM news WHERE source IN ('src3', 'src7')), base AS (SELECT * FROM news WHERE source NOT IN ('src3', 'src7') AND doc_id % 8 <> 0 UNION ALL SELECT * FROM again),

@@ -54,11 +54,11 @@ NEWS = f"""news AS (SELECT doc_id, lang, 'Agency ' || source AS agency, 'Body '
   CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'https://www.gov.uk/' ||
     CASE (doc_id // 2) % 5 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))} END
     || '/' || CAST(doc_id // 2 AS VARCHAR) || CASE WHEN doc_id % 2 = 1 THEN '/' ELSE '' END END AS link,
-  CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 % 43200 AS INTEGER)) AS TIMESTAMP) AS published_at,
+  CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 7919 % 43200 AS INTEGER)) AS TIMESTAMP) AS published_at,
   'https://feeds.example/' || source AS source_feed FROM documents)"""
 
 BRIEFINGS = """briefings AS (SELECT conv_id, turn, conv_id * 1000 + turn AS arrival_seq,
-  CAST(TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 700 AS INTEGER)) AS TIMESTAMP) AS published_at,
+  CAST(TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id * 37 % 700 AS INTEGER)) AS TIMESTAMP) AS published_at,
   CASE role WHEN 'user' THEN 'House of Commons Library' WHEN 'assistant' THEN 'House of Lords Library' ELSE 'Parliamentary Office of Science and Technology' END AS publisher,
   CASE role WHEN 'user' THEN 'House of Commons' WHEN 'assistant' THEN 'House of Lords' ELSE 'POST' END AS chamber,
   split_part(text, chr(10), 1) AS title,
@@ -133,13 +133,13 @@ class Tables:
             "doc_id", "lang", "concat('Agency ', source) AS agency", "concat('Body ', source) AS agency_en", "if(doc_id % 7 = 0, '', source) AS unit_category", "source",
             "substring_index(text, '\\n', 1) AS title", "if(contains(text, '\\n'), substr(text, instr(text, '\\n') + 1), '') AS summary",
             "if(doc_id % 10 = 0, '', concat('https://www.gov.uk/', element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), int((doc_id div 2) % 5) + 1), '/', doc_id div 2, if(doc_id % 2 = 1, '/', ''))) AS link",
-            f"timestamp_seconds({EPOCH_2024} + (doc_id * 37 % 43200) * 60) AS published_at", "concat('https://feeds.example/', source) AS source_feed", "'news' AS content_type",
+            f"timestamp_seconds({EPOCH_2024} + (doc_id * 7919 % 43200) * 60) AS published_at", "concat('https://feeds.example/', source) AS source_feed", "'news' AS content_type",
         )
 
     @cached_property
     def briefings(self) -> DataFrame:
         return self.read("conversations").selectExpr(
-            "conv_id", "turn", "conv_id * 1000 + turn AS arrival_seq", f"timestamp_seconds({EPOCH_2024} + (conv_id % 700) * 3600) AS published_at",
+            "conv_id", "turn", "conv_id * 1000 + turn AS arrival_seq", f"timestamp_seconds({EPOCH_2024} + (conv_id * 37 % 700) * 3600) AS published_at",
             "case role when 'user' then 'House of Commons Library' when 'assistant' then 'House of Lords Library' else 'Parliamentary Office of Science and Technology' end AS publisher",
             "case role when 'user' then 'House of Commons' when 'assistant' then 'House of Lords' else 'POST' end AS chamber",
             "substring_index(text, '\\n', 1) AS title", "if(contains(text, '\\n'), substr(text, instr(text, '\\n') + 1), '') AS summary",

@@ -14,7 +14,8 @@ def connection():
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).columns == ["topic", "records", "best_score"]
+    rows = entry.entry(spark).collect()
+    assert {r["record_type"] for r in rows} == {"news", "parliament"} and any(r["included"] for r in rows)
 
 
 def test_every_query_has_sql():
