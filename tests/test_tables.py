@@ -247,3 +247,49 @@ def test_stream_ledger_over_batches_and_restarts(spark, tmp_path):
         ("x", "claimed", 6, "claimed", True), ("x", "sent", 9, "sent", True), ("x", "expired", None, "", True),
         ("a", "claimed", 11, "claimed", True), ("x", "claimed", 10, "claimed", True),
     ], key=str)
+
+
+def test_a_delivery_has_one_timer_and_one_call_judges_all_its_events():
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value if isinstance(self.value, tuple) else iter(self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def appendList(self, rows):  # noqa: N802 - Spark's name
+            self.value = (self.value or []) + rows
+
+        put = update
+
+    class Handle:
+        timers, current, waiting = [], State(), State()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.current
+
+        def getListState(self, *_):  # noqa: N802
+            return self.waiting
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 1500
+
+    machine, handle = live.DeliveryMachine(10**9), Handle()
+    machine.init(handle)
+    rows = [{"at": i, "event_seq": i, "kind": 1 + 2 * (i % 2), "run_id": "r", "event": ("claimed", "released")[i % 2]} for i in range(2000)]
+    assert list(machine.handleInputRows(("d",), iter(rows[::-1]), Now())) == [] and handle.timers == [0]
+    out = list(machine.handleExpiredTimer(("d",), Now(), Now()))
+    assert [r["event_seq"] for r in out] == list(range(1501)) and all(r["accepted"] for r in out)
+    assert handle.timers == [0, 1501] and handle.waiting.calls == 1 and len(handle.waiting.value) == 499 and handle.current.value[0] == "claimed"
