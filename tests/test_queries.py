@@ -25,3 +25,11 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, connection, name):
     assert compare.difference(entry.QUERIES[name](spark, FOLDER), connection, entry.SQL[name]) == ""
+
+
+def test_streams_read_tables_of_part_files(spark, tmp_path):
+    for table in ("documents", "events", "orders"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name in ("stream_dedupe", "stream_score", "stream_health_window", "stream_ledger"):
+        whole, parts = (sorted(map(str, entry.QUERIES[name](spark, folder).collect())) for folder in (FOLDER, str(tmp_path)))
+        assert whole == parts and "records=0" not in whole[0]
