@@ -52,10 +52,10 @@ def canonical_health_source(source: Column, known: Column) -> Column:
     return F.when(known.isNotNull(), source).otherwise(F.lit(V.BRIEFINGS_SOURCE_ID))
 
 
-def merge_news(previous: DataFrame, fetched: DataFrame, retried: DataFrame) -> DataFrame:
+def merge_news(previous: DataFrame, fetched: DataFrame, retried: DataFrame, arrival: tuple[str, ...] = ()) -> DataFrame:
     """Keep the previous rows of sources that were not retried, add the new rows, de-duplicate."""
     kept = previous.join(retried, "source_id", "left_anti")
-    return dedupe_news(kept.unionByName(fetched, allowMissingColumns=True))
+    return dedupe_news(kept.unionByName(fetched, allowMissingColumns=True), arrival)
 
 
 def merge_briefings(previous: DataFrame, fetched: DataFrame, briefings_retried: bool) -> DataFrame:

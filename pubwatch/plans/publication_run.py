@@ -61,13 +61,13 @@ def bounds(period: str, now: Column) -> tuple[Column, Column]:
     return both["since"], both["until"]
 
 
-def judged_news(news: DataFrame, sources: DataFrame, profile: Profile, since: Column, until: Column) -> DataFrame:
+def judged_news(news: DataFrame, sources: DataFrame, profile: Profile, since: Column, until: Column, arrival: tuple[str, ...] = ()) -> DataFrame:
     """Records of the period, once each, with source, match columns and ``landing`` (a source's own start page).
 
     The period filter comes first, so it reaches the scan; rows are de-duplicated before they are scored.  The
     de-duplication is the one exchange of whole records: sources are looked up beside them.
     """
-    fetched = dedupe_news(filter_period(news, since, until))
+    fetched = dedupe_news(filter_period(news, since, until), arrival)
     named = resolve_source(fetched, sources, ("homepage",))
     landing = is_agency_homepage(F.col("link"), F.coalesce("homepage", F.lit("")))
     return annotate(named.withColumn("landing", F.coalesce(landing, F.lit(False))).drop("homepage"), profile)
@@ -77,12 +77,14 @@ def removed_pages(judged: DataFrame) -> DataFrame:
     return judged.where("landing").groupBy("source_id").agg(F.count("*").alias("removed"))
 
 
-def publication_run(news: DataFrame, briefings: DataFrame, health: DataFrame, sources: DataFrame, profile: Profile, since: Column, until: Column) -> Run:
+def publication_run(
+    news: DataFrame, briefings: DataFrame, health: DataFrame, sources: DataFrame, profile: Profile, since: Column, until: Column, arrival: tuple[str, ...] = (),
+) -> Run:
     """Period filter, de-duplication, landing-page removal, relevance and health of one run, as lazy tables.
 
     ``sources``: source_ord, source_id, display_name, name_en, homepage.
     """
-    judged = judged_news(news, sources, profile, since, until)
+    judged = judged_news(news, sources, profile, since, until, arrival)
     return Run(
         judged.where(~F.col("landing")).drop("landing"), annotate(dedupe_briefings(filter_period(briefings, since, until)), profile, link=None),
         adjust_health_counts(health, removed_pages(judged)), since, until,
@@ -195,6 +197,10 @@ def _feed_health(family: str, counts: DataFrame, facts: DataFrame, positions: Da
     })
 
 
+#: Landed entries have no arrival number, so equal ones are told apart by what else they say.
+_SETTLED_BY = ("summary", "source_feed", "agency", "agency_en")
+
+
 def landed_run(responses: DataFrame, briefing_responses: DataFrame, sources: DataFrame, rules: DataFrame, request: RunRequest, check_host: bool = False) -> LandedRun:
     """A whole run from landed feed bodies: entries, records, health, relevance; every stage is written once.
 
@@ -210,7 +216,7 @@ def landed_run(responses: DataFrame, briefing_responses: DataFrame, sources: Dat
     known = sources.select("source_id", F.col("display_name").alias("agency"), F.col("name_en").alias("agency_en"), "homepage", "patterns", "official_urls")
     judged_all, _ = _stored(judged_entries(scan_feed(responses), beside(known), since, until, check_host), "run-entries", entries=F.count("*"))
     judged, of_news = _stored(
-        judged_news(judged_all.where("kept").drop("source_id", "kept", "candidate"), sources, request.profile, since, until), "run-news",
+        judged_news(judged_all.where("kept").drop("source_id", "kept", "candidate"), sources, request.profile, since, until, _SETTLED_BY), "run-news",
         fetched=F.count("*"), final=F.count_if(~F.col("landing")), relevant=F.count_if(~F.col("landing") & F.col("included")),
     )
     entries = scan_feed(briefing_responses).withColumn("feed_url", F.col("url"))
@@ -234,13 +240,13 @@ def landed_run(responses: DataFrame, briefing_responses: DataFrame, sources: Dat
     )
 
 
-def selective_rerun(previous: Run, again: Run, sources: DataFrame, profile: Profile, briefings_id: str) -> Run:
+def selective_rerun(previous: Run, again: Run, sources: DataFrame, profile: Profile, briefings_id: str, arrival: tuple[str, ...] = ()) -> Run:
     """Merge the re-collected sources of ``again`` into ``previous``.
 
     Both runs must have been made with the same profile.
     """
     retried = failed_sources(previous.health, sources).select("source_id")
-    news = merge_news(previous.news, again.news, retried)
+    news = merge_news(previous.news, again.news, retried, arrival)
     has_briefings = retried.where(F.col("source_id") == briefings_id).limit(1).count() == 1
     columns = [c for c in news.columns if not c.endswith("matched_keywords") and not c.endswith("_strengths") and c not in (
         "included", "matched_topics", "relevance_score", "relevance_level")]

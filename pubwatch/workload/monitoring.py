@@ -13,7 +13,7 @@ from pubwatch.operators.relevance import KeywordIndex
 from pubwatch.sinks import reports
 from pubwatch.workload import tables as T
 from pubwatch.workload.matching_sql import joined_phrases, joined_topics, matching_ctes
-from pubwatch.workload.records import DEDUPED, HOMEPAGE, KEYED, LEVEL, P, SCORED_CTES, SINCE
+from pubwatch.workload.records import ARRIVAL, DEDUPED, FIRST_ARRIVED, HOMEPAGE, KEYED, LEVEL, P, SCORED_CTES, SINCE
 from pubwatch.workload.registry import query
 from pubwatch.workload.tables import text_ts, with_tables
 
@@ -405,9 +405,9 @@ FILTERED_REPORT = f"""SELECT row_number() OVER (ORDER BY {REPORT_ORDER}) AS numb
   {joined_phrases(P, 'kt{i} OR ks{i}', strength='core')} AS core, {joined_phrases(P, 'kt{i} OR ks{i}', strength='general')} AS general, {joined_phrases(P, 'kt{i} OR ks{i}', strength='supporting')} AS supporting FROM assessed WHERE score >= 12 AND NOT {HOMEPAGE})"""
 
 
-@query("report_filtered_news", with_tables(T.NEWS, KEYED, DEDUPED) + ", " + matching_ctes(P, "deduped", "doc_id") + FILTERED_REPORT)
+@query("report_filtered_news", with_tables(T.NEWS, KEYED, FIRST_ARRIVED) + ", " + matching_ctes(P, "deduped", "doc_id") + FILTERED_REPORT)
 def _(t):
-    rows = relevance.filter_relevant(t.spread(dedupe.dedupe_news(t.news)), P)
+    rows = relevance.filter_relevant(t.spread(dedupe.dedupe_news(t.news, ARRIVAL)), P)
     return reports.news_report(rows, matches=True).select("number", F.col("title").alias("doc_id_text"), "topics", "keywords", "level", "score", "core", "general", "supporting")
 
 

@@ -27,6 +27,16 @@ def test_dedupe_cases(spark):
     assert dedupe.dedupe_news(news(spark, ("A", "One – two", ""), ("B", "one -  TWO", ""))).count() == 1
 
 
+def test_equal_records_keep_arrival_order(spark):
+    rows = news(spark, *[("A", "same title", "")] * 40).select("*", F.monotonically_increasing_id().alias("n")).withColumn("arrival", F.expr("cast(row_number() over (order by n) AS int)")).drop("n")
+    for seed in range(3):
+        mixed = rows.orderBy(F.rand(seed)).repartition(1 + 3 * seed)
+        assert [r["arrival"] for r in dedupe.dedupe_news(mixed, ("arrival",)).collect()] == [1]
+        named = mixed.withColumn("source_id", F.lit("s"))
+        both = merge.merge_news(named.where("arrival > 20"), named.where("arrival between 7 and 20"), spark.createDataFrame([("x",)], "source_id string"), ("arrival",))
+        assert [r["arrival"] for r in both.collect()] == [7]
+
+
 def test_dedupe_limits_a_hot_key_before_the_exchange(spark):
     rows = spark.range(3000).select(F.lit("A").alias("agency"), F.lit("u").alias("unit_category"), F.col("id").cast("string").alias("title"),
                                     F.when(F.col("id") % 3 == 0, F.lit("https://hot/")).otherwise(F.concat(F.lit("https://x/"), "id")).alias("link"), F.timestamp_seconds("id").alias("published_at"))
