@@ -33,3 +33,14 @@ def test_streams_read_tables_of_part_files(spark, tmp_path):
     for name in ("stream_dedupe", "stream_score", "stream_health_window", "stream_ledger"):
         whole, parts = (sorted(map(str, entry.QUERIES[name](spark, folder).collect())) for folder in (FOLDER, str(tmp_path)))
         assert whole == parts and "records=0" not in whole[0]
+
+
+def test_sort_results_scores_its_texts_once(spark, monkeypatch):
+    from pubwatch.operators import ranking
+
+    seen = []
+    monkeypatch.setattr(ranking, "number_rows", lambda df, order, name: seen.append(df) or df)
+    entry.QUERIES["sort_results"](spark, FOLDER)
+    # What is range-sorted holds only what was written, no text and no scoring.
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [doc_id#" in plan and "text" not in plan and "Generate" not in plan
