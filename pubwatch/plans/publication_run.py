@@ -178,11 +178,12 @@ def _stored(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dic
     return written, {name: int(value or 0) for name, value in seen.get.items()}
 
 
-def _body_facts(responses: DataFrame, source: Column) -> DataFrame:
-    facts = responses.groupBy(source.alias("source")).agg(
-        F.count_if(is_unreadable(F.col("body"))).alias("unreadable"), F.count("*").alias("bodies"), F.sum("duration_seconds").alias("duration_seconds")
+def _body_facts(bodies: DataFrame, source: Column) -> DataFrame:
+    """One row per source, written, since health asks twice; ``bodies``: a row per body with unreadable and duration_seconds."""
+    facts = bodies.groupBy(source.alias("source")).agg(
+        F.count_if("unreadable").alias("unreadable"), F.count("*").alias("bodies"), F.sum("duration_seconds").alias("duration_seconds")
     )
-    return facts.withColumn("success", F.col("unreadable") < F.col("bodies"))
+    return materialize(facts.withColumn("success", F.col("unreadable") < F.col("bodies")), "run-bodies")
 
 
 def _feed_health(family: str, counts: DataFrame, facts: DataFrame, positions: DataFrame, rules: DataFrame, since: Column, now: Column) -> DataFrame:
@@ -214,9 +215,10 @@ def landed_run(responses: DataFrame, briefing_responses: DataFrame, sources: Dat
     since, until, now = request.since, request.until, F.lit(request.generated_at).cast("timestamp")
     beside = as_lookup(sources)
     known = sources.select("source_id", F.col("display_name").alias("agency"), F.col("name_en").alias("agency_en"), "homepage", "patterns", "official_urls")
-    judged_all, _ = _stored(judged_entries(scan_feed(responses), beside(known), since, until, check_host), "run-entries", entries=F.count("*"))
+    of_body = ("position", "unreadable", "duration_seconds")
+    judged_all, _ = _stored(judged_entries(scan_feed(responses, every_body=True), beside(known), since, until, check_host, of_body), "run-entries", entries=F.count("position"))
     judged, of_news = _stored(
-        judged_news(judged_all.where("kept").drop("source_id", "kept", "candidate"), sources, request.profile, since, until, _SETTLED_BY), "run-news",
+        judged_news(judged_all.where("kept").drop("source_id", "kept", "candidate", *of_body), sources, request.profile, since, until, _SETTLED_BY), "run-news",
         fetched=F.count("*"), final=F.count_if(~F.col("landing")), relevant=F.count_if(~F.col("landing") & F.col("included")),
     )
     entries = scan_feed(briefing_responses).withColumn("feed_url", F.col("url"))
@@ -226,10 +228,11 @@ def landed_run(responses: DataFrame, briefing_responses: DataFrame, sources: Dat
         fetched=F.count("*"), final=F.count("*"), relevant=F.count_if("included"),
     )
     positions = sources.select(F.col("source_id").alias("source"), F.struct("source_ord", F.lit("").alias("name")).alias("position"))
-    counts = source_counts(judged_all.select(F.col("source_id").alias("source"), "kept", "candidate", "published_at"), positions)
-    of_agencies = _feed_health("agency", counts, _body_facts(responses, F.col("source_id")), positions, rules, since, now)
+    entered, bodies = judged_all.where("position is not null"), judged_all.where("coalesce(position, 0) = 0")
+    counts = source_counts(entered.select(F.col("source_id").alias("source"), "kept", "candidate", "published_at"), positions)
+    of_agencies = _feed_health("agency", counts, _body_facts(bodies, F.col("source_id")), positions, rules, since, now)
     feed = F.concat(F.col("publisher"), F.lit(" RSS"))
-    facts = _body_facts(briefing_responses, feed)
+    facts = _body_facts(briefing_responses.withColumn("unreadable", is_unreadable(F.col("body"))), feed)
     after = facts.select("source", F.struct(F.lit(2**31 - 1).alias("source_ord"), F.col("source").alias("name")).alias("position"))
     counts = source_counts(found.select(feed.alias("source"), F.lit(True).alias("kept"), F.lit(True).alias("candidate"), "published_at"), after)
     of_publishers = _feed_health("parliament", counts, facts, after, rules, since, now)

@@ -23,20 +23,23 @@ ENTRY_SCHEMA = (
 )
 
 
-def split_entries(responses: DataFrame) -> DataFrame:
+def split_entries(responses: DataFrame, every_body: bool = False) -> DataFrame:
     """One row per item or entry of a landed feed: raw XML and its position.
 
     Entries are cut out before they are parsed, so a broken one - or a broken document around
-    them - does not lose the others.
+    them - does not lose the others.  With ``every_body`` a body without entries has one row without a position, and
+    ``unreadable`` tells of every row's body whether it is no feed at all.
     """
-    return responses.select(
-        *[c for c in responses.columns if c != "body"],
-        F.posexplode(F.regexp_extract_all("body", F.lit(ENTRY_PATTERN), F.lit(0))).alias("position", "xml"),
-    )
+    kept, found = [c for c in responses.columns if c != "body"], F.regexp_extract_all("body", F.lit(ENTRY_PATTERN), F.lit(0))
+    if every_body:
+        rows = responses.select(*kept, "body", F.posexplode_outer(found).alias("position", "xml"))
+        unreadable = F.when(F.col("position").isNull(), is_unreadable(F.col("body"))).otherwise(F.lit(False))
+        return rows.select(*kept, unreadable.alias("unreadable"), "position", "xml")
+    return responses.select(*kept, F.posexplode(found).alias("position", "xml"))
 
 
-def scan_feed(responses: DataFrame) -> DataFrame:
-    """Entries of landed feeds: title, link, id, published_at, texts, tags, publisher_url."""
+def scan_feed(responses: DataFrame, every_body: bool = False) -> DataFrame:
+    """Entries of landed feeds: title, link, id, published_at, texts, tags, publisher_url; ``every_body`` as in ``split_entries``."""
     parsed = F.from_xml(F.regexp_replace("xml", r"(</?)[A-Za-z]+:", "$1"), ENTRY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
     e = F.col("e")
     link = F.coalesce(
@@ -44,8 +47,8 @@ def scan_feed(responses: DataFrame) -> DataFrame:
         F.get(F.filter(e["link"], lambda x: F.coalesce(x["_VALUE"], F.lit("")) != ""), 0)["_VALUE"],
     )
     bodies = F.concat(F.coalesce(e["encoded"], F.array().cast("array<string>")), F.coalesce(e["content"], F.array().cast("array<string>")))
-    return split_entries(responses).withColumn("e", parsed).select(
-        *[c for c in responses.columns if c != "body"], "position",
+    return split_entries(responses, every_body).withColumn("e", parsed).select(
+        *[c for c in responses.columns if c != "body"], *(["unreadable"] if every_body else []), "position",
         F.coalesce(e["title"], F.lit("")).alias("title"), F.trim(F.coalesce(link, F.lit(""))).alias("link"),
         F.coalesce(e["guid"], e["id"], F.lit("")).alias("entry_id"),
         parse_feed_date(e["pubDate"], e["published"], e["updated"], e["date"], e["created"]).alias("published_at"),
@@ -59,8 +62,7 @@ def scan_feed(responses: DataFrame) -> DataFrame:
 def is_unreadable(body: Column) -> Column:
     """No feed at all: not one entry, and no readable feed around it.  A null body is unreadable."""
     root = body.rlike(r"(?s)<(?:rss|feed|rdf:RDF)\b.*</(?:rss|feed|rdf:RDF)>\s*$")
-    entries = F.size(F.regexp_extract_all(body, F.lit(ENTRY_PATTERN), F.lit(0)))
-    return F.coalesce((entries == 0) & ~root, F.lit(True))
+    return F.when(body.rlike(ENTRY_PATTERN), F.lit(False)).otherwise(F.coalesce(~root, F.lit(True)))
 
 
 def feed_errors(responses: DataFrame) -> DataFrame:
@@ -70,10 +72,13 @@ def feed_errors(responses: DataFrame) -> DataFrame:
 RECORD_COLUMNS = ("agency", "agency_en", "unit_category", "title", "link", "published_at", "summary", "source_feed", "content_type")
 
 
-def judged_entries(entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False) -> DataFrame:
+def judged_entries(
+    entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False, carried: tuple[str, ...] = (),
+) -> DataFrame:
     """Every entry of a known source as a record, with ``kept`` (dated, allowed, titled) and ``candidate``.
 
     ``sources``: source_id, agency, agency_en, homepage, patterns, official_urls.  Entries that are not kept have no summary.
+    ``carried`` names columns of the entries that go along.
     """
     allowed = link_allowed(F.col("link"), F.col("patterns"), F.col("homepage"))
     if check_host:
@@ -87,7 +92,7 @@ def judged_entries(entries: DataFrame, sources: DataFrame, since: Column, until:
     })
     return flagged.withColumns({
         "unit_category": F.col("source_id"), "source_feed": F.col("url"), "content_type": kind, "summary": F.when(F.col("kept"), summary),
-    }).select("source_id", "kept", "candidate", *RECORD_COLUMNS)
+    }).select("source_id", "kept", "candidate", *carried, *RECORD_COLUMNS)
 
 
 def feed_records(entries: DataFrame, sources: DataFrame, since: Column, until: Column | None, check_host: bool = False) -> DataFrame:

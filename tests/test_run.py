@@ -121,3 +121,20 @@ def test_the_profile_hash_equals_the_scan_s(spark):
         [(PROFILE.version, PROFILE.profile_id, PROFILE.name, PROFILE.description, PROFILE.minimum_score, list(PROFILE.selected_sources), topics)],
         "version int, profile_id string, name string, description string, minimum_score int, selected_sources array<string>, topics array<struct<name:string,keywords:array<struct<phrase:string,strength:string>>>>")
     assert row.select(profile_hash()).first()[0] == PROFILE.content_hash
+
+
+def test_bodies_of_agencies_are_read_once(spark, monkeypatch):
+    from pubwatch.plans import publication_run as plan
+    from pubwatch.sources import feeds
+
+    bodies = ["<rss><channel><item><title>a</title></item><item><title>b</title></item></channel></rss>", "<rss><channel></channel></rss>", "<html></html>", None, "<item>x</item>"]
+    rows = feeds.split_entries(spark.createDataFrame(enumerate(bodies), "id int, body string"), every_body=True).collect()
+    assert sorted((r["id"], r["position"] is None, r["unreadable"]) for r in rows) == [
+        (0, False, False), (0, False, False), (1, True, False), (2, True, True), (3, True, True), (4, False, False)]
+    asked = []
+    facts = plan._body_facts
+    monkeypatch.setattr(plan, "_body_facts", lambda df, source: asked.append(df.columns) or facts(df, source))
+    from pubwatch.workload import tables, weekly
+
+    weekly.weekly(tables.Tables(spark, "/root/testdata/sf0.001")).counts().collect()
+    assert "body" not in asked[0] and {"unreadable", "duration_seconds"} <= set(asked[0])
