@@ -4,11 +4,13 @@ Rows with equal shingle sets are one node.  Similar nodes are put into groups: n
 hashes are compared to one leader, those that reach the threshold form its star, and the others meet another leader in the next
 round, hence components without any pair list.  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a component the union of
 their shingles.  A node of another component that shares a prefix shingle with the group is a query: its overlap
-with the union bounds its overlap with every member, and only groups whose bound reaches the threshold are opened.
+with the union bounds its overlap with every member, and only groups whose bound reaches what the smallest member
+needs are opened.
 
 No link is lost: under one global order of the shingles, sets with Jaccard of at least t share one of each set's
 first n - ceil(t n) + 1 shingles.  The order puts shingles with frequent sketch cells last, so that passages which
-many documents share are not what candidates are found by.
+many documents share are not what candidates are found by.  At a shingle that two prefixes share, whatever comes before
+it and is in no other prefix is in one set only: this and what is left behind it bound the overlap.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ GROUP = 32
 ROUNDS = 3
 #: Bounds of the sketch's cells; fuller cells only worsen the order of shingles.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
+#: Classes of frequency in a doubling, and the first class of cells that hold twice the mean: shingles below it are rare.
+STEPS, FREQUENT = 4, 17
 SALT = textual.mix(np.arange(1, 2, dtype=np.uint64))[0]
 #: Minimum hashes of a band; of J to this power of the pairs with Jaccard J a band is equal.
 BAND = 3
@@ -80,7 +84,7 @@ def shared_prefix(n, percent: int):
 
 
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """For every sketch cell how much more often than the mean its shingles occur, as a binary logarithm."""
+    """For every sketch cell how often its shingles occur, as a logarithm: ``STEPS`` classes a doubling, ``FREQUENT`` at twice the mean."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cells = bits.bits_for(size / 64, LEAST_CELLS, MOST_CELLS, 1)
     shift = np.uint64(64 - cells.bit_length() + 1)
@@ -95,9 +99,10 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     total = bits.gather_counts(docs.select(text).mapInArrow(run, bits.SCHEMA), cells)
     kinds, least = np.zeros(cells, dtype=np.uint8), 2 * max(1.0, float(total.mean()))
-    while (above := total >= least).any():
+    step = 1 - FREQUENT
+    while (above := total >= least * 2 ** (step / STEPS)).any():
         kinds += above
-        least *= 2
+        step += 1
     return kinds
 
 
@@ -123,7 +128,7 @@ def features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     sizes.append(size)
                     kind = table[(s >> shift).astype(np.int64)]
                     prefixes.append(s[np.argsort(kind, kind="stable")[: size - least_overlap(size, percent) + shared_prefix(size, percent) if size else 0]])
-                    rare = s[kind == 0]
+                    rare = s[kind < FREQUENT]
                     rare = rare if len(rare) else s
                     mins.append(np.concatenate([minimum_bands(s, ANY), minimum_bands(rare, RARE)]) if size else s)
                 lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32), np.concatenate(part).view(np.int64)) for part in (mins, prefixes)]
@@ -236,6 +241,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(similar("_a", "_b", percent)).select("a", "b")
 
 
+def placed(twice: np.ndarray, ends: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, shingles before it that other prefixes may hold, shingles of the set from it on) of the entries that a link can use.
+
+    ``twice`` marks the shingles of the rows' prefixes that other prefixes may hold, ``ends`` bounds the rows.  At an entry
+    that a linked set shares, all shingles before it that both sets hold are in both prefixes, so those that are in no
+    other prefix are lost to the overlap; an entry behind too many of them is of no use.
+    """
+    row, place = np.repeat(np.arange(len(n)), np.diff(ends)), np.arange(len(twice)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+    total = np.append(0, np.cumsum(twice))
+    before = total[:-1] - total[ends[:-1] - ends[0]][row]
+    keep = np.flatnonzero(twice & ((place - before) * 100 <= n[row] * (100 - percent)))
+    return keep, before[keep], (n[row] - place)[keep]
+
+
 def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b``: components that a link between two of their nodes joins, found by the token-group matrix."""
     frequent = bits.bits_for(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0, 1 << 16, 1 << 29, 4)
@@ -248,22 +267,22 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
             lists = batch.column(2)
             tokens, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            keep = np.flatnonzero(bits.contains(shared.value, textual.mix(tokens.view(np.uint64))))
+            keep, before, rest = placed(bits.contains(shared.value, textual.mix(tokens.view(np.uint64))), ends, np.asarray(batch.column(1)).astype(np.int64), percent)
             at = pa.array(row[keep])
-            yield pa.record_batch([pa.array(tokens[keep]), batch.column(0).take(at), batch.column(1).take(at)], ["token", "node", "n"])
+            yield pa.record_batch([pa.array(tokens[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(before, pa.int32()), pa.array(rest, pa.int32())], ["token", "node", "n", "before", "rest"])
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP))
     grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp"), (F.col("members") > GROUP).alias("parted")), "groups")
-    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int").join(grouped.drop("parted"), "node", "left")
+    posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int, before int, rest int").join(grouped.drop("parted"), "node", "left")
     # Dealt by token once: distinct rows and the tokens of several components need no further exchange.
     by_token = Window.partitionBy("token")
-    distinct = posted.repartition(F.col("token")).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "comp", "grp")))
+    distinct = posted.repartition(F.col("token")).groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "before", "rest", "comp", "grp")))
     comp = F.coalesce("comp", "node")
     mixed = distinct.withColumn("c", F.min(comp).over(by_token)).withColumn("d", F.max(comp).over(by_token)).where("c <> d").drop("c", "d")
     # Nodes of no component are groups of their own and are stored without the two names.
-    posted = materialize(mixed, "postings").select("token", "node", "n", comp.alias("comp"), F.coalesce("grp", _only_group("node")).alias("grp"))
-    query = posted.select("token", "node", "n", F.col("comp").alias("a"))
+    posted = materialize(mixed, "postings").select("token", "node", "n", "before", "rest", comp.alias("comp"), F.coalesce("grp", _only_group("node")).alias("grp"))
+    query = posted.select("token", "node", "n", "before", "rest", F.col("comp").alias("a"))
     # The matrix' columns: for a token the components with it, then, for the queries that meet one of several groups, its groups.
     whole = _candidates(query, _cells(posted, "comp"), ["token"], ["node", "n", "a", "b"], percent)
     whole = materialize(whole, "component-candidates")
@@ -280,31 +299,38 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     matrix = members.join(sets, "node").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"), F.collect_list("shingles").alias("sets"))
     matrix = materialize(matrix, "token-groups")
     wide = candidates.join(sets, "node").join(matrix, "grp")
-    bound = 100 * F.size(F.array_intersect("shingles", "union")) >= percent * F.size("shingles")
-    opened = wide.where(bound).select("a", "b", "shingles", F.explode("sets").alias("other"))
+    opened = wide.where(reachable("shingles", "union", "sets", percent)).select("a", "b", "shingles", F.explode("sets").alias("other"))
     links = materialize(opened.where(similar("shingles", "other", percent)).select("a", "b").distinct(), "component-links")
     release(posted, grouped, candidates, members, sets, matrix)
     return links
 
 
+def reachable(query: str, union: str, sets: str, percent: int):
+    """Whether the overlap with a group's union reaches what a link with its smallest set needs, or with the smallest that fits the query."""
+    n, least = F.size(query), F.array_min(F.transform(sets, F.size))
+    return (100 + percent) * F.size(F.array_intersect(query, union)).cast("long") >= percent * (n + F.greatest(least, F.ceil(n * percent / 100)))
+
+
 def _only_group(comp: str):
     """The group of a component that needs no second one."""
     return F.xxhash64(comp, F.lit(0).cast("long"))
 
 
 def _cells(posted: DataFrame, *by: str) -> DataFrame:
-    """For a token the groups whose prefixes hold it, and the range of their sizes."""
-    cells = posted.groupBy("token", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    """For a token the groups whose prefixes hold it, the range of their sizes and the most there is before and from it on."""
+    cells = posted.groupBy("token", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("before").alias("most_before"), F.max("rest").alias("most_rest"))
     return cells.withColumnRenamed("comp", "b")
 
 
 def _candidates(query: DataFrame, cells: DataFrame, on: list[str], by: list[str], percent: int) -> DataFrame:
     """Queries and groups that share as many prefix shingles as linked sets must, the smaller of which has at least
-    ``percent`` % of the query's size and the group's least one."""
+    ``percent`` % of the query's size and the group's least one; a shared shingle counts if the overlap can be enough there."""
     sizes = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
     smaller = F.least("n", F.greatest("low", F.ceil(F.col("n") * percent / 100)))
+    overlap = (F.least("before", "most_before") + F.least("rest", "most_rest")).cast("long")
+    enough = (100 + percent) * overlap >= percent * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * percent / 100)))
     return (
-        query.join(cells, on).where((F.col("a") > F.col("b")) & sizes)
+        query.join(cells, on).where((F.col("a") > F.col("b")) & sizes & enough)
         .groupBy(*by).agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
         .where(F.col("shared") >= F.floor(smaller * (100 - percent) / 100) + 1).drop("shared", "low")
     )
