@@ -33,6 +33,8 @@ GROUP = 32
 ROUNDS = 3
 #: Bounds of the sketch's cells; fuller cells only worsen the order of shingles.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
+#: A prefix is longer than what a link can lose by this part of it; more shingles tell more, and meet more often.
+SPARE = 4
 #: Classes of frequency in a doubling, and the first class of cells that hold twice the mean: shingles below it are rare.
 STEPS, FREQUENT = 4, 17
 SALT = textual.mix(np.arange(1, 2, dtype=np.uint64))[0]
@@ -79,8 +81,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def shared_prefix(n, percent: int):
-    """How many shingles of their prefixes two linked sets share at least, for the smaller size n."""
-    return (100 - percent) * n // 100 + 1
+    """How many shingles of their prefixes two linked sets share at least, for the smaller size n; more for like sizes, see ``_shared_enough``."""
+    return (n - least_overlap(n, percent)) // SPARE + 1
 
 
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
@@ -322,17 +324,32 @@ def _cells(posted: DataFrame, *by: str) -> DataFrame:
     return cells.withColumnRenamed("comp", "b")
 
 
+def _shared_enough(percent: int):
+    """Whether a query of ``n`` shingles shares as many of its prefix with a group as with a linked set of ``low`` to ``high``.
+
+    Of a set's n shingles n - overlap are in one set only, so of a prefix at least its length less those are shared,
+    counted from the shorter remainder: the query's is shortest for the least partner, the partner's for the largest.
+    """
+    t = percent / 100
+    least = F.ceil(F.col("n") * percent / 100)
+    low, high = F.greatest("low", least), F.least("high", F.floor(F.col("n") * 100 / percent))
+    spare = F.floor((F.col("n") - least) / SPARE) + 1
+    by_query = (F.col("shared") + least - spare) * (100 + percent) >= percent * (F.col("n") + low)
+    # Without rounding, and with a little room for the arithmetic.
+    by_partner = F.col("shared") + 1.001 > t * (F.col("n") + high) / (1 + t) - t * high + (1 - t) * high / SPARE
+    return by_query | by_partner
+
+
 def _candidates(query: DataFrame, cells: DataFrame, on: list[str], by: list[str], percent: int) -> DataFrame:
     """Queries and groups that share as many prefix shingles as linked sets must, the smaller of which has at least
     ``percent`` % of the query's size and the group's least one; a shared shingle counts if the overlap can be enough there."""
     sizes = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-    smaller = F.least("n", F.greatest("low", F.ceil(F.col("n") * percent / 100)))
     overlap = (F.least("before", "most_before") + F.least("rest", "most_rest")).cast("long")
     enough = (100 + percent) * overlap >= percent * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * percent / 100)))
     return (
         query.join(cells, on).where((F.col("a") > F.col("b")) & sizes & enough)
-        .groupBy(*by).agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
-        .where(F.col("shared") >= F.floor(smaller * (100 - percent) / 100) + 1).drop("shared", "low")
+        .groupBy(*by).agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where(_shared_enough(percent)).drop("shared", "low", "high")
     )
 
 

@@ -60,3 +60,19 @@ def test_components_near_the_threshold(spark, monkeypatch, rounds, percent):
     got = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), n=3, percent=percent)
     want = brute(texts, 3, percent)
     assert {r.doc_id: r.component_id for r in got.collect()} == want and 20 < len(set(want.values())) < 230
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_linked_sets_share_enough_of_their_prefixes(spark, percent):
+    """The least that linked sets of two sizes can share passes; like sizes need more than the length of the spare part."""
+    length = lambda n: n - jaccard.least_overlap(n, percent) + jaccard.shared_prefix(n, percent)
+    rows = []
+    for n in range(1, 160):
+        for m in range(1, 160):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both <= min(n, m):
+                rows.append((n, m, m, min(length(n) - n + both, length(m) - m + both)))
+    df = spark.createDataFrame(rows, "n int, low int, high int, shared int")
+    assert all(r.shared >= 1 for r in df.collect()) and df.where(~jaccard._shared_enough(percent)).isEmpty()
+    if percent == 85:
+        assert df.where("n = 147 and low = 147").select(F.col("n"), F.col("low"), F.col("high"), (F.col("shared") - 3).alias("shared")).where(jaccard._shared_enough(percent)).isEmpty()
