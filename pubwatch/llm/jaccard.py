@@ -2,8 +2,11 @@
 
 Rows with equal shingle sets are one node.  Similar nodes are put into groups: nodes that share a band of minimum
 hashes are compared to one leader, those that reach the threshold form its star, and the others meet another leader in the next
-round, hence components without any pair list.  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a component the union of
-their shingles.  A node of another component that shares a prefix shingle with the group is a query: its overlap
+round, hence components without any pair list.
+
+Near copies that no star takes in form a family around the leader they resemble most, and are told by how they differ from
+it (``family_links``).  The token-group matrix then holds for every group of at most ``GROUP`` nodes of a family (or of a
+component without one) the union of their shingles.  A node of another family that shares a prefix shingle with the group is a query: its overlap
 with the union bounds its overlap with every member, and only groups whose bound reaches what the smallest member
 needs are opened.
 
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from pubwatch.functions.base import computed
 from pubwatch.llm import bits, textual
 from pubwatch.llm.storage import release
 from pubwatch.session import materialize
@@ -40,6 +44,10 @@ STEPS, FREQUENT = 4, 17
 SALT = textual.mix(np.arange(1, 2, dtype=np.uint64))[0]
 #: Minimum hashes of a band; of J to this power of the pairs with Jaccard J a band is equal.
 BAND = 3
+#: A node belongs to the family of a leader whose set it resembles by so many percent, and a family of more nodes is dealt in parts.
+NEAR, DEALT = 50, 512
+#: Times a family's leader takes the place of a leader that belongs to a family itself; every time doubles the steps made.
+JUMPS = 2
 #: Bands over all shingles, which copies of one text share, and over the rare ones, which passages don't fill.
 ANY, RARE = 5, 2
 
@@ -203,26 +211,27 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return famed
 
 
-def star_components(docs: DataFrame, text: str, nodes: DataFrame, n: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def star_components(docs: DataFrame, text: str, nodes: DataFrame, n: int, percent: int, rounds: int = ROUNDS, aside: dict | None = None) -> DataFrame:
     """``node, comp``: components of the links between nodes and the leader of those that share a band of minimum hashes.
 
     The leader is the node whose bands are shared most, so the text that copies derive from rather than a
     copy; ties go to the smaller node.  What a leader's component does not reach is led by another node in the next
-    round.  Links that the rounds leave are found by the matrix.
+    round.  Links that the rounds leave are found by the matrix.  ``aside`` receives what the families are made of:
+    the ``sets`` of all nodes that share a band, and ``met`` (``a, b, both, total, linked``), the leaders they resemble.
     """
     left = meetings(nodes).withColumn("comp", F.col("node"))
     sets = sets_of(docs, text, nodes, left.select("node"), n)
-    links = comps = None
+    met = comps = None
     for _ in range(rounds):
         first = left.groupBy("k", "least").agg(F.max(F.struct("fame", -F.col("node"), "node", "n", "comp")).alias("b"))
         first = materialize(first.select("k", "least", F.col("b.node").alias("b"), F.col("b.n").alias("bn"), F.col("b.comp").alias("bc")), "leaders")
         led = left.join(first, ["k", "least"]).where(F.col("comp") != F.col("bc"))
         pairs = materialize(led.where(fitting("n", "bn", percent)).select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
-        found = materialize(verified(pairs, sets, percent), "star-links")
-        links = found if links is None else links.unionAll(found)
+        found = materialize(resembling(pairs, sets, min(NEAR, percent)).withColumn("linked", enough("both", "total", percent)), "star-links")
+        met = found if met is None else met.unionAll(found)
         if comps is not None:
             release(comps)
-        comps = connected(links)
+        comps = connected(met.where("linked"))
         ends = comps.select(F.col("node").alias("b"), F.col("comp").alias("bd"))
         rest = led.drop("comp").join(comps, "node", "left").join(ends, "b", "left").withColumn("comp", F.coalesce("comp", "node"))
         rest = materialize(rest.where(F.col("comp") != F.coalesce("bd", "b")).select("k", "least", "node", "n", "fame", "comp"), "unled-hashes")
@@ -230,17 +239,175 @@ def star_components(docs: DataFrame, text: str, nodes: DataFrame, n: int, percen
         left = rest
         if left.isEmpty():
             break
-    release(left, links, sets)
+    release(left)
+    if aside is None:
+        release(met, sets)
+    else:
+        aside.update(met=met, sets=sets)
     return comps
 
 
+def families(met: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, comp`` of the components and of the lone nodes that resemble a leader, under the name of the leader's
+    component or of the leader; and ``comp, pivot``, for every family the leader that most of its nodes resemble.
+
+    Any division of the nodes will do: links within a family are found by ``family_links``, others by the matrix.
+    """
+    lone = met.where(~F.col("linked")).join(comps.select(F.col("node").alias("a")), "a", "left_anti")
+    lone = lone.join(comps.select(F.col("node").alias("b"), "comp"), "b", "left")
+    best = F.max(F.struct(F.col("comp").isNotNull(), F.col("both") / F.col("total"), "b", "comp")).alias("best")
+    led = materialize(lone.groupBy(F.col("a").alias("node")).agg(best).select("node", F.col("best.b").alias("b"), F.coalesce("best.comp", "best.b").alias("comp")), "led-nodes")
+    # A leader shares its bands more often than those it leads, so there are no circles.
+    for _ in range(JUMPS):
+        further = led.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        moved = materialize(led.join(further, "comp", "left").select("node", "b", F.coalesce("further", "comp").alias("comp")), "led-nodes")
+        release(led)
+        led = moved
+    pivots = led.groupBy("comp", "b").agg(F.count(F.lit(1)).alias("led")).groupBy("comp").agg(F.max(F.struct("led", "b")).alias("most"))
+    pivots = materialize(pivots.select("comp", F.col("most.b").alias("pivot")), "pivots")
+    named = pivots.select(F.col("comp").alias("node"), "comp").join(comps, "node", "left_anti").join(led, "node", "left_anti")
+    members = materialize(comps.select("node", "comp").unionAll(led.select("node", "comp")).unionAll(named), "families")
+    release(led)
+    return members, pivots
+
+
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, comp, pivot, n, base, added, delta`` of ``node, comp, pivot, shingles, base``: the set's differences from the
+    pivot's set, first the ``added`` shingles, then those it lacks; each is hashed with the pivot."""
+    for batch in batches:
+        salts = textual.mix(np.asarray(batch.column(2)).view(np.uint64) ^ SALT)
+        (sets, ends), (bases, starts) = ((np.asarray(batch.column(k).flatten()).view(np.uint64), np.asarray(batch.column(k).offsets)) for k in (3, 4))
+        ends, starts = ends - ends[0], starts - starts[0]
+        deltas, added = [np.zeros(0, dtype=np.uint64)], []
+        for k in range(batch.num_rows):
+            own, base = sets[ends[k] : ends[k + 1]], bases[starts[k] : starts[k + 1]]
+            more = np.setdiff1d(own, base, assume_unique=True)
+            added.append(len(more))
+            deltas.append(textual.mix(np.concatenate([more, ~np.setdiff1d(base, own, assume_unique=True)]) ^ salts[k]))
+        lists = pa.ListArray.from_arrays(np.cumsum([len(x) for x in deltas]).astype(np.int32), np.concatenate(deltas).view(np.int64))
+        sizes = (pa.array(x, pa.int32()) for x in (np.diff(ends), np.diff(starts), added))
+        yield pa.record_batch([*(batch.column(k) for k in range(3)), *sizes, lists], ["node", "comp", "pivot", "n", "base", "added", "delta"])
+
+
+def difference_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A filter of the differences that several nodes have, and for sketch cells how often theirs occur, ``STEPS`` classes a doubling."""
+    total = rows.agg(F.sum(F.size("delta"))).first()[0] or 0
+    size, cells = bits.bits_for(total, 1 << 16, 1 << 29, 4), bits.bits_for(total, LEAST_CELLS, MOST_CELLS, 1)
+    shift = np.uint64(64 - cells.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(cells, dtype=np.uint32)
+        for batch in batches:
+            np.add.at(seen, (np.asarray(batch.column(0).flatten()).view(np.uint64) >> shift).astype(np.int64), np.uint32(1))
+        yield from bits.blocks(seen)
+
+    tokens_of = lambda b: iter([np.asarray(b.column(0).flatten()).view(np.uint64)])
+    deltas = rows.select("delta")
+    twice = bits.gather_filter(deltas.mapInArrow(bits.filters(tokens_of, size), bits.SCHEMA), size, twice=True)
+    counts = bits.gather_counts(deltas.mapInArrow(count, bits.SCHEMA), cells)
+    return twice, (STEPS * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+def met_at(twice: np.ndarray, kinds: np.ndarray, added: int, n: int, base: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(the differences that a link can use, rare ones first; how many added and lacking ones there are from each of them on;
+    how many of them a link with any partner meets at, and with a partner in the pivot's star) of a node.
+
+    ``twice`` marks those that other nodes of the family may share; see ``family_links`` for the least that a link shares.
+    """
+    d, up, down = len(twice), 100 + percent, 100 - percent
+    used = np.flatnonzero(twice)
+    used = used[np.argsort(kinds[used], kind="stable")]
+    more = np.cumsum((used < added)[::-1])[::-1]
+    every = max(0, len(used) - (up * d + down * (base - n)) // (2 * up))
+    over = up * d - down * (n + base)
+    return used, more, len(used) - np.arange(len(used)) - more, every, max(every, len(used) + over // -200 + 1) if over > 0 else every
+
+
+def family_links(members: DataFrame, pivots: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components that a link between two nodes of one family joins.
+
+    Sets x, y of n and m shingles link if they differ in at most c (n + m) of them, c = (100 - percent) / (100 + percent).  With
+    the differences D, E from a pivot of p shingles they differ in |D| + |E| - 2 |D and E|.  If x does not link with the pivot,
+    e = |D| - c (n + p) > 0, so a link shares more than (|E| + c (p - m)) / 2 of E, and at least e / (1 + c) of D, since
+    m <= p + |E|: near copies meet where they have an edit in common, not where they have their text in common.  Only
+    differences that several nodes have count.  Under one order of a family's differences, rare ones first, a link shares one of
+    the first of each: ``short`` marks those that do for every partner, a node ``outside`` the pivot's star has more of them.
+    """
+    sizes = members.join(pivots, "comp").groupBy("comp", "pivot").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("parts"))
+    base = sizes.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("base")), "pivot")
+    base = base.select("pivot", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = members.join(sizes, "comp").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    rows = rows.join(comps, "node", "left").join(sets, "node").join(base, ["pivot", "part"])
+    rows = rows.select("node", F.coalesce("comp", "node").alias("comp"), "pivot", "shingles", "base")
+    schema = "node long, comp long, pivot long, n int, base int, added int, delta array<long>"
+    rows = materialize(rows.mapInArrow(differences, schema), "differences")
+    shared = rows.sparkSession.sparkContext.broadcast(difference_counts(rows))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, classes = shared.value
+        shift = np.uint64(64 - len(classes).bit_length() + 1)
+        for batch in batches:
+            tokens, ends = np.asarray(batch.column(5).flatten()), np.asarray(batch.column(5).offsets)
+            ends = ends - ends[0]
+            twice, kinds = bits.contains(filled, tokens.view(np.uint64)), classes[(tokens.view(np.uint64) >> shift).astype(np.int64)]
+            n, bases, added = (np.asarray(batch.column(k)) for k in (2, 3, 4))
+            row, kept, parts = [], [], [[], [], []]
+            for k in range(batch.num_rows):
+                part = slice(ends[k], ends[k + 1])
+                used, more, less, every, count = met_at(twice[part], kinds[part], int(added[k]), int(n[k]), int(bases[k]), percent)
+                row.append(np.full(count, k))
+                kept.append(ends[k] + used[:count])
+                for values, found in zip(parts, (more, less, np.arange(len(used)) < every), strict=True):
+                    values.append(found[:count])
+            if row:
+                at = np.concatenate(row)
+                more, less, short = map(np.concatenate, parts)
+                d = np.diff(ends)[at]
+                outside = (100 + percent) * d.astype(np.int64) > (100 - percent) * (n[at].astype(np.int64) + bases[at])
+                ints = (pa.array(x, pa.int32()) for x in (n[at], d, more, less))
+                yield pa.record_batch([pa.array(tokens[np.concatenate(kept)]), *(batch.column(k).take(pa.array(at)) for k in (0, 1)), *ints, pa.array(outside), pa.array(short.astype(bool))], names)
+
+    names = ["token", "node", "comp", "n", "size", "more", "less", "outside", "short"]
+    posted = rows.select("node", "comp", "n", "base", "added", "delta").mapInArrow(postings, "token long, node long, comp long, n int, size int, more int, less int, outside boolean, short boolean")
+    posted = materialize(posted, "family-postings")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("node", "comp", "n", "size", "more", "less")))
+
+    both = F.least("more_a", "more_b") + F.least("less_a", "less_b")
+    near = 2 * (100 + percent) * both.cast("long") >= (100 + percent) * (F.col("size_a") + F.col("size_b")) - (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    wanted = (F.col("comp_a") != F.col("comp_b")) & fitting("n_a", "n_b", percent) & near
+    far, others = posted.where("outside"), posted.where("short and not outside")
+    pairs = side(far.where("short"), "a").join(side(far.where("short"), "b"), "token").where((F.col("node_a") > F.col("node_b")) & wanted)
+    pairs = pairs.unionAll(side(far, "a").join(side(others, "b"), "token").where(wanted))
+    pairs = materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "family-pairs")
+    own = rows.where((100 + percent) * F.size("delta").cast("long") <= (100 - percent) * (F.col("n").cast("long") + F.col("base")))
+    found = verified(pairs, sets, percent).unionAll(own.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    for end in ("a", "b"):
+        named = comps.select(F.col("node").alias(end), F.col("comp").alias("_comp"))
+        found = found.join(named, end, "left").withColumn(end, F.coalesce("_comp", end)).drop("_comp")
+    found = materialize(found.where("a <> b").select("a", "b").distinct(), "family-links")
+    release(rows, posted, pairs)
+    return found
+
+
 def fitting(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def enough(both: str, total: str, percent: int):
+    return 100 * F.col(both) >= percent * F.col(total)
+
+
+def resembling(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, both, total``: the pairs with a Jaccard of at least ``percent`` %, the sizes of intersection and union."""
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").where(similar("_a", "_b", percent)).select("a", "b")
+    sized = computed(pairs.join(a, "a").join(b, "b"), {"both": F.size(F.array_intersect("_a", "_b")), "total": F.size("_a") + F.size("_b")})
+    return sized.select("a", "b", "both", (F.col("total") - F.col("both")).alias("total")).where(enough("both", "total", percent))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return resembling(pairs, sets, percent).select("a", "b")
 
 
 def placed(twice: np.ndarray, ends: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,8 +424,9 @@ def placed(twice: np.ndarray, ends: np.ndarray, n: np.ndarray, percent: int) ->
     return keep, before[keep], (n[row] - place)[keep]
 
 
-def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: components that a link between two of their nodes joins, found by the token-group matrix."""
+def matrix_links(docs: DataFrame, text: str, rows: DataFrame, members: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: components that a link between nodes of two families joins, found by the token-group matrix; a component
+    that is in no family is one of its own.  In here ``comp`` is the name of a family, until sets are compared."""
     frequent = bits.bits_for(rows.agg(F.sum(F.size("prefix"))).first()[0] or 0, 1 << 16, 1 << 29, 4)
     tokens_of = lambda b: iter([textual.mix(np.asarray(b.column(0).flatten()).view(np.uint64))])
     twice = bits.gather_filter(rows.select("prefix").mapInArrow(bits.filters(tokens_of, frequent), bits.SCHEMA), frequent, twice=True)
@@ -273,9 +441,9 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
             at = pa.array(row[keep])
             yield pa.record_batch([pa.array(tokens[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(before, pa.int32()), pa.array(rest, pa.int32())], ["token", "node", "n", "before", "rest"])
 
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP))
-    grouped = materialize(comps.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp"), (F.col("members") > GROUP).alias("parted")), "groups")
+    grouped = materialize(members.join(sizes, "comp").select("node", "comp", F.xxhash64("comp", part).alias("grp"), (F.col("members") > GROUP).alias("parted")), "groups")
     posted = rows.select("node", "n", "prefix").mapInArrow(postings, "token long, node long, n int, before int, rest int").join(grouped.drop("parted"), "node", "left")
     # Dealt by token once: distinct rows and the tokens of several components need no further exchange.
     by_token = Window.partitionBy("token")
@@ -295,15 +463,17 @@ def matrix_links(docs: DataFrame, text: str, rows: DataFrame, comps: DataFrame,
     single = whole.join(parted, "b", "left_anti").withColumn("grp", _only_group("b"))
     candidates = materialize(single.unionByName(several), "candidates")
     lone = posted.select("node", "grp").distinct()
-    members = materialize(candidates.select("grp").distinct().join(lone.unionAll(grouped.select("node", "grp")).distinct(), "grp"), "members")
-    sets = sets_of(docs, text, rows, members.select("node").unionAll(candidates.select("node")), n)
+    opened = materialize(candidates.select("grp").distinct().join(lone.unionAll(grouped.select("node", "grp")).distinct(), "grp"), "members")
+    sets = sets_of(docs, text, rows, opened.select("node").unionAll(candidates.select("node")), n)
     release(narrow, whole)
-    matrix = members.join(sets, "node").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"), F.collect_list("shingles").alias("sets"))
+    whose = sets.join(comps, "node", "left").select("node", "shingles", F.coalesce("comp", "node").alias("comp"))
+    matrix = opened.join(whose, "node").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"), F.collect_list(F.struct("comp", "shingles")).alias("sets"))
     matrix = materialize(matrix, "token-groups")
-    wide = candidates.join(sets, "node").join(matrix, "grp")
-    opened = wide.where(reachable("shingles", "union", "sets", percent)).select("a", "b", "shingles", F.explode("sets").alias("other"))
-    links = materialize(opened.where(similar("shingles", "other", percent)).select("a", "b").distinct(), "component-links")
-    release(posted, grouped, candidates, members, sets, matrix)
+    wide = candidates.select("node", "grp").join(whose, "node").join(matrix, "grp")
+    wide = wide.where(reachable("shingles", "union", "sets.shingles", percent)).select(F.col("comp").alias("a"), "shingles", F.explode("sets").alias("other"))
+    links = wide.where((F.col("a") != F.col("other.comp")) & similar("shingles", "other.shingles", percent)).select("a", F.col("other.comp").alias("b"))
+    links = materialize(links.distinct(), "component-links")
+    release(posted, grouped, candidates, opened, sets, matrix)
     return links
 
 
@@ -364,8 +534,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = features(docs, doc_id, text, n, percent)
     full = rows.where("n > 0")
-    comps = star_components(docs, text, full, n, percent)
-    merged = connected(matrix_links(docs, text, full, comps, n, percent))
+    aside: dict[str, DataFrame] = {}
+    comps = star_components(docs, text, full, n, percent, ROUNDS, aside)
+    members, links = comps, None
+    if aside:
+        members, pivots = families(aside["met"], comps)
+        links = family_links(members, pivots, comps, aside["sets"], percent)
+        release(pivots, *aside.values())
+    found = matrix_links(docs, text, full, members, comps, n, percent)
+    merged = connected(found if links is None else found.unionAll(links))
     named = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = named.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
