@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pubwatch.llm import textual
-from pubwatch.session import materialize
+from pubwatch.session import bounded_batches, materialize
 
 #: Places that count, from the first word of a seed.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -110,6 +110,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     nothing; null and empty texts overlap nothing; repeated rows give repeated rows; null ids are kept as they are.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1

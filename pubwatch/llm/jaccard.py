@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from pubwatch.functions.base import computed
 from pubwatch.llm import bits, textual
 from pubwatch.llm.storage import release
-from pubwatch.session import materialize
+from pubwatch.session import bounded_batches, materialize
 
 WORDS, PERCENT = 4, 85
 GROUP = 32
@@ -95,6 +95,7 @@ def shared_prefix(n, percent: int):
 
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """For every sketch cell how often its shingles occur, as a logarithm: ``STEPS`` classes a doubling, ``FREQUENT`` at twice the mean."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cells = bits.bits_for(size / 64, LEAST_CELLS, MOST_CELLS, 1)
     shift = np.uint64(64 - cells.bit_length() + 1)

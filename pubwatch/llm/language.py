@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pubwatch.llm import textual
+from pubwatch.session import bounded_batches
 
 #: Length of a profile, also of a document's list.
 PROFILE = 300
@@ -105,6 +106,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
 
     ``size`` rows for every distinct ``lang`` come to the driver; ties go to the smaller code.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang).cast("string").alias("lang"))
     total = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = total.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
@@ -147,6 +149,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], text: str = "text", s
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField(grams, LongType())] if grams else [])]
     names = [c for c in docs.columns if c not in [f.name for f in added]]
     docs = docs.select(*names)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(known, size))
     schema = StructType([*docs.schema.fields, *added])
     place = names.index(text)

@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pubwatch.llm import bits as bit_arrays
 from pubwatch.llm import textual
-from pubwatch.session import materialize
+from pubwatch.session import bounded_batches, materialize
 
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
 #: Bounds of a filter's bits. A full filter suspects more lines, which costs a shuffle and changes no result.
@@ -56,6 +56,7 @@ def keys_of(offsets: np.ndarray, data: bytes, least: int) -> tuple[np.ndarray, n
 
 def twice_filter(docs: DataFrame, text: str, least: int = MIN_CHARS, most_bits: int = MOST_BITS) -> np.ndarray:
     """The merged second filter; at most ``most_bits`` / 8 bytes come to the driver."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = bit_arrays.bits_for(size / 256, LEAST_BITS, most_bits)
 

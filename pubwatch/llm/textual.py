@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = bytes(range(65, 91))
 #: A-Z to lower case, every white-space byte to a blank.
