@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pubwatch.llm import language, textual
 from pubwatch.session import BATCH_BYTES, bounded_batches
+from pubwatch.sources import html
 
 #: A batch ends with the row that reaches the limit.
 LONGEST = 1 << 13
@@ -23,7 +24,7 @@ def _largest(rows) -> int:
 
 def test_operators_bound_the_batches_of_python_tasks(spark):
     texts = spark.range(0, 6000, 1, 1).select(F.concat("id", F.repeat(F.lit(" some words of prose"), 200)).alias("text"))
-    for plan in (lambda: language.identify(texts, {}),):
+    for plan in (lambda: language.identify(texts, {}), lambda: html.with_nodes(texts, "text")):
         spark.conf.unset(KEY)
         unbounded = _largest(texts)
         plan()
