@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +36,22 @@ def open_store(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def write_whole(uri: str, data: bytes | memoryview) -> None:
+@contextmanager
+def whole_file(uri: str) -> Iterator:
     """Write under another name, then rename: a reader never sees half a file, a repeated task overwrites it whole."""
     store, path = open_store(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(aside, compression=None) as out:
-        out.write(data)
+        yield out
     store.move(aside, path)
 
 
+def write_whole(uri: str, data: bytes | memoryview) -> None:
+    with whole_file(uri) as out:
+        out.write(data)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more; what lies elsewhere stays."""
     for df in frames:
